@@ -19,6 +19,13 @@ RUN_METRICS = (
 _HALF_WIDTH, _SKETCH_SIZE = 0.0002, 10_000
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of their group in ``groups``; a null key is a key like others."""
+    other = groups.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return rows.join(other, same).drop(*(f"_key_{k}" for k in keys))
+
+
 def token_sums(usage: DataFrame, *keys: str) -> DataFrame:
     """AGG-5: calls and tokens per run. With no key, one row, zeros when empty."""
     def total(c: str):
@@ -49,9 +56,8 @@ def medians(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> Dat
     brackets = values.groupBy(*group).agg(
         F.percentile_approx("_value", [0.5 - _HALF_WIDTH, 0.5 + _HALF_WIDTH], _SKETCH_SIZE).alias("_b"),
         F.count(F.lit(1)).alias("_n"))
-    same = [values[g].eqNullSafe(brackets[g]) for g in group]
-    near = values.join(brackets, same).select(
-        *(values[g] for g in group), "_n",
+    near = join_groups(values, brackets, group).select(
+        *group, "_n",
         F.when(F.col("_value") >= F.col("_b")[0], F.col("_value")).alias("_cell"),
         (F.col("_value") <= F.col("_b")[1]).alias("_in"),
     ).filter("_in")
@@ -72,10 +78,7 @@ def runs_beside_median(runs: DataFrame, keys: Sequence[str], seconds: str = "sec
 
     Rows instead of a list per group: a list would gather a whole group in one place.
     """
-    middle = medians(runs, keys, [seconds])
-    same = [runs[k].eqNullSafe(middle[k]) for k in keys]
-    return runs.join(middle, same).select(
-        *(runs[c] for c in runs.columns), middle[f"median_{seconds}"])
+    return join_groups(runs, medians(runs, keys, [seconds]), keys)
 
 
 def run_times_list(runs: DataFrame, keys: Sequence[str], limit: int = 1000) -> DataFrame:
@@ -85,8 +88,7 @@ def run_times_list(runs: DataFrame, keys: Sequence[str], limit: int = 1000) -> D
     ``runs_beside_median`` has no such bound.
     """
     sizes = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    same = [runs[k].eqNullSafe(sizes[k]) for k in keys]
-    checked = runs.join(sizes, same).select(*(runs[c] for c in runs.columns), "_n").withColumn(
+    checked = join_groups(runs, sizes, keys).withColumn(
         "seconds", F.when(F.col("_n") <= limit, F.col("seconds")).otherwise(
             F.raise_error(F.lit("too many runs for one list; use runs_beside_median")).cast("double")))
     return checked.groupBy(*keys).agg(F.transform(

@@ -7,10 +7,12 @@ tasks, once per row, and what it returns is written before anything reads it.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from rolesieve.functions.values import keep_known, keep_unknown
 from rolesieve.profile import Profile
 from rolesieve.schema import REPLY_SCHEMA, job_struct
 from rolesieve.session import checkpointed
-from rolesieve.sources.variant import Field
+from rolesieve.sources.variant import Field, parse_whole
 
 REPLY_COLUMNS = REPLY_SCHEMA.fieldNames()
 
@@ -70,6 +72,8 @@ def score(reqs: DataFrame, scorer: Callable, max_workers: int | None = fixed.DEF
     ``max_workers`` bounds the calls in flight, for a service that allows only so many; null
     leaves the partitioning as it is.
     """
+    # Tasks get these few helpers with the scorer, so workers need not have the package installed.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spread = reqs if max_workers is None else reqs.repartition(max_workers, "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,7 +112,7 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     An error from the scorer comes first, then a refusal, then no reply, then a reply that does
     not have the required shape.
     """
-    parsed = replies.withColumn("_v", F.try_parse_json("reply_json"))
+    parsed = replies.withColumn("_v", parse_whole("reply_json"))
     score, rationale = Field("_v", "$.score"), Field("_v", "$.rationale")
     lists = {n: Field("_v", f"$.{n}") for n in ("matched_skills", "missing_skills")}
     number = F.try_variant_get("_v", "$.score", "double")

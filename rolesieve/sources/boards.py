@@ -21,7 +21,7 @@ from rolesieve.functions.values import epoch_ms_to_date
 from rolesieve.profile import Profile
 from rolesieve.schema import JOB_SCHEMA, make_seq
 from rolesieve.sources.config import configured_boards
-from rolesieve.sources.variant import Field, first_reason
+from rolesieve.sources.variant import Field, first_reason, parse_whole
 
 # Order in which sources are read.
 SOURCE_ORDER = {fixed.BOARD_A: 0, fixed.BOARD_B: 1, fixed.SEARCH: 2}
@@ -45,7 +45,7 @@ class Collected:
 
 def check_payloads(payloads: DataFrame, source: str) -> DataFrame:
     """SRC-4: adds ``records`` (null when unusable) and ``payload_error`` (null when fine)."""
-    parsed = payloads.withColumn("_v", F.try_parse_json("payload"))
+    parsed = payloads.withColumn("_v", parse_whole("payload"))
     records = F.try_variant_get("_v", _PATH[source], "array<variant>")
     error = F.when(F.col("_v").isNull(), "invalid JSON") \
         .when(F.col("records").isNull(), _WANTED[source])

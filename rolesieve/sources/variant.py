@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolesieve.functions.text import col
+from rolesieve.functions.text import col, let
 
 _EMPTY_JSON = ("null", "false", "0", "0.0", "-0", "-0.0", "[]", "{}")
 
 
+def parse_whole(json_text) -> Column:
+    """The text as a variant, null unless it is one JSON value and nothing else.
+
+    The parser stops after the first value, so the text is read as the only entry of a list:
+    anything that follows the value breaks that list or makes it longer.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), col(json_text), F.lit("]")))
+    return let(listed, lambda v: F.when(
+        F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")))
+
+
 class Field:
     """One field of a variant record: its value, its type and its text."""
 
