@@ -86,11 +86,13 @@ def _decode_rare(part: Column) -> Column:
     def replaced(prefix: Column, text: Column) -> Column:
         return F.concat(text, part.substr(F.length(prefix) + 1, F.length(part)))
 
-    def numeric(reference: str, digits: str, base: int) -> Column:
+    def value(digits: str, base: int) -> Column:
         # More than ten significant digits are out of range in either base.
-        value = F.regexp_extract(part, digits, 1)
-        code = F.when(F.length(value) <= 10, F.conv(F.concat(F.lit("0"), value), base, 10))
-        return replaced(F.regexp_extract(part, reference, 0), let(code.cast("long"), _char))
+        found = F.regexp_extract(part, digits, 1)
+        return F.when(F.length(found) <= 10, F.conv(F.concat(F.lit("0"), found), base, 10).cast("long"))
+
+    code = F.when(part.rlike("^#[xX]"), value("^#[xX]0*([0-9a-fA-F]*)", 16)).otherwise(value("^#0*([0-9]*)", 10))
+    reference = "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
 
     def named(name: Column) -> Column:
         exact = F.try_element_at(table, name)
@@ -99,9 +101,7 @@ def _decode_rare(part: Column) -> Column:
             .when(name.rlike(_BARE), let(bare, lambda b: replaced(b, F.try_element_at(table, b)))) \
             .otherwise(F.concat(F.lit("&"), part))
 
-    return F.when(part.rlike("^#[0-9]"), numeric("^#[0-9]+;?", "^#0*([0-9]*)", 10)) \
-        .when(part.rlike("^#[xX][0-9a-fA-F]"),
-              numeric("^#[xX][0-9a-fA-F]+;?", "^#[xX]0*([0-9a-fA-F]*)", 16)) \
+    return F.when(part.rlike(reference), replaced(F.regexp_extract(part, reference, 0), let(code, _char))) \
         .otherwise(let(F.regexp_extract(part, "^[^\\t\\n\\f <&#;]{1,32};?", 0), named))
 
 

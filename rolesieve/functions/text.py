@@ -59,25 +59,29 @@ def _is_word(ch: str) -> bool:
     return ch.isalnum() or ch == "_"
 
 
-def _edges(phrase: str) -> tuple[str, str]:
-    """Boundary tests at both ends of a phrase, fixed on the driver.
+def _edge(char: str, side: str) -> str:
+    """What must be next to a phrase that starts or ends with ``char``, fixed on the driver.
 
-    A boundary next to a word character asks for a non-word neighbour, and one next to
-    punctuation asks for a word character. Written out, because what a regex engine takes
-    for a word at its own boundary sign differs between engines and versions.
+    A boundary next to a word character asks for a neighbour that is none, and one next to
+    punctuation asks for one. Written out, because what an engine takes for a word at its own
+    boundary sign differs between engines and versions.
     """
-    before = f"(?<!{_WORD})" if _is_word(phrase[0]) else f"(?<={_WORD})"
-    after = f"(?!{_WORD})" if _is_word(phrase[-1]) else f"(?={_WORD})"
-    return before, after
+    return f"(?{side}{'!' if _is_word(char) else '='}{_WORD}"
 
 
 def phrase_pattern(phrases: Iterable[str]) -> str:
-    """One case-insensitive pattern that finds any phrase as whole words."""
+    """One case-insensitive pattern that finds any of the phrases as whole words."""
     by_edges: dict[tuple[str, str], list[str]] = {}
-    for phrase in (p.strip() for p in phrases):
-        by_edges.setdefault(_edges(phrase), []).append(re.escape(phrase))
-    return "(?iu)" + "|".join(
-        f"{before}(?:{'|'.join(words)}){after}" for (before, after), words in by_edges.items())
+    for phrase in dict.fromkeys(p.strip() for p in phrases):
+        edges = _edge(phrase[0], "<"), _edge(phrase[-1], "") + ")"
+        by_edges.setdefault(edges, []).append(re.escape(phrase))
+    parts = []
+    for (before, after), words in by_edges.items():
+        if len(words) == 1:  # look for the text itself first, then behind it
+            parts.append(f"{words[0]}{before}{words[0]}){after}")
+        else:
+            parts.append(f"{before})(?:{'|'.join(words)}){after}")
+    return "(?iu)" + "|".join(parts)
 
 
 def contains_phrase(c, phrases: Sequence[str]) -> Column:
@@ -106,11 +110,15 @@ def normalize_location(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", " "))
 
 
+def remote_pattern(home: str, remote: str) -> str:
+    """SC-5 as a pattern over normalised text: the home country anywhere, or nothing but the remote word."""
+    return f"{re.escape(home)}|^(?:{re.escape(remote)}| )*+$"
+
+
 def is_home_or_bare_remote(normalized, home: str = fixed.HOME_COUNTRY,
                            remote: str = fixed.REMOTE_WORD) -> Column:
-    """SC-5: names the home country, or says nothing but the remote word."""
-    n = col(normalized)
-    return n.contains(home) | (F.trim(F.replace(n, F.lit(remote), F.lit(""))) == "")
+    """SC-5."""
+    return col(normalized).rlike(remote_pattern(home, remote))
 
 
 def squash(c) -> Column:

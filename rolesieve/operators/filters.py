@@ -6,13 +6,13 @@ scorer's part.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesieve import fixed
-from rolesieve.functions.text import (
-    any_of, col, contains_phrase, fold, is_home_or_bare_remote, let, normalize_location,
-)
+from rolesieve.functions.text import col, contains_phrase, fold, normalize_location, remote_pattern
 from rolesieve.profile import Profile
 
 
@@ -53,15 +53,12 @@ def matches_location(location, profile: Profile) -> Column:
     wanted = [w.strip().lower() for w in profile.locations]
     names = [n for w in wanted if w != profile.remote_word
              for n in profile.location_aliases.get(w, (w,))]
-
-    def test(normalized: Column) -> Column:
-        tests = [normalized.contains(n) for n in dict.fromkeys(names)]
-        if profile.remote_word in wanted:
-            tests.append(is_home_or_bare_remote(normalized, profile.home_country, profile.remote_word))
-        return any_of(tests)
-
-    return F.when(F.coalesce(col(location), F.lit("")) == "", False) \
-        .otherwise(let(normalize_location(location), test))
+    tests = [re.escape(n) for n in dict.fromkeys(names)]
+    if profile.remote_word in wanted:
+        tests.append(remote_pattern(profile.home_country, profile.remote_word))
+    # One pattern over the normalised text, so that it is worked out once per row.
+    place = F.coalesce(col(location), F.lit(""))
+    return (place != "") & normalize_location(place).rlike("|".join(tests))
 
 
 def reject_reason(profile: Profile) -> Column:

@@ -146,6 +146,14 @@ def attach(jobs: DataFrame, parsed: DataFrame) -> DataFrame:
     return jobs.select("seq", job_struct().alias("job")).join(parsed, "seq")
 
 
+def attach_offline(jobs: DataFrame, profile: Profile) -> DataFrame:
+    """SCO-8 straight to the attached form: the result is a column of the job's own row, so no join."""
+    none = F.lit(None).cast("string")
+    return jobs.select("seq", job_struct().alias("job"), offline_result(profile).alias("_r")).select(
+        "seq", "job", none.alias("error_type"), none.alias("error_message"), F.lit(1).alias("attempts"),
+        "_r.score", "_r.matched_skills", "_r.missing_skills", "_r.rationale")
+
+
 def matched(attached: DataFrame, profile: Profile) -> DataFrame:
     """SCO-5 / SCO-6: scored jobs with the skill rules applied, plus how many entries they dropped."""
     ok = attached.filter(F.col("error_type").isNull())

@@ -14,7 +14,7 @@ from rolesieve.operators import attempts, dedup, filters, funnel, probe, rank, r
 from rolesieve.operators.scoring import ScoringError
 from rolesieve.plans import board_probe as probing
 from rolesieve.plans import views as v
-from rolesieve.plans.match_and_rank import survivors
+from rolesieve.plans.match_and_rank import match, survivors
 from rolesieve.plans.views import CV_SQL, EV_SQL, JL_SQL, JP_SQL, PG_SQL, PT_SQL, RN_SQL, with_sql
 from rolesieve.profile import Profile
 from rolesieve.schema import make_seq
@@ -655,12 +655,21 @@ SELECT row_number() OVER (ORDER BY round(hits * 100.0 / 8, 3) DESC, seq) AS rank
        CASE WHEN hits = 0 THEN 'None' ELSE found END AS matched FROM scored"""))
 def match_rank(spark, sf):
     """Q-1 without sinks: filter, deduplicate, score, resolve, rank every document."""
-    jobs = survivors(v.documents_as_jobs(spark, sf), _W)
-    parsed = scoring.parse_replies(scoring.offline_replies(jobs, _W))
-    ranked = rank.rank_all(scoring.matched(scoring.attach(jobs, parsed), _W))
+    stages = match(v.documents_as_jobs(spark, sf), _W)
+    ranked = rank.rank_all(stages.matches)
     return ranked.select("rank", "seq", "score", text.skills_text("matched_skills").alias("matched"))
 
 
+@query(with_sql(SCORED_SQL, select="""
+SELECT seq, round(hits * 100.0 / 8, 3) AS score, CASE WHEN hits = 0 THEN '' ELSE found END AS matched FROM scored"""))
+def offline_reply_rows(spark, sf):
+    """SCO-3, SCO-8, JOI-4: offline replies as JSON, parsed and joined back by position."""
+    jobs = v.documents_as_jobs(spark, sf)
+    parsed = scoring.parse_replies(scoring.offline_replies(jobs, _W))
+    return scoring.matched(scoring.attach(jobs, parsed), _W).select(
+        "seq", "score", F.array_join("matched_skills", ", ").alias("matched"))
+
+
 # Replies made from the turns: a score from the length, now and then out of range, without
 # rationale, refused or absent.
 _REPLY_SQL = """

@@ -42,13 +42,17 @@ def match(jobs: DataFrame, profile: Profile, scorer: Callable | None = None,
           max_workers: int | None = fixed.DEFAULT_WORKERS) -> Stages:
     """Everything up to the scored tables. Without a scorer the offline one is used.
 
-    The survivors are written once, as both the requests and the joined result read them.
+    What later steps read more than once is written once: the survivors when a scorer reads them
+    apart from the join with its replies, and the scored table, which ranking reads twice.
     """
-    filtered = checkpointed(survivors(jobs, profile))
-    replies = scoring.offline_replies(filtered, profile) if scorer is None else scoring.score(
-        scoring.requests(filtered, profile, system_prompt), scorer, max_workers)
-    attached = scoring.attach(filtered, scoring.parse_replies(replies))
-    attached = attached if scorer is None else checkpointed(attached)
+    if scorer is None:
+        filtered = survivors(jobs, profile)
+        attached = scoring.attach_offline(filtered, profile)
+    else:
+        filtered = checkpointed(survivors(jobs, profile))
+        replies = scoring.score(scoring.requests(filtered, profile, system_prompt), scorer, max_workers)
+        attached = scoring.attach(filtered, scoring.parse_replies(replies))
+    attached = checkpointed(attached)
     matches, skips = scoring.matched(attached, profile), scoring.skipped(attached)
     return Stages(jobs, filtered, matches, skips, scoring.scoring_stats(matches, skips))
 

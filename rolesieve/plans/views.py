@@ -112,8 +112,8 @@ pieces AS (
       WHEN regexp_matches(t, '(?is)^<(script|style)\b')
         THEN regexp_replace(t, '(?is)^<[^>]*>|</(script|style)\s*>$', '', 'g')
       WHEN regexp_matches(t, '(?is)^<[a-z!?/]') THEN ''
-      ELSE replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'),
-           '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') END) AS p
+      ELSE regexp_replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'),
+           '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') END) AS p
   FROM pg),
 pt AS (
   SELECT pg.*, nullif(trim(regexp_replace(regexp_replace(array_to_string(p, ' '),
