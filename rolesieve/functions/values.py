@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rolesieve import fixed
-from rolesieve.functions.text import col, fold, let, strip
+from rolesieve.functions.text import col, fold, strip
 
 _MS_PER_DAY = 86_400_000
 _FIRST_DAY, _LAST_DAY = -719_162, 2_932_896  # 0001-01-01 and 9999-12-31
@@ -24,21 +24,15 @@ def normalize_url(url) -> Column:
     """SC-9: strip, drop the fragment, keep everything else that names the page.
 
     A lone trailing question mark, tabs and line breaks inside, and the case of the scheme
-    do not tell two pages apart.
+    do not tell two pages apart. The steps are plain rather than behind tests of their own:
+    that way Spark works out each step once per row, however often the next one uses it.
     """
-    # Most URLs need none of this, so each repair is behind a cheap test.
-    raw = F.coalesce(col(url), F.lit(""))
-    clean = F.when(raw.rlike(r"(?U)[\s\x1c-\x1f]"), F.translate(strip(raw), "\t\r\n", "")).otherwise(raw)
-    return let(F.substring_index(clean, "#", 1), lambda u: _lower_scheme(
-        F.when(u.endswith("?"), F.regexp_replace(u, r"^([^?]*)\?$", "$1")).otherwise(u)))
-
-
-def _lower_scheme(url: Column) -> Column:
-    def lowered(u: Column) -> Column:
-        scheme = F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*:", 0)
-        return F.concat(F.lower(scheme), u.substr(F.length(scheme) + 1, F.length(u)))
-
-    return let(url, lambda u: F.when(u.rlike("^[a-z0-9+.-]*[A-Z][A-Za-z0-9+.-]*:"), lowered(u)).otherwise(u))
+    raw = strip(F.coalesce(col(url), F.lit("")))
+    u = F.substring_index(F.regexp_replace(raw, "[\t\r\n]+", ""), "#", 1)
+    u = F.when(u.endswith("?"), F.regexp_replace(u, r"^([^?]*)\?$", "$1")).otherwise(u)
+    scheme = F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*:", 0)
+    lowered = F.concat(F.lower(scheme), u.substr(F.length(scheme) + 1, F.length(u)))
+    return F.when(u.rlike("^[a-z0-9+.-]*[A-Z][A-Za-z0-9+.-]*:"), lowered).otherwise(u)
 
 
 def keep_known(skills, known: Sequence[str]) -> Column:

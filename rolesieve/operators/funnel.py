@@ -14,9 +14,13 @@ _COMPANY, _ROLE, _SENIORITY, _LOCATION = fixed.REASONS
 
 
 def rejections_by_reason(labelled: DataFrame) -> DataFrame:
-    """AGG-1: rows per reason; a reason nothing failed is absent."""
-    return labelled.filter(F.col("reject_reason").isNotNull()) \
-        .groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rows"))
+    """AGG-1: rows per reason; a reason nothing failed is absent.
+
+    The kept rows form a group of their own that counts to zero and is dropped afterwards: a
+    filter on the reason itself would be moved below it and run all rules a second time.
+    """
+    return labelled.groupBy("reject_reason").agg(F.count("reject_reason").alias("rows")) \
+        .filter(F.col("rows") > 0)
 
 
 def frequencies(rows: DataFrame, value, name: str) -> DataFrame:

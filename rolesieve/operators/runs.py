@@ -49,18 +49,17 @@ def medians(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> Dat
     values inside it are put in order. Nulls do not count.
     """
     keys, metrics = list(keys), list(metrics)
-    values = rows.select(*keys, F.explode(F.array(*(
-        F.struct(F.lit(m).alias("_metric"), F.col(m).cast("double").alias("_value")) for m in metrics
-    ))).alias("_m")).select(*keys, "_m._metric", "_m._value").filter(F.col("_value").isNotNull())
+    rows = rows.select(*keys, *(F.col(m).cast("double").alias(m) for m in metrics))
+    shares = [0.5 - _HALF_WIDTH, 0.5 + _HALF_WIDTH]
+    brackets = rows.groupBy(*keys).agg(*(
+        F.struct(F.percentile_approx(m, shares, _SKETCH_SIZE).alias("b"), F.count(m).alias("n")).alias(f"_g_{m}")
+        for m in metrics))
+    near = join_groups(rows, brackets, keys).select(*keys, F.explode(F.array(*(
+        F.struct(F.lit(m).alias("_metric"), F.col(m).alias("_value"), F.col(f"_g_{m}.b")[0].alias("_from"),
+                 F.col(f"_g_{m}.b")[1].alias("_to"), F.col(f"_g_{m}.n").alias("_n")) for m in metrics
+    ))).alias("_m")).select(*keys, "_m.*").filter(F.col("_value") <= F.col("_to")).withColumn(
+        "_cell", F.when(F.col("_value") >= F.col("_from"), F.col("_value")))
     group = [*keys, "_metric"]
-    brackets = values.groupBy(*group).agg(
-        F.percentile_approx("_value", [0.5 - _HALF_WIDTH, 0.5 + _HALF_WIDTH], _SKETCH_SIZE).alias("_b"),
-        F.count(F.lit(1)).alias("_n"))
-    near = join_groups(values, brackets, group).select(
-        *group, "_n",
-        F.when(F.col("_value") >= F.col("_b")[0], F.col("_value")).alias("_cell"),
-        (F.col("_value") <= F.col("_b")[1]).alias("_in"),
-    ).filter("_in")
     cells = near.groupBy(*group, "_n", "_cell").agg(F.count(F.lit(1)).alias("_rows"))
     upto = cells.withColumn("_upto", F.sum("_rows").over(
         Window.partitionBy(*group, "_n").orderBy(F.col("_cell").asc_nulls_first())))

@@ -30,12 +30,27 @@ def csv_rows(ranked: DataFrame) -> DataFrame:
     return ranked.select(*(columns[c].alias(c) for c in fixed.CSV_COLUMNS))
 
 
+def csv_lines(ranked: DataFrame) -> DataFrame:
+    """SNK-1 as ordered lines: a header, also with no rows, then one record per match.
+
+    A value with a comma, quote or line break is quoted, its quotes doubled, and kept as it is;
+    Spark's own writer would turn line breaks inside a value into the record separator.
+    """
+    rows = csv_rows(ranked)
+
+    def cell(name: str) -> Column:
+        value = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(value.rlike('[",\r\n]'), quoted).otherwise(value)
+
+    body = rows.select(F.lit(1).alias("section"), F.col("rank").cast("long").alias("line"),
+                       F.concat_ws(",", *map(cell, fixed.CSV_COLUMNS)).alias("value"))
+    return _fixed_lines(ranked, (0, ",".join(fixed.CSV_COLUMNS))).unionByName(body)
+
+
 def write_csv(ranked: DataFrame, path: str, single_file: bool = False) -> None:
-    """SNK-1: header in every part, also with no rows; CRLF lines, doubled quotes."""
-    rows = csv_rows(ranked).orderBy("rank")
-    rows = rows.coalesce(1) if single_file else rows
-    rows.write.mode("overwrite").options(
-        header=True, escape='"', emptyValue="", lineSep="\r\n").csv(path)
+    """SNK-1: CRLF lines, the header in the first part only."""
+    write_lines(csv_lines(ranked), path, single_file, "\r\n")
 
 
 def json_rows(ranked: DataFrame) -> DataFrame:
@@ -110,10 +125,11 @@ def skip_report_lines(skips: DataFrame) -> DataFrame:
     return head.unionByName(body).unionByName(_fixed_lines(skips, (2, "]}")))
 
 
-def write_lines(lines: DataFrame, path: str, single_file: bool = False) -> None:
+def write_lines(lines: DataFrame, path: str, single_file: bool = False, separator: str = "\n") -> None:
     """Ordered lines as text parts; the folder is made when missing (SNK-6)."""
     ordered = lines.orderBy("section", "line").select("value")
-    (ordered.coalesce(1) if single_file else ordered).write.mode("overwrite").text(path)
+    (ordered.coalesce(1) if single_file else ordered).write.mode("overwrite").text(
+        path, lineSep=separator)
 
 
 def write_json_array(ranked: DataFrame, path: str, single_file: bool = False) -> None:
