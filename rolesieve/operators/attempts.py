@@ -15,8 +15,6 @@ from rolesieve import fixed
 from rolesieve.functions.values import rate_limit_wait
 from rolesieve.operators.running import running
 
-_HOUR = 3600
-
 
 def is_rate_limit(error_type="error_type") -> Column:
     return F.coalesce(F.col(error_type) == fixed.RATE_LIMIT_ERROR, F.lit(False))
@@ -27,7 +25,7 @@ def is_other_retryable(error_type="error_type") -> Column:
 
 
 def retry_numbers(log: DataFrame, key: str = "job_id", ts: str = "ts", ties: Sequence[str] = (),
-                  bucket_seconds: int = _HOUR) -> DataFrame:
+                  bucket_seconds: float | None = None) -> DataFrame:
     """WIN-4: per job and call, how often each error family came before it.
 
     The two families have budgets of their own and are counted apart.
@@ -48,7 +46,7 @@ def with_waits(numbered: DataFrame, jitter=None) -> DataFrame:
 
 
 def cooldown(log: DataFrame, account: Sequence[str], ts: str, wait: str, ties: Sequence[str] = (),
-             bucket_seconds: int = _HOUR) -> DataFrame:
+             bucket_seconds: float | None = None) -> DataFrame:
     """WIN-3: shared resume time after each call, and what is left to wait at that moment.
 
     The resume time only moves later. Times are in microseconds since 1970; a call without a

@@ -26,10 +26,13 @@ def engineering(title) -> Column:
 
 def summarize(postings: DataFrame, *board: str, near=home_or_remote, home=home_only,
               technical=engineering) -> DataFrame:
-    """AGG-12 / FIL-8: postings per board, loosely and strictly relevant, and the technical ones of both."""
+    """AGG-12 / FIL-8: postings per board, loosely and strictly relevant, and the technical ones of both.
+
+    A row without ``pos`` stands for a board without postings and counts to zero.
+    """
     a, b, t = near("location"), home("location"), technical("title")
     return postings.groupBy(*board).agg(
-        F.count(F.lit(1)).alias("total_jobs"),
+        F.count("pos").alias("total_jobs"),
         F.count_if(a).alias("india_or_remote_jobs"),
         F.count_if(a & t).alias("engineering_jobs_india_or_remote"),
         F.count_if(b).alias("explicit_india_jobs"),
@@ -52,7 +55,7 @@ def sample_titles(postings: DataFrame, *board: str, n: int = fixed.SAMPLE_TITLES
     Every task first cuts each board to its own first ``n`` rows, so a board of any size sends
     few rows, and the list is built from ``n`` at most.
     """
-    first = postings.select(*board, "pos", "title").withColumn(
+    first = postings.filter(F.col("pos").isNotNull()).select(*board, "pos", "title").withColumn(
         "_n", F.row_number().over(Window.partitionBy(*board).orderBy("pos"))).filter(F.col("_n") <= n)
     return first.groupBy(*board).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda r: r["title"]).alias("sample_titles"))

@@ -8,10 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _MERGE = {"max": F.max, "sum": F.sum}
+_ROWS_PER_BUCKET = 1_000_000
+
+
+def bucket_length(df: DataFrame, ts: str, rows_per_bucket: int = _ROWS_PER_BUCKET) -> float:
+    """Seconds of a time bucket that holds about ``rows_per_bucket`` rows over all keys.
+
+    One pass over the time column. It only steers how the work is spread; every length is exact.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    n, first, last = df.agg(F.count(at), F.min(at), F.max(at)).first()
+    if not n or n <= rows_per_bucket:
+        return max(((last or 0) - (first or 0)) / 1e6, 1.0)
+    return max((last - first) / 1e6 * rows_per_bucket / n, 1e-6)
 
 
 def running(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str],
-            measures: Mapping[str, tuple[str, Column]], bucket_seconds: int,
+            measures: Mapping[str, tuple[str, Column]], bucket_seconds: float | None = None,
             inclusive: bool = True) -> DataFrame:
     """Adds running values over (``ts``, ``ties``) within ``keys``.
 
@@ -20,9 +33,10 @@ def running(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str],
     aggregated, the aggregates run over the buckets of a key (a few numbers per bucket), and each
     bucket then starts from what came before it. The carried values travel as one extra row per
     bucket, so rows are shuffled once, by key and bucket. Exact for any bucket length, because
-    both aggregates can be put together from parts.
+    both aggregates can be put together from parts; without one it follows from the data.
     """
-    bucket = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))
+    length = bucket_length(df, ts) if bucket_seconds is None else bucket_seconds
+    bucket = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(max(round(length * 1e6), 1)))
     values = [F.expr("*"), bucket.alias("_bucket")]
     rows = df.select(*values, *(v.alias(f"_v_{name}") for name, (_, v) in measures.items()))
     parts = rows.groupBy(*keys, "_bucket").agg(

@@ -179,16 +179,16 @@ def unanswered(jobs: DataFrame, replies: DataFrame) -> DataFrame:
     return jobs.join(replies.select("seq"), "seq", "left_anti")
 
 
-def scoring_stats(matches: DataFrame, skips: DataFrame) -> DataFrame:
-    """SCO-7 / AGG-9: one row of totals and the warning text, zeros for empty input."""
-    def total(c: str):
-        return F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_skills")
-
-    both = matches.select("dropped_matched", "dropped_missing", F.lit(0).alias("_skip")).unionByName(
-        skips.select(F.lit(0).alias("dropped_matched"), F.lit(0).alias("dropped_missing"),
-                     F.lit(1).alias("_skip")))
-    sums = both.agg(F.count(F.lit(1)).alias("jobs"),
-                    F.coalesce(F.sum("_skip"), F.lit(0)).alias("skipped_jobs"),
-                    total("dropped_matched"), total("dropped_missing"))
+def scoring_stats(attached: DataFrame, profile: Profile) -> DataFrame:
+    """SCO-7 / AGG-9: one row of totals and the warning text, in one pass; zeros for empty input."""
+    ok = F.col("error_type").isNull()
+
+    def dropped(name: str, kept: Column) -> Column:
+        return F.coalesce(F.sum(F.when(ok, F.size(name) - F.size(kept))), F.lit(0)).alias(f"dropped_{name}")
+
+    sums = attached.agg(
+        F.count(F.lit(1)).alias("jobs"), F.count_if(~ok).alias("skipped_jobs"),
+        dropped("matched_skills", keep_known("matched_skills", profile.skills)),
+        dropped("missing_skills", keep_unknown("missing_skills", profile.skills)))
     return sums.withColumn("warning", F.when(F.col("skipped_jobs") > 0, F.concat(
         F.col("skipped_jobs"), F.lit(" of "), F.col("jobs"), F.lit(" jobs skipped"))))

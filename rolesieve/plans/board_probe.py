@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from rolesieve import fixed
 from rolesieve.functions.text import board_name_from_url, display_name, slug_variants
 from rolesieve.operators import probe
-from rolesieve.sources.boards import check_payloads
+from rolesieve.sources.boards import check_payloads, union_sources
+from rolesieve.session import checkpointed
 
 BOARD = ("platform", "slug")
 
@@ -40,35 +41,41 @@ def extra_candidates(slugs: DataFrame) -> DataFrame:
     return slugs.select(display_name("slug").alias("company"), "slug", F.col("slug").alias("hint"), "platform")
 
 
-def landed_postings(payloads: DataFrame, platform: str) -> tuple[DataFrame, DataFrame]:
-    """Usable boards, and their postings. An unusable payload is a miss, never an error (SRC-4)."""
+def landed_postings(payloads: DataFrame, platform: str) -> DataFrame:
+    """Postings of the usable boards; a board without any has one row with nothing in it.
+
+    An unusable payload is a miss, never an error (SRC-4).
+    """
     location, title, url = _PATHS[platform]
     checked = check_payloads(payloads.select(F.col("token").alias("slug"), "payload"), platform) \
-        .filter(F.col("payload_error").isNull()).withColumn("platform", F.lit(platform))
-    rows = checked.select(*BOARD, F.posexplode_outer("records").alias("pos", "r")).filter("pos IS NOT NULL")
+        .filter(F.col("payload_error").isNull())
+    rows = checked.select(F.lit(platform).alias("platform"), "slug",
+                          F.posexplode_outer("records").alias("pos", "r"))
 
     def text(path: str):
         return F.try_variant_get("r", path, "string")
 
-    postings = rows.select(*BOARD, "pos", text(location).alias("location"), text(title).alias("title"),
-                           text(url).alias("url"))
-    return checked.select(*BOARD), postings
+    return rows.select(*BOARD, "pos", text(location).alias("location"), text(title).alias("title"),
+                       text(url).alias("url"))
 
 
 def board_probe(guesses: DataFrame, companies: DataFrame, board_a: DataFrame, board_b: DataFrame,
                 board_names: DataFrame) -> ProbeReport:
     """``board_a`` and ``board_b`` hold ``token, payload``; ``board_names`` the names of A boards
-    (``slug, board_name``). Boards are summed up once each, before guesses are joined to them.
+    (``slug, board_name``). Payloads are parsed once and the few fields needed written once;
+    boards are summed up before guesses are joined to them.
     """
     wanted = guesses.select(F.col("slug").alias("token")).distinct()
-    boards_a, postings_a = landed_postings(board_a.join(wanted, "token", "left_semi"), fixed.BOARD_A)
-    boards_b, postings_b = landed_postings(board_b.join(wanted, "token", "left_semi"), fixed.BOARD_B)
-    boards, postings = boards_a.unionByName(boards_b), postings_a.unionByName(postings_b)
-    names = board_names.select(F.lit(fixed.BOARD_A).alias("platform"), "slug", "board_name").unionByName(
-        probe.first_posting(postings_b, board_name_from_url("url"), *BOARD)
-        .withColumnRenamed("first_value", "board_name"))
-    summary = probe.summarize_all(boards, postings, *BOARD)
-    found = summary.join(names, list(BOARD), "left") \
-        .join(probe.sample_titles(postings, *BOARD), list(BOARD), "left")
-    hits = probe.mark_verified(guesses.join(found, list(BOARD)))
+    postings = checkpointed(union_sources(*(
+        landed_postings(payloads.join(wanted, "token", "left_semi"), platform)
+        for platform, payloads in ((fixed.BOARD_A, board_a), (fixed.BOARD_B, board_b)))))
+    on = list(BOARD)
+    given = board_names.select(F.lit(fixed.BOARD_A).alias("platform"), "slug", "board_name")
+    own = F.when(F.col("platform") == fixed.BOARD_B, board_name_from_url("first_value"))
+    found = probe.summarize(postings, *on) \
+        .join(probe.first_posting(postings, "url", *on), on) \
+        .join(given, on, "left") \
+        .withColumn("board_name", F.coalesce("board_name", own)).drop("first_value") \
+        .join(probe.sample_titles(postings, *on), on, "left")
+    hits = probe.mark_verified(guesses.join(found, on))
     return ProbeReport(hits, probe.misses(companies, hits))

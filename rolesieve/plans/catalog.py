@@ -11,6 +11,7 @@ from rolesieve import fixed
 from rolesieve.functions import prompt, text, values
 from rolesieve.functions.html import sections_text
 from rolesieve.operators import attempts, dedup, filters, funnel, probe, rank, runs, scoring
+from rolesieve.operators.running import bucket_length
 from rolesieve.operators.scoring import ScoringError
 from rolesieve.plans import board_probe as probing
 from rolesieve.plans import views as v
@@ -18,6 +19,7 @@ from rolesieve.plans.match_and_rank import match, survivors
 from rolesieve.plans.views import CV_SQL, EV_SQL, JL_SQL, JP_SQL, PG_SQL, PT_SQL, RN_SQL, with_sql
 from rolesieve.profile import Profile
 from rolesieve.schema import make_seq
+from rolesieve.session import checkpointed
 from rolesieve.sinks import files
 from rolesieve.sources import boards, config
 
@@ -751,7 +753,7 @@ UNION ALL SELECT 1, seq, CASE WHEN seq > (SELECT min(seq) FROM sk) THEN ',' ELSE
   || '","attempts":1}' FROM sk"""))
 def skip_report(spark, sf):
     """AGG-8, SNK-4: the report document as ordered lines."""
-    return files.skip_report_lines(scoring.skipped(_attached(spark, sf)))
+    return files.skip_report_lines(checkpointed(scoring.skipped(_attached(spark, sf))))
 
 
 @query(with_sql(CV_SQL, _REPLY_SQL, select="""
@@ -761,8 +763,7 @@ SELECT count(*) AS jobs, count(error_type) AS skipped_jobs,
        count(error_type) || ' of ' || count(*) || ' jobs skipped' AS warning FROM rp"""))
 def scoring_stats(spark, sf):
     """SCO-7, AGG-9."""
-    attached = _attached(spark, sf)
-    return scoring.scoring_stats(scoring.matched(attached, _W), scoring.skipped(attached))
+    return scoring.scoring_stats(_attached(spark, sf), _W)
 
 
 @query("""
@@ -815,6 +816,11 @@ def _waits(spark: SparkSession, sf: str) -> DataFrame:
     return attempts.with_waits(attempts.retry_numbers(log, ties=["seq"]), F.lit(0.25))
 
 
+def _call_spread(spark: SparkSession, sf: str) -> float:
+    """Bucket length from the log itself, so that the waits need not be worked out for it."""
+    return bucket_length(v.events_as_attempts(spark, sf), "ts")
+
+
 @query(with_sql(EV_SQL, _WAIT_SQL, select="""
 SELECT seq, header_s, round(message_s, 6) AS message_s, CAST(pow(2.0, seq % 3) AS DOUBLE) AS backoff_s FROM w"""))
 def wait_hints(spark, sf):
@@ -845,7 +851,7 @@ SELECT seq, resume_at_us, greatest(coalesce(resume_at_us - epoch_us(ts), 0), 0)
 def cooldown(spark, sf):
     """WIN-3: two accounts, each with half of all calls."""
     waits = _waits(spark, sf).withColumn("account", F.col("workers") % 2)
-    return attempts.cooldown(waits, ["account"], "ts", "wait_seconds", ["seq"]).select(
+    return attempts.cooldown(waits, ["account"], "ts", "wait_seconds", ["seq"], _call_spread(spark, sf)).select(
         "seq", "resume_at_us", "remaining_us")
 
 

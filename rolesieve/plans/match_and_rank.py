@@ -53,8 +53,8 @@ def match(jobs: DataFrame, profile: Profile, scorer: Callable | None = None,
         replies = scoring.score(scoring.requests(filtered, profile, system_prompt), scorer, max_workers)
         attached = scoring.attach(filtered, scoring.parse_replies(replies))
     attached = checkpointed(attached)
-    matches, skips = scoring.matched(attached, profile), scoring.skipped(attached)
-    return Stages(jobs, filtered, matches, skips, scoring.scoring_stats(matches, skips))
+    return Stages(jobs, attached.select("seq", "job.*"), scoring.matched(attached, profile),
+                  scoring.skipped(attached), scoring.scoring_stats(attached, profile))
 
 
 def export(stages: Stages, folder: str, top: int | None = None, title: str = "Job Matches") -> DataFrame:
