@@ -70,6 +70,7 @@ PRICE_PER_MILLION_PROMPT = 0.40
 PRICE_PER_MILLION_COMPLETION = 1.60
 MIN_ROWS_TO_COMPARE = 30
 MAX_ROWS_TO_COMPARE = 60
+STOP_REASON = "Only {rows} jobs survived the filter (minimum {minimum} required)."
 
 # --- Fixed values: sinks ------------------------------------------------------
 CSV_COLUMNS = (

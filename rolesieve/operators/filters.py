@@ -93,8 +93,6 @@ def gate(df: DataFrame, minimum: int = fixed.MIN_ROWS_TO_COMPARE) -> DataFrame:
     """FIL-9: one row saying whether a comparison would stop, and why. Empty input gives zero."""
     rows = df.agg(F.count(F.lit(1)).alias("jobs_after_filter"))
     stopped = F.col("jobs_after_filter") < minimum
-    return rows.select(
-        "jobs_after_filter", stopped.alias("stopped"),
-        F.when(stopped, F.concat(F.lit("Only "), F.col("jobs_after_filter"),
-                                 F.lit(f" jobs survived the filter (minimum {minimum} required)."))
-               ).alias("reason"))
+    before, after = fixed.STOP_REASON.format(rows="|", minimum=minimum).split("|")
+    reason = F.concat(F.lit(before), F.col("jobs_after_filter"), F.lit(after))
+    return rows.select("jobs_after_filter", stopped.alias("stopped"), F.when(stopped, reason).alias("reason"))

@@ -850,7 +850,7 @@ SELECT seq, resume_at_us, greatest(coalesce(resume_at_us - epoch_us(ts), 0), 0)
     PARTITION BY workers % 2 ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS resume_at_us FROM waits)"""))
 def cooldown(spark, sf):
     """WIN-3: two accounts, each with half of all calls."""
-    waits = _waits(spark, sf).withColumn("account", F.col("workers") % 2)
+    waits = checkpointed(_waits(spark, sf)).withColumn("account", F.col("workers") % 2)
     return attempts.cooldown(waits, ["account"], "ts", "wait_seconds", ["seq"], _call_spread(spark, sf)).select(
         "seq", "resume_at_us", "remaining_us")
 

@@ -240,6 +240,11 @@ def run_error() -> Column:
               F.concat(F.lit("status="), status, F.lit(", message="), message))
 
 
+def failed_runs(runs: DataFrame) -> DataFrame:
+    """SRC-10: runs that are an error, also those that left no item behind."""
+    return runs.withColumn("run_error", run_error()).filter(F.col("run_error").isNotNull())
+
+
 def union_sources(*tables: DataFrame) -> DataFrame:
     """SRC-7 / SET-1: bag union; ``seq`` already carries the order of sources and boards."""
     return reduce(lambda a, b: a.unionByName(b), tables)
@@ -247,11 +252,13 @@ def union_sources(*tables: DataFrame) -> DataFrame:
 
 def collect_jobs(spark: SparkSession, profile: Profile, board_a: DataFrame | None = None,
                  board_b: DataFrame | None = None, search: DataFrame | None = None,
-                 strict: bool = True) -> Collected:
+                 runs: DataFrame | None = None, strict: bool = True) -> Collected:
     """SRC-7: jobs of every enabled source in configured order.
 
     ``board_a`` and ``board_b`` hold ``token, payload``; ``search`` holds ``token`` (the
-    location searched), ``board_ord`` (the request's place) and ``payload``.
+    location searched), ``board_ord`` (the request's place) and ``payload``, and ``runs`` the
+    state of each search run. Strict, anything missing or failed is an error; otherwise a failed
+    run gives no rows.
     """
     parts: list[Collected] = []
     for source, payloads in ((fixed.BOARD_A, board_a), (fixed.BOARD_B, board_b)):
@@ -264,6 +271,11 @@ def collect_jobs(spark: SparkSession, profile: Profile, board_a: DataFrame | Non
         parts.append(read_payloads(configured_payloads(spark, profile, source, payloads), source, strict))
     if search is not None and (profile.sources.get(fixed.SEARCH) or {}).get("enabled") \
             and profile.roles and profile.locations:
+        if runs is not None:
+            failed = failed_runs(runs).take(1) if strict else []
+            if failed:
+                raise RuntimeError(f"search run for '{failed[0].token}': {failed[0].run_error}")
+            search = search.join(failed_runs(runs).select("token"), "token", "left_anti")
         rows = search.withColumn("company", F.lit(None).cast("string"))
         parts.append(read_payloads(rows, fixed.SEARCH, strict))
     if not parts:

@@ -142,6 +142,12 @@ def test_collect_in_configured_order(spark):
     assert [j["id"] for j in got] == ["y0", "y1", "x0", "x1", "s"]
     assert [j["company"] for j in got] == ["b2", "b2", "One", "One", "c"]
     assert jobs(boards.collect_jobs(spark, Profile.from_dict({}), board_a, board_b)) == []
+    runs = spark.createDataFrame([("Pune", "d", "ABORTED", "m")], "token string, dataset_id string, status string, status_message string")
+    with pytest.raises(RuntimeError, match="Pune.*ABORTED"):
+        boards.collect_jobs(spark, PROFILE, search=search, runs=runs)
+    assert jobs(boards.collect_jobs(spark, PROFILE, search=search, runs=runs, strict=False)) == []
+    fine = runs.withColumn("status", F.lit("SUCCEEDED"))
+    assert len(jobs(boards.collect_jobs(spark, PROFILE, search=search, runs=fine))) == 1
     with pytest.raises(RuntimeError, match="b1"):
         boards.collect_jobs(spark, PROFILE, board_a.filter("token <> 'b1'"))
 
