@@ -275,8 +275,8 @@ def collect_jobs(spark: SparkSession, profile: Profile, board_a: DataFrame | Non
             failed = failed_runs(runs).take(1) if strict else []
             if failed:
                 raise RuntimeError(f"search run for '{failed[0].token}': {failed[0].run_error}")
-            search = search.join(failed_runs(runs).select("token"), "token", "left_anti")
-        rows = search.withColumn("company", F.lit(None).cast("string"))
+            search = gate_runs(search, runs, strict).filter(F.col("run_error").isNull())
+        rows = search.select("token", F.lit(None).cast("string").alias("company"), "board_ord", "payload")
         parts.append(read_payloads(rows, fixed.SEARCH, strict))
     if not parts:
         return Collected(
