@@ -81,7 +81,7 @@ def estimated_cost(model, prompt_tokens, completion_tokens) -> Column:
     """SC-21: cost at the one known price, null for every other model."""
     cost = (col(prompt_tokens) / 1_000_000) * fixed.PRICE_PER_MILLION_PROMPT \
         + (col(completion_tokens) / 1_000_000) * fixed.PRICE_PER_MILLION_COMPLETION
-    return F.when(col(model) == fixed.PRICED_MODEL, F.round(cost, 6))
+    return F.when(col(model) == fixed.PRICED_MODEL, round_half_even(cost, 6))
 
 
 def score_band(score) -> Column:
@@ -93,6 +93,28 @@ def score_band(score) -> Column:
     return band
 
 
+def round_half_even(c, digits: int) -> Column:
+    """Rounding of the double's exact value, halves to even; Spark's own rounds its decimal text.
+
+    The two differ for a number like 8.1025, whose nearest double lies below the half. The part
+    behind the point is a whole number of 2**-52, so decimal arithmetic decides the case exactly.
+    """
+    value, unit = col(c).cast("double"), 2 ** 52
+    x = F.abs(value)
+    whole = F.floor(x)
+    scaled = (x - whole) * float(unit)
+    parts = F.floor(scaled)
+    n = parts.cast("decimal(16,0)") * F.lit(10 ** digits).cast("decimal(7,0)")
+    rest = n % F.lit(unit).cast("decimal(16,0)")
+    down = ((n - rest) / F.lit(unit).cast("decimal(16,0)")).cast("long")
+    half = F.lit(unit // 2).cast("decimal(16,0)")
+    # What is left of a small number behind the last whole part counts as well.
+    beyond = (rest - half).cast("double") + (scaled - parts) * float(10 ** digits)
+    up = (beyond > 0) | ((beyond == 0) & (down % 2 == 1))
+    rounded = (whole * 10 ** digits + down + up.cast("long")) / float(10 ** digits)
+    return F.when(x < 1e9, F.when(value < 0, -rounded).otherwise(rounded)).otherwise(F.round(value, digits))
+
+
 def round3(c) -> Column:
     """SC-30."""
-    return F.round(col(c), 3)
+    return round_half_even(c, 3)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesieve import fixed
-from rolesieve.functions.values import rate_limit_wait
+from rolesieve.functions.values import rate_limit_wait, round3
 from rolesieve.operators.running import running
 
 
@@ -63,7 +63,7 @@ def rate_limit_totals(waits: DataFrame, wait: str = "wait_seconds") -> DataFrame
     """AGG-10: number of rate-limited calls and seconds waited; zeros for an empty log."""
     return waits.agg(
         F.count_if(is_rate_limit()).alias("rate_limit_hits"),
-        F.round(F.coalesce(F.sum(F.when(is_rate_limit(), F.col(wait))), F.lit(0.0)), 3)
+        round3(F.coalesce(F.sum(F.when(is_rate_limit(), F.col(wait))), F.lit(0.0)))
         .alias("rate_limit_wait_seconds"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolesieve import fixed
-from rolesieve.functions.values import estimated_cost
+from rolesieve.functions.values import estimated_cost, round3, round_half_even
 
 # The nine per-run numbers a comparison takes the median of.
 RUN_METRICS = (
@@ -96,7 +96,7 @@ def run_times_list(runs: DataFrame, keys: Sequence[str], limit: int = 1000) -> D
             F.raise_error(F.lit("too many runs for one list; use runs_beside_median")).cast("double")))
     return checked.groupBy(*keys).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("run_id", "seconds"))),
-        lambda r: F.round(r["seconds"], 3)).alias("all_run_seconds"))
+        lambda r: round3(r["seconds"])).alias("all_run_seconds"))
 
 
 def worker_results(runs: DataFrame) -> DataFrame:
@@ -105,9 +105,9 @@ def worker_results(runs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("runs"), F.max("jobs_matched").alias("jobs_matched"))
     middle = medians(runs, ["workers"], RUN_METRICS)
     return counted.join(middle, "workers").withColumns({
-        "median_seconds": F.round("median_seconds", 3),
-        "median_wait_seconds": F.round("median_wait_seconds", 3),
-        "median_estimated_cost_usd": F.round("median_estimated_cost_usd", 6),
+        "median_seconds": round3("median_seconds"),
+        "median_wait_seconds": round3("median_wait_seconds"),
+        "median_estimated_cost_usd": round_half_even("median_estimated_cost_usd", 6),
     })
 
 

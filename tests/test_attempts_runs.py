@@ -137,3 +137,13 @@ def test_reproducibility(spark):
     report = reports.reproducibility(a, b)
     assert {r.id: r.differs for r in report["per_job"].collect()} == {"1": False, "2": True, "3": False}
     assert tuple(report["totals"].first()) == (3, 1)
+
+
+def test_rounding_follows_the_exact_value(spark):
+    rng = random.Random(5)
+    numbers = [8.1025, (8.102 + 8.103) / 2, 2.5, 0.0625, 0.1875, 0.0005, 0.0015, 1e-300, 0.0, 1 / 3, 123456.0005, 0.9999999]
+    numbers += [rng.randrange(10**6) / 2000 for _ in range(500)] + [rng.random() * 1000 for _ in range(500)]
+    numbers += [-x for x in numbers[:20]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    got = df.select("i", values.round3("x").alias("a"), values.round_half_even("x", 6).alias("b")).orderBy("i").collect()
+    assert [(r.a, r.b) for r in got] == [(round(x, 3), round(x, 6)) for x in numbers]
