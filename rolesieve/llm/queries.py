@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesieve.llm import mixing, packing, quality, secrets, simhash, toxicity
+from rolesieve.llm import mixing, packing, quality, secrets, simhash, toxicity, vectors, warc
+from rolesieve.llm.common import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    manifest = warc.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc.read(manifest, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("__doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = vectors.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("__row.vec_id", "n_links", "component_id", F.col("__row.vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("words"))
     taken, by_source = mixing.mix(docs, size=F.col("words"))
@@ -53,4 +65,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("__doc.doc_id", simhash.fingerprint_hex(F.col("code")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_mixing, op7_secret_scan, op8_toxicity, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (
+    op2_warc, op3_quality_rules, op4_vector_graph, op6_mixing, op7_secret_scan, op8_toxicity, op9_packing, op10_simhash,
+)}
