@@ -210,8 +210,7 @@ class Scan:
 
         blocks = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "texts"))).alias("index"))
         candidates = blocks.select(F.explode(F.concat(F.array().cast("array<struct<t:string,k:int>>"), *(
-            F.transform(_postings(queries[k], F.col("index")), lambda t, k=k: F.struct(t.alias("t"), F.lit(k).alias("k")))
-            for k in self.indexed))).alias("c")).groupBy(F.col("c.t").alias("__digest")).agg(F.collect_set("c.k").alias("__rules"))
+            self._candidates(k, queries[k]) for k in self.indexed))).alias("c")).groupBy(F.col("c.t").alias("__digest")).agg(F.collect_set("c.k").alias("__rules"))
         texts = docs.where(self._anchored()).select(F.md5(text).alias("__digest"), text.alias("__text")).groupBy("__digest").agg(F.first("__text").alias("__text"))
         verified = texts.join(candidates, "__digest").select("__digest", _all_spans(F.col("__text"), self.indexed, F.col("__rules")).alias("__spans"))
         scanned = self.rows.where(F.size("__spans") > 0).groupBy("__digest").agg(F.first("__spans").alias("__spans"))
@@ -220,6 +219,10 @@ class Scan:
             verified.where(F.size("__spans") > 0).unionByName(scanned).groupBy("__digest")
             .agg(F.sort_array(F.flatten(F.collect_list("__spans"))).alias("spans")))  # two rows at most
 
+    @staticmethod
+    def _candidates(kind: int, query) -> Column:
+        return F.transform(_postings(query, F.col("index")), lambda t: F.struct(t.alias("t"), F.lit(kind).alias("k")))
+
     @staticmethod
     def _index(rows: DataFrame) -> DataFrame:
         """Postings: block, trigram, and the digests of the block's texts that hold the trigram."""
