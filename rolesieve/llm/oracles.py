@@ -1 +1,106 @@
-ORACLES: dict[str, str] = {}
+"""SQL for the queries that SQL can express."""
+
+from __future__ import annotations
+
+from rolesieve.llm import mixing, quality, rollups, secrets
+from rolesieve.llm.common import WORD
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+# Base 32 of a SHA-1: five bits of the digest for each letter.
+OP2 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex FROM p),
+b AS (SELECT page_id, payload_bytes, hex, array_to_string(list_transform(range(0, 8), lambda i:
+    array_to_string(list_transform(range(0, 4), lambda j:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * i + 1, 5))::BIGINT >> (15 - 5 * j)) & 31)::INT, 1)), '')), '') AS payload_digest FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = max(page_id) OVER w THEN NULL ELSE max(page_id) OVER w END AS refers_to
+FROM b WINDOW w AS (PARTITION BY hex)
+"""
+
+_REJECTS = " OR ".join(
+    f"coalesce({r.rejects.replace(chr(92) * 2, chr(92)).replace('regexp_count(text,', 'matches(text,')}, false)" for r in quality.RULES)
+
+OP3 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_text(WORD)}) AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_text(WORD)})) AS l FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2])) AS g FROM d WHERE len(w) > 2),
+r AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+n AS (SELECT doc_id, count(DISTINCT p) AS n FROM r GROUP BY doc_id),
+m AS (SELECT d.doc_id, d.text, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(d.text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(n.n, 0)::BIGINT AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN n USING (doc_id)),
+j AS (SELECT *, {quality.BASE_FAILED} AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT (base_failed OR {_REJECTS.replace('matches(', 'len(regexp_extract_all(').replace("')", "'))")}) AS kept FROM j
+"""
+
+OP4 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+    WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / n) AS e FROM v WHERE n > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c
+"""
+
+OP5 = f"""
+WITH t AS (
+    SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), {_text(rollups.TOKENIZERS['words-1'])})) AS a,
+        len(regexp_extract_all(coalesce(text, ''), {_text(rollups.TOKENIZERS['words-2'])})) AS b
+    FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
+SELECT source, lang, CASE WHEN lang <> 'en' THEN 'words-2' ELSE 'words-1' END AS tokenizer,
+    count(*) AS documents, sum(CASE WHEN lang <> 'en' THEN b ELSE a END)::BIGINT AS tokens
+FROM t GROUP BY ALL
+"""
+
+_SEED = _text(mixing.SEED + ":")
+OP6 = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_text(WORD)}))::BIGINT AS size, md5({_SEED} || doc_id::VARCHAR) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT source, source_size, ({list(mixing.WEIGHTS)})[1 + (k - 1) % {len(mixing.WEIGHTS)}] AS w, sum(source_size) OVER () AS total, k FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / w, k) AS i FROM w),
+c AS (SELECT *, total - coalesce(sum(3 * source_size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight FROM o),
+f AS (SELECT min(i) AS i FROM c WHERE 3 * source_size * weight >= rest * w),
+t AS (SELECT source, source_size, (CASE WHEN c.i < f.i THEN 3 * source_size ELSE w * (SELECT rest FROM c x WHERE x.i = f.i)::DOUBLE / (SELECT weight FROM c x WHERE x.i = f.i) END)::DOUBLE AS target FROM c, f),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+    (size * len(list_filter([0, 1, 2], lambda n: 2 * (n * source_size + start) + size < 2 * round_even(target, 0))))::BIGINT AS taken FROM p
+"""
+
+
+def _spans(kind: int, rule: secrets.Rule) -> str:
+    """All matches of a rule as structs, places from the lengths of what lies between."""
+    pattern = _text(rule.pattern)
+    return f"""
+SELECT doc_id, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{
+    'start': list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
+    'kind': {kind}, 'size': length(m[i]), 'value': length(g[i])}}), lambda s: s.value >= {rule.least})) AS s
+FROM (SELECT doc_id, regexp_extract_all(text, {pattern}) AS m, regexp_extract_all(text, {pattern}, {rule.group}) AS g, string_split_regex(text, {pattern}) AS b
+    FROM t WHERE regexp_matches(text, {pattern}))"""
+
+
+_KINDS = [r.kind for r in secrets.RULES]
+OP7 = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({' UNION ALL '.join(_spans(k, r) for k, r in enumerate(secrets.RULES))}),
+f AS (SELECT doc_id, s.kind AS kind, s.start AS start, ({_KINDS})[s.kind + 1] || ':' || s.start::BIGINT || ':' || (s.start + s.size)::BIGINT AS label FROM s),
+a AS (SELECT doc_id, string_agg(label, ',' ORDER BY start, kind) AS spans, string_agg(label, ',' ORDER BY start, kind) FILTER (kind < {secrets.BASE}) AS base,
+    count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN a USING (doc_id)
+"""
+
+ORACLES = {
+    "op2_warc": OP2, "op3_quality_rules": OP3, "op4_vector_graph": OP4, "op5_token_rollup": OP5, "op6_mixing": OP6, "op7_secret_scan": OP7,
+}

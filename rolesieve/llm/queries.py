@@ -5,14 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesieve.llm import mixing, packing, quality, secrets, simhash, toxicity, vectors, warc
-from rolesieve.llm.common import shared_folder
+from rolesieve.llm import mixing, packing, quality, rollups, secrets, simhash, toolcalls, toxicity, vectors, warc
+from rolesieve.llm.common import shared_folder, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Tools of the conversations below and what their arguments must be.
+TOOLS = {
+    "search": {"type": "object", "required": ["text", "limit"], "properties": {"text": {"type": "string", "minLength": 20}, "limit": {"type": "integer", "maximum": 45}}},
+    "fetch": {"type": "object", "required": ["text"], "properties": {"after": {"type": "string", "pattern": r"^\$ref:"}}},
+    "store": {"type": "object", "required": ["text", "limit"], "properties": {"limit": {"type": "integer", "minimum": 3}}},
+}
+
+
+def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results out of plain turns: an assistant's turn calls a tool with its text and
+    refers to the call before it, now and then to the one after it, rarely both ways; a user's turn
+    is the result of the turn before it."""
+    name = lambda turn: F.concat(F.col("conv_id"), F.lit("-"), turn)
+    size = F.length("text")
+    other = F.when(size % 5 == 0, F.col("turn") + 2).when(F.col("turn") >= 3, F.col("turn") - 2)
+    arguments = F.to_json(F.struct("text", (size % 50).alias("limit"), F.concat(F.lit("$ref:"), name(other)).alias("after")))
+    calls = turns.where("role = 'assistant'").select(
+        "conv_id", F.col("turn").alias("pos"), name(F.col("turn")).alias("call_id"),
+        F.get(F.array(*map(F.lit, TOOLS)), size % 3).alias("name"), arguments.alias("arguments"))
+    results = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("pos"), name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = conversation_calls(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    linked = toolcalls.rendered(toolcalls.link(calls, results, TOOLS))
+    return linked.select("conv_id", "call_id", "call_pos", "result_pos", "name", "status", F.array_join("errors", "; ").alias("errors"),
+                         F.col("position.at").alias("order_at"), F.col("position.step").alias("order_step"), "json")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     manifest = warc.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
@@ -29,6 +59,26 @@ def op4_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("__row.vec_id", "n_links", "component_id", F.col("__row.vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in; those labelled toxic go; languages other than English are counted anew
+    by the second tokenizer; the first batch is sent once more, to no effect; all is folded."""
+    first, second = rollups.TOKENIZERS
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", "text", *(rollups.tokens(F.col("text"), t).alias(t) for t in (first, second)))
+    counted = stored(docs.drop("text")).withColumn("text", F.lit(None).cast("string"))
+    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    gone, kept = counted.join(toxic, "doc_id", "left_semi"), counted.join(toxic, "doc_id", "left_anti")
+    load = rollups.change(counted, 1, first, F.col(first))
+    foreign = kept.where("lang <> 'en'")
+    rollup = rollups.Rollup(spark)
+    rollup.commit("load", load)
+    rollup.commit("toxic-out", rollups.change(gone, -1, first, F.col(first)))
+    rollup.commit("recount", rollups.change(foreign, -1, first, F.col(first)).unionByName(rollups.change(foreign, 1, second, F.col(second))))
+    rollup.commit("load", load)
+    rollup.compact("through-recount")
+    return rollup.totals()
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("words"))
     taken, by_source = mixing.mix(docs, size=F.col("words"))
@@ -66,5 +116,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_warc, op3_quality_rules, op4_vector_graph, op6_mixing, op7_secret_scan, op8_toxicity, op9_packing, op10_simhash,
+    op1_tool_calls, op2_warc, op3_quality_rules, op4_vector_graph, op5_token_rollup, op6_mixing, op7_secret_scan, op8_toxicity, op9_packing, op10_simhash,
 )}
