@@ -24,7 +24,7 @@ WEIGHTS = (5, 2, 1)
 MAX_PATTERNS = 20_000
 SEED = "mix-1"
 #: Documents of a bucket of the seeded order, about.
-BUCKET = 1000
+BUCKET = 200
 
 
 def targets(sizes: list[int], weights: list[int], share: float = 1.0, most: int = len(COSTS)) -> list[float]:
