@@ -111,7 +111,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.groups(_table(spark, sf_dir, "documents").select("doc_id", "text").select("doc_id", "text"))
+    found = simhash.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), carry=F.struct("doc_id"))
     return found.select("__doc.doc_id", simhash.fingerprint_hex(F.col("code")).alias("fingerprint"), "component_id")
 
 

@@ -200,22 +200,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def groups(docs: DataFrame, text: Column | str = "text", doc_id: Column | str = "doc_id") -> DataFrame:
-    """One row per input row: __doc (the whole row as a struct), code (its fingerprint as a signed
-    long) and component_id (smallest id of all rows that links reach).
-
-    Null and empty texts have fingerprint 0 and are linked like any other. A null id is ignored as
-    long as its component has another one. Repeated rows stay, in one component. Other columns may
-    have any name, as they travel inside ``__doc``. An empty table gives an empty table.
-    """
-    text, doc_id = (F.col(x) if isinstance(x, str) else x for x in (text, doc_id))
-    rows = stored(docs.select(F.struct("*").alias("__doc"), doc_id.alias("__id"), _fingerprints(text.cast("string")).alias("code")))
+def _grouped(docs: DataFrame, carry: Column, text: Column, doc_id: Column) -> tuple[DataFrame, DataFrame]:
+    """The written rows (__doc, __id, code, __n: a number of their own), and (code, component_id)."""
+    rows = stored(docs.select(carry.alias("__doc"), doc_id.alias("__id"), _fingerprints(text.cast("string")).alias("code"), F.monotonically_increasing_id().alias("__n")))
     codes = stored(rows.groupBy("code").agg(F.min("__id").alias("low")))
     found = components(stored(links(codes.select("code"), codes.count())))
     placed = codes.join(found, codes["code"] == found["node"], "left").select(
         "code", "low", F.coalesce("component", "code").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_code = placed.join(lowest, "root").select("code", "component_id")
+    return rows, placed.join(lowest, "root").select("code", "root", "component_id")
+
+
+def groups(docs: DataFrame, carry: Column | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per input row: __doc (``carry``, or the whole row as a struct), code (its fingerprint
+    as a signed long) and component_id (smallest id of all rows that links reach).
+
+    Null and empty texts have fingerprint 0 and are linked like any other. A null id is ignored as
+    long as its component has another one. Repeated rows stay, in one component. Other columns may
+    have any name, as they travel inside ``__doc``. An empty table gives an empty table.
+    """
+    rows, by_code = _grouped(docs, F.struct("*") if carry is None else carry, F.col(text), F.col(doc_id))
     return rows.join(by_code, "code").select("__doc", "code", "component_id")
 
 
@@ -224,13 +228,11 @@ def fingerprint_hex(code: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest id stays; of
-    several rows with that id the first by content. Nulls in the id come last."""
-    found = groups(docs)
-    row = F.struct(F.col("__doc.doc_id").isNull().alias("n"), F.col("__doc.doc_id").alias("i"), F.xxhash64("__doc").alias("h"))
-    best = found.where(F.col("__doc.doc_id").eqNullSafe(F.col("component_id"))).groupBy("code", "component_id").agg(
-        F.min_by("__doc", row).alias("__doc"), F.min(row).alias("row"))
-    # equal ids with different texts can lie in one component under different fingerprints
-    first = best.groupBy("component_id").agg(F.min(F.struct("row", "code")).alias("first"))
-    kept = best.join(first, best["component_id"].eqNullSafe(first["component_id"]) & (best["row"] == F.col("first.row")) & (best["code"] == F.col("first.code")))
-    return kept.select("__doc.*")
+    """``docs`` without near-duplicates: of each component the row with the smallest id stays, nulls
+    last; of several rows with that id the first by content, then by place. The choice is made on
+    ids alone; texts are shuffled once, to meet the rows chosen."""
+    rows, by_code = _grouped(docs, F.struct("*"), F.col("text"), F.col("doc_id"))
+    rank = F.struct(F.col("__id").isNull(), F.col("__id"), "__h", "__n")
+    light = rows.select("__id", "code", "__n", F.xxhash64("__doc").alias("__h")).join(by_code, "code")
+    chosen = light.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.__n").alias("__n"))
+    return rows.join(chosen, "__n", "left_semi").select("__doc.*")
