@@ -10,10 +10,15 @@ from rolesieve.functions.text import col, first_truthy
 from rolesieve.profile import Profile
 
 
-def description_text(description) -> Column:
-    """SC-12: a fixed phrase when missing, cut at the request limit."""
-    return F.substring(first_truthy(col(description), F.lit(fixed.NO_DESCRIPTION)),
-                       1, fixed.MAX_DESCRIPTION_CHARS)
+def description_text(description, max_chars: int | None = None) -> Column:
+    """SC-12: a fixed phrase when missing; whole, or cut at the limit a scorer sets."""
+    whole = first_truthy(col(description), F.lit(fixed.NO_DESCRIPTION))
+    return whole if max_chars is None else F.substring(whole, 1, max_chars)
+
+
+def is_cut(description, max_chars: int | None = None) -> Column:
+    """Whether ``description_text`` leaves something out."""
+    return F.lit(False) if max_chars is None else F.coalesce(F.length(col(description)) > max_chars, F.lit(False))
 
 
 def experience_text(min_years: int | None, max_years: int | None) -> str:
@@ -33,7 +38,7 @@ def experience_column(min_years, max_years) -> Column:
     return F.when(low.isNull() & high.isNull(), F.lit(fixed.NOT_SPECIFIED)).otherwise(span)
 
 
-def user_prompt(profile: Profile) -> Column:
+def user_prompt(profile: Profile, max_chars: int | None = None) -> Column:
     """SC-14: profile block, then the job's labelled lines. Id, URL and source stay out."""
     # Labels of the request text.
     head = "\n".join((
@@ -49,5 +54,5 @@ def user_prompt(profile: Profile) -> Column:
         F.lit(head), F.col("title"),
         F.lit("\nCompany: "), F.col("company"),
         F.lit("\nLocation: "), first_truthy("location", F.lit(fixed.NOT_SPECIFIED)),
-        F.lit("\nDescription: "), description_text("description"),
+        F.lit("\nDescription: "), description_text("description", max_chars),
     )

@@ -111,8 +111,10 @@ def round_half_even(c, digits: int) -> Column:
     # What is left of a small number behind the last whole part counts as well.
     beyond = (rest - half).cast("double") + (scaled - parts) * float(10 ** digits)
     up = (beyond > 0) | ((beyond == 0) & (down % 2 == 1))
-    rounded = (whole * 10 ** digits + down + up.cast("long")) / float(10 ** digits)
-    return F.when(x < 1e9, F.when(value < 0, -rounded).otherwise(rounded)).otherwise(F.round(value, digits))
+    exact = whole.cast("decimal(16,0)") * F.lit(10 ** digits).cast("decimal(7,0)") + (down + up.cast("long")).cast("decimal(7,0)")
+    rounded = (exact / F.lit(10 ** digits).cast("decimal(7,0)")).cast("double")
+    # From 2**52 on a double is a whole number, and stays as it is.
+    return F.when(x < float(unit), F.when(value < 0, -rounded).otherwise(rounded)).otherwise(value)
 
 
 def round3(c) -> Column:

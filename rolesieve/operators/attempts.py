@@ -40,9 +40,17 @@ def retry_numbers(log: DataFrame, key: str = "job_id", ts: str = "ts", ties: Seq
 
 
 def with_waits(numbered: DataFrame, jitter=None) -> DataFrame:
-    """SC-19 on a log with retry numbers: wait in seconds after a rate-limited call, else null."""
+    """SC-19 on a log with retry numbers: wait in seconds after a rate-limited call, else null.
+
+    The call that spends a job's budget gives up at once: it neither waits nor delays others.
+    """
     return numbered.withColumn("wait_seconds", F.when(
-        is_rate_limit(), rate_limit_wait("retry_after", "message", "rate_limit_retry", jitter)))
+        _goes_on(), rate_limit_wait("retry_after", "message", "rate_limit_retry", jitter)))
+
+
+def _goes_on() -> Column:
+    """A rate-limited call that is retried."""
+    return is_rate_limit() & (F.col("rate_limit_retry") < fixed.MAX_RATE_LIMIT_RETRIES)
 
 
 def cooldown(log: DataFrame, account: Sequence[str], ts: str, wait: str, ties: Sequence[str] = (),
@@ -59,11 +67,12 @@ def cooldown(log: DataFrame, account: Sequence[str], ts: str, wait: str, ties: S
         F.coalesce(F.col("resume_at_us") - at, F.lit(0)), F.lit(0)))
 
 
-def rate_limit_totals(waits: DataFrame, wait: str = "wait_seconds") -> DataFrame:
-    """AGG-10: number of rate-limited calls and seconds waited; zeros for an empty log."""
-    return waits.agg(
-        F.count_if(is_rate_limit()).alias("rate_limit_hits"),
-        round3(F.coalesce(F.sum(F.when(is_rate_limit(), F.col(wait))), F.lit(0.0)))
+def rate_limit_totals(held: DataFrame) -> DataFrame:
+    """AGG-10: rate-limited calls that went on to wait, and the seconds left of the shared cooldown
+    when each of them began to; zeros for an empty log. ``held`` comes from ``cooldown``."""
+    return held.agg(
+        F.count_if(_goes_on()).alias("rate_limit_hits"),
+        round3(F.coalesce(F.sum(F.when(_goes_on(), F.col("remaining_us"))), F.lit(0)) / 1_000_000)
         .alias("rate_limit_wait_seconds"))
 
 

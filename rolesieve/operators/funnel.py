@@ -64,14 +64,11 @@ def per_company(labelled: DataFrame) -> DataFrame:
         F.count_if(F.col("reject_reason").isNull()).alias("kept"))
 
 
-def per_source(jobs: DataFrame, sources: tuple[str, ...] = (fixed.BOARD_A, fixed.BOARD_B)) -> DataFrame:
-    """AGG-4: jobs per known source, zero for a source that gave none.
-
-    The list of sources is a constant, so it is joined as one.
-    """
+def per_source(jobs: DataFrame, sources: tuple[str, ...] = (fixed.BOARD_A, fixed.BOARD_B, fixed.SEARCH)) -> DataFrame:
+    """AGG-4: jobs per source, zero for a known source that gave none; others are listed as well."""
     known = jobs.sparkSession.createDataFrame([(s,) for s in sources], "source string")
     counted = jobs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return known.join(counted, "source", "left").select(
+    return known.join(counted, "source", "full").select(
         "source", F.coalesce("n", F.lit(0)).alias("jobs"))
 
 

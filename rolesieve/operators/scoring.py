@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesieve import fixed
-from rolesieve.functions.prompt import user_prompt
+from rolesieve.functions.prompt import is_cut, user_prompt
 from rolesieve.functions.text import contains_phrase, let
 from rolesieve.functions.values import keep_known, keep_unknown
 from rolesieve.profile import Profile
@@ -46,10 +46,11 @@ class ScoringError(RuntimeError):
         self.error_type, self.attempts = error_type, attempts
 
 
-def requests(jobs: DataFrame, profile: Profile, system_prompt: str) -> DataFrame:
-    """SCO-1: one request per job."""
+def requests(jobs: DataFrame, profile: Profile, system_prompt: str, max_chars: int | None = None) -> DataFrame:
+    """SCO-1: one request per job. ``max_chars`` cuts long descriptions; ``description_cut`` says where."""
     return jobs.select("seq", "id", F.lit(system_prompt).alias("system_prompt"),
-                       user_prompt(profile).alias("user_prompt"),
+                       user_prompt(profile, max_chars).alias("user_prompt"),
+                       is_cut("description", max_chars).alias("description_cut"),
                        F.lit(fixed.TEMPERATURE).alias("temperature"))
 
 
@@ -65,8 +66,9 @@ def _one(scorer: Callable, row) -> tuple:
     return text, reply.refusal, None, None, 1, reply.prompt_tokens, reply.completion_tokens
 
 
-def score(reqs: DataFrame, scorer: Callable, max_workers: int | None = fixed.DEFAULT_WORKERS) -> DataFrame:
-    """SCO-2: a reply row per request, written to the checkpoint folder so no reply is asked for twice.
+def score(reqs: DataFrame, scorer: Callable, max_workers: int | None = None) -> DataFrame:
+    """SCO-2: a reply row per request, written to the checkpoint folder: reading replies asks for none
+    again. Only a task that is lost or speculated asks for its own once more.
 
     ``scorer(system_prompt, user_prompt)`` returns a mapping, JSON text or ``Reply``, or raises.
     ``max_workers`` bounds the calls in flight, for a service that allows only so many; null
@@ -120,8 +122,9 @@ def parse_replies(replies: DataFrame) -> DataFrame:
         score.type.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|STRING)")
         & number.between(fixed.SCORE_MIN, fixed.SCORE_MAX), F.lit(False))
     # A list left out is empty; anything but a list of texts is wrong.
-    bad_list = [f.type.isNotNull() & ~((f.type == "ARRAY<STRING>") | (F.to_json(f.value) == "[]"))
-                for f in lists.values()]
+    bad_list = [f.type.isNotNull() & (~((f.type == "ARRAY<STRING>") | (F.to_json(f.value) == "[]")) | F.coalesce(
+        F.exists(F.try_variant_get("_v", f"$.{n}", "array<string>"), lambda x: x.isNull()), F.lit(False)))
+                for n, f in lists.items()]
     invalid = F.col("_v").isNull() | bad_score | ~rationale.is_string | bad_list[0] | bad_list[1]
     refused = F.coalesce(F.col("refusal"), F.lit("")) != ""
     error = F.when(F.col("error_type").isNotNull(), F.col("error_type")) \

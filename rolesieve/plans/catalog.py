@@ -300,6 +300,54 @@ def minimum_gate(spark, sf):
 
 # --- Text, dates and values ------------------------------------------------------------------
 
+@query(with_sql(JP_SQL, LABELLED_SQL, select=f"""
+SELECT n AS jobs_after_filter, n < 1 AS stopped, CAST(NULL AS VARCHAR) AS reason
+FROM (SELECT count(DISTINCT {_KEY}) AS n FROM lab WHERE reject_reason IS NULL)"""))
+def minimum_gate_open(spark, sf):
+    """FIL-9: enough rows, so nothing stops."""
+    return filters.gate(dedup.first_seqs(filters.keep(_jp(spark, sf), P)), 1)
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE o_orderkey % 7 > 0 AND o_orderstatus = 'F'""")
+def run_gate_strict(spark, sf):
+    """SRC-10, strict: lines of finished orders pass; each order is a run that the gate looks at."""
+    orders = v.table(spark, sf, "orders").filter("o_orderstatus = 'F' AND o_orderkey % 7 > 0")
+    found = orders.select(F.col("o_orderkey").alias("token"), F.col("o_orderkey").cast("string").alias("dataset_id"),
+                          F.lit(fixed.RUN_SUCCEEDED).alias("status"), F.lit(None).cast("string").alias("status_message"))
+    items = v.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_orderkey").alias("token"))
+    asked = items.join(found.select("token"), "token", "left_semi")
+    return boards.gate_runs(asked, found).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""
+SELECT item_id AS seq, CASE WHEN item_id % 3 = 0 THEN 'ValidationError' END AS error_type,
+       CASE WHEN item_id % 3 = 0 THEN 0 ELSE 2 + CAST(item_id % 3 = 1 AS INT) END AS entries
+FROM benchmark""")
+def reply_lists(spark, sf):
+    """SCO-3: a list with a null entry is not a list of texts; repeated keys keep the last value."""
+    body = F.when(F.col("item_id") % 3 == 0, '["a", null]').when(F.col("item_id") % 3 == 1, '["a", "b", "c"]').otherwise('["a", "b"]')
+    none = F.lit(None).cast("string")
+    replies = v.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("seq"), F.concat(F.lit('{"score": 999, "score": 5, "rationale": "r", "matched_skills": '), body, F.lit("}")).alias("reply_json"),
+        none.alias("refusal"), none.alias("error_type"), none.alias("error_message"), F.lit(1).alias("attempts"))
+    parsed = scoring.parse_replies(replies)
+    return parsed.select("seq", "error_type", F.when(F.col("error_type").isNull(), F.size("matched_skills")).otherwise(0).alias("entries"))
+
+
+@query("""
+SELECT CAST(page_id % 5 AS VARCHAR) AS token, page_id AS id, 'b' AS title, url FROM pages""")
+def repeated_keys(spark, sf):
+    """SRC-1, SRC-4: five boards made of all pages; every record repeats a key, the last value counts."""
+    record = F.concat(F.lit('{"id": '), "page_id", F.lit(', "title": "a", "title": "b", "absolute_url": '), F.to_json(F.array("url")), F.lit("}"))
+    record = F.regexp_replace(F.regexp_replace(record, r'"absolute_url": \[', '"absolute_url": '), r"\]\}$", "}")
+    payloads = v.table(spark, sf, "pages").groupBy((F.col("page_id") % 5).cast("string").alias("token")).agg(
+        F.concat(F.lit('{"jobs": ['), F.array_join(F.collect_list(record), ","), F.lit("]}")).alias("payload"))
+    read = boards.read_payloads(payloads.select("token", F.col("token").alias("company"), F.col("token").cast("long").alias("board_ord"), "payload"), fixed.BOARD_A)
+    return read.jobs.select(F.col("company").alias("token"), F.col("id").cast("long").alias("id"), "title", "url")
+
+
 @query(with_sql(PT_SQL, select="SELECT seq, description FROM pt"))
 def html_text(spark, sf):
     """SC-6 over whole pages."""
@@ -315,7 +363,7 @@ def sections_description(spark, sf):
         return F.struct(heading.alias("heading"), content.alias("content"))
 
     html = F.col("html")
-    return v.pages_as_postings(spark, sf).filter(F.trim("title") != "").select("seq", sections_text("html", F.array(
+    return v.pages_as_postings(spark, sf).select("seq", sections_text("html", F.array(
         section(F.concat(F.lit(" "), "title", F.lit("\t")), html), section(F.col("title"), F.lit("<p> </p>")),
         section(F.lit(" "), html))).alias("description"))
 
@@ -429,9 +477,9 @@ SELECT seq, 'PROFILE:' || chr(10) || 'Target roles: red widget, Small Ring, blue
   || 'Description: ' || substr(coalesce(description, 'Not provided'), 1, 12000) AS user_prompt, 0 AS temperature
 FROM pt"""))
 def prompt_text(spark, sf):
-    """SC-12, SC-14, SCO-1."""
+    """SC-12 (with the reference's own limit), SC-14, SCO-1."""
     pages = v.with_text(v.pages_as_postings(spark, sf))
-    return scoring.requests(pages, P, "judge").select("seq", "user_prompt", "temperature")
+    return scoring.requests(pages, P, "judge", fixed.MAX_DESCRIPTION_CHARS).select("seq", "user_prompt", "temperature")
 
 
 @query("""
@@ -551,11 +599,11 @@ SELECT CAST(doc_id AS VARCHAR) AS profile_id, source || ' OR ' || lang AS keywor
 FROM (SELECT doc_id, source, lang, unnest(string_split(text, ' ')) AS w,
              generate_subscripts(string_split(text, ' '), 1) AS i FROM documents) WHERE i <= 5""")
 def search_requests(spark, sf):
-    """SRC-9: every document as a profile, its words as locations."""
+    """SRC-9 with the reference's limit of five: every document as a profile, its words as locations."""
     profiles = v.table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("profile_id"), F.array("source", "lang").alias("roles"),
         F.split("text", " ").alias("locations"))
-    return config.search_requests(profiles, max_items=50)
+    return config.search_requests(profiles, max_items=50, max_searches=fixed.MAX_SEARCHES).drop("left_out")
 
 
 @query("""
@@ -807,7 +855,7 @@ w AS (
     count(*) FILTER (error_type = 'APITimeoutError') OVER before AS other_retry
   FROM ev WINDOW before AS (PARTITION BY job_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 waits AS (
-  SELECT *, CASE WHEN error_type = 'RateLimitError'
+  SELECT *, CASE WHEN error_type = 'RateLimitError' AND rate_limit_retry < 6
     THEN least(coalesce(header_s, message_s, pow(2.0, rate_limit_retry)) + 0.25, 60.0) END AS wait_seconds FROM w)"""
 
 
@@ -816,6 +864,11 @@ def _waits(spark: SparkSession, sf: str) -> DataFrame:
     return attempts.with_waits(attempts.retry_numbers(log, ties=["seq"]), F.lit(0.25))
 
 
+def _held(spark: SparkSession, sf: str) -> DataFrame:
+    waits = checkpointed(_waits(spark, sf)).withColumn("account", F.col("workers") % 2)
+    return attempts.cooldown(waits, ["account"], "ts", "wait_seconds", ["seq"], _call_spread(spark, sf))
+
+
 def _call_spread(spark: SparkSession, sf: str) -> float:
     """Bucket length from the log itself, so that the waits need not be worked out for it."""
     return bucket_length(v.events_as_attempts(spark, sf), "ts")
@@ -850,17 +903,18 @@ SELECT seq, resume_at_us, greatest(coalesce(resume_at_us - epoch_us(ts), 0), 0)
     PARTITION BY workers % 2 ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS resume_at_us FROM waits)"""))
 def cooldown(spark, sf):
     """WIN-3: two accounts, each with half of all calls."""
-    waits = checkpointed(_waits(spark, sf)).withColumn("account", F.col("workers") % 2)
-    return attempts.cooldown(waits, ["account"], "ts", "wait_seconds", ["seq"], _call_spread(spark, sf)).select(
-        "seq", "resume_at_us", "remaining_us")
+    return _held(spark, sf).select("seq", "resume_at_us", "remaining_us")
 
 
 @query(with_sql(EV_SQL, _WAIT_SQL, select="""
-SELECT count(*) FILTER (error_type = 'RateLimitError') AS rate_limit_hits,
-       round(coalesce(sum(wait_seconds), 0), 3) AS rate_limit_wait_seconds FROM waits"""))
+SELECT count(*) FILTER (error_type = 'RateLimitError' AND rate_limit_retry < 6) AS rate_limit_hits,
+       round(coalesce(sum(greatest(resume_at_us - epoch_us(ts), 0))
+         FILTER (error_type = 'RateLimitError' AND rate_limit_retry < 6), 0) / 1000000.0, 3) AS rate_limit_wait_seconds FROM (
+  SELECT *, max(epoch_us(ts) + CAST(round(wait_seconds * 1000000) AS BIGINT)) OVER (
+    PARTITION BY workers % 2 ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS resume_at_us FROM waits)"""))
 def rate_limit_totals(spark, sf):
-    """AGG-10."""
-    return attempts.rate_limit_totals(_waits(spark, sf))
+    """AGG-10: the reference counts a hit after its budget check and sleeps what the account has left."""
+    return attempts.rate_limit_totals(_held(spark, sf))
 
 
 _OUTCOME_SQL = """
@@ -1098,12 +1152,12 @@ def board_probe_misses(spark, sf):
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
     jobs = _jp(spark, sf)
     skills = F.split("title", " ")
-    return rank.top_k(jobs.select(
+    return rank.rank_all(jobs.select(
         "seq", F.struct("id", "title", "company", F.when(F.col("seq") % 2 == 0, F.col("location")).alias("location"),
                         F.lit(None).cast("string").alias("description"), "url", F.lit("parts").alias("source"),
                         F.lit(None).cast("date").alias("posted_date")).alias("job"),
         "score", values.keep_known(skills, P.skills).alias("matched_skills"),
-        values.keep_unknown(skills, P.skills).alias("missing_skills"), F.lit("it fits").alias("rationale")), 200)
+        values.keep_unknown(skills, P.skills).alias("missing_skills"), F.lit("it fits").alias("rationale")))
 
 
 _SKILLS = "('widget', 'ring', 'promo', 'red', 'large')"
@@ -1113,7 +1167,7 @@ rk AS (
          CASE WHEN seq % 2 = 0 THEN location END AS location, url, score,
          list_filter(string_split(title, ' '), lambda x: x IN {_SKILLS}) AS hit,
          list_filter(string_split(title, ' '), lambda x: x NOT IN {_SKILLS}) AS miss
-  FROM jp ORDER BY rank LIMIT 200)"""
+  FROM jp)"""
 
 
 @query(with_sql(JP_SQL, _RANKED_SQL, select="""

@@ -55,9 +55,10 @@ def attempt_report(log: DataFrame, account: Sequence[str] = (), ties: Sequence[s
     waits = checkpointed(attempts.with_waits(
         attempts.retry_numbers(log, ties=ties, bucket_seconds=length), jitter))
     failed = attempts.failed_jobs(log, ties=ties)
+    held = attempts.cooldown(waits, list(account), "ts", "wait_seconds", ties, length)
     return {
-        "cooldown": attempts.cooldown(waits, list(account), "ts", "wait_seconds", ties, length),
-        "totals": attempts.rate_limit_totals(waits),
+        "cooldown": held,
+        "totals": attempts.rate_limit_totals(held),
         "failed_jobs": failed,
         "errors_by_type": attempts.errors_by_type(failed),
     }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE coalesces small shuffle partitions and splits skewed join partitions at run time.
@@ -12,6 +10,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A repeated key keeps its last value, as in most JSON parsers, instead of spoiling its board.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -24,14 +24,13 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a folder of its own; a cluster without it is refused,
-    because a machine-local folder would not survive the loss of an executor.
+    The folder is the one named in ``spark.checkpoint.dir``, by the cluster or by whoever starts
+    the session; without one the call is refused, as nothing else is sure to be shared.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not sc.master.startswith("local"):
+        if configured is None:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rolesieve-checkpoint-"))
+        sc.setCheckpointDir(configured)
     return df.checkpoint()

@@ -26,6 +26,9 @@ from rolesieve.sources.variant import Field, first_reason, parse_whole
 # Order in which sources are read.
 SOURCE_ORDER = {fixed.BOARD_A: 0, fixed.BOARD_B: 1, fixed.SEARCH: 2}
 
+# A variant holds no more; a larger payload is named as such. Land such boards one record per row.
+MAX_PAYLOAD_BYTES = 128 * 1024 * 1024
+
 _PATH = {fixed.BOARD_A: "$.jobs", fixed.BOARD_B: "$", fixed.SEARCH: "$"}
 _WANTED = {
     fixed.BOARD_A: "expected a 'jobs' list",
@@ -47,7 +50,9 @@ def check_payloads(payloads: DataFrame, source: str) -> DataFrame:
     """SRC-4: adds ``records`` (null when unusable) and ``payload_error`` (null when fine)."""
     parsed = payloads.withColumn("_v", parse_whole("payload"))
     records = F.try_variant_get("_v", _PATH[source], "array<variant>")
-    error = F.when(F.col("_v").isNull(), "invalid JSON") \
+    too_large = F.octet_length("payload") > MAX_PAYLOAD_BYTES
+    error = F.when(F.col("_v").isNull() & too_large, "payload too large to parse whole") \
+        .when(F.col("_v").isNull(), "invalid JSON") \
         .when(F.col("records").isNull(), _WANTED[source])
     return parsed.withColumn("records", records).withColumn("payload_error", error).drop("_v")
 
@@ -202,11 +207,9 @@ def configured_payloads(spark: SparkSession, profile: Profile, source: str,
                         payloads: DataFrame) -> DataFrame:
     """SRC-6: landed ``token, payload`` rows of the configured boards, with name and order.
 
-    The board table comes from the profile on the driver, so broadcasting it is safe at any
-    payload size.
+    No hint: Spark broadcasts the board table as long as it is below its own threshold.
     """
-    boards = configured_boards(spark, profile, source)
-    return payloads.join(F.broadcast(boards), "token")
+    return payloads.join(configured_boards(spark, profile, source), "token")
 
 
 def missing_boards(spark: SparkSession, profile: Profile, source: str,
@@ -222,27 +225,34 @@ def gate_runs(items: DataFrame, runs: DataFrame, strict: bool = True) -> DataFra
     ``runs`` has ``token, dataset_id, status, status_message``. Adds ``run_error``, null for a
     usable run. Strict: a failed run is an error, not "no rows".
     """
-    joined = items.join(runs.select("token", "dataset_id", "status", "status_message"), "token", "left")
-    error = run_error()
+    joined = items.join(_one_run(runs), "token", "left").withColumn("run_error", run_error()).drop("_runs")
     if not strict:
-        return joined.withColumn("run_error", error)
-    complaint = F.concat(F.lit("search run for '"), F.col("token"), F.lit("': "), error)
-    return joined.withColumn("run_error", F.when(error.isNotNull(), F.raise_error(complaint))
-                             .cast("string"))
+        return joined
+    complaint = F.concat(F.lit("search run for '"), F.col("token"), F.lit("': "), F.col("run_error"))
+    # In a filter, so that leaving the column out of a later select cannot leave the check out.
+    return joined.filter(F.when(F.col("run_error").isNotNull(), F.raise_error(complaint).cast("boolean")).otherwise(True))
+
+
+def _one_run(runs: DataFrame) -> DataFrame:
+    """A row per token, so that no item doubles; how many runs there were is in ``_runs``."""
+    return runs.groupBy("token").agg(
+        F.max(F.struct("dataset_id", "status", "status_message")).alias("_run"), F.count(F.lit(1)).alias("_runs")
+    ).select("token", "_run.*", "_runs")
 
 
 def run_error() -> Column:
-    """SRC-10: a run without a dataset, then a run that did not succeed."""
+    """SRC-10: more than one run of a token, a run without a dataset, a run that did not succeed."""
     status = F.coalesce(F.col("status"), F.lit("unknown"))
     message = F.coalesce(F.col("status_message"), F.lit("none"))
-    return F.when(F.coalesce(F.col("dataset_id"), F.lit("")) == "", "no dataset") \
+    return F.when(F.col("_runs") > 1, "more than one run") \
+        .when(F.coalesce(F.col("dataset_id"), F.lit("")) == "", "no dataset") \
         .when(status != fixed.RUN_SUCCEEDED,
               F.concat(F.lit("status="), status, F.lit(", message="), message))
 
 
 def failed_runs(runs: DataFrame) -> DataFrame:
     """SRC-10: runs that are an error, also those that left no item behind."""
-    return runs.withColumn("run_error", run_error()).filter(F.col("run_error").isNotNull())
+    return _one_run(runs).withColumn("run_error", run_error()).drop("_runs").filter(F.col("run_error").isNotNull())
 
 
 def union_sources(*tables: DataFrame) -> DataFrame:
@@ -271,6 +281,8 @@ def collect_jobs(spark: SparkSession, profile: Profile, board_a: DataFrame | Non
         parts.append(read_payloads(configured_payloads(spark, profile, source, payloads), source, strict))
     if search is not None and (profile.sources.get(fixed.SEARCH) or {}).get("enabled") \
             and profile.roles and profile.locations:
+        if runs is None and strict:
+            raise RuntimeError("search items without the state of their runs")
         if runs is not None:
             failed = failed_runs(runs).take(1) if strict else []
             if failed:

@@ -55,19 +55,21 @@ def expand_boards(entries: DataFrame) -> DataFrame:
 
 
 def search_requests(profiles: DataFrame, max_items: int = fixed.DEFAULT_MAX_ITEMS,
-                    max_pages: int = fixed.DEFAULT_MAX_PAGES) -> DataFrame:
-    """SRC-9: one request per location, the first five only; none without roles or locations.
+                    max_pages: int = fixed.DEFAULT_MAX_PAGES, max_searches: int | None = None) -> DataFrame:
+    """SRC-9: one request per location; none without roles or locations.
 
-    ``profiles`` has ``profile_id, roles array<string>, locations array<string>``. The bound on
-    searches is part of the request format, not a cut of the data.
+    ``profiles`` has ``profile_id, roles array<string>, locations array<string>``. A service that
+    takes only so many searches sets ``max_searches``; ``left_out`` then lists the other locations.
     """
+    used = F.col("locations") if max_searches is None else F.slice("locations", 1, max_searches)
+    left_out = F.slice("locations", F.lit(1 if max_searches is None else max_searches + 1), F.lit(0) if max_searches is None else F.greatest(F.size("locations"), F.lit(1)))
     return (
         profiles.filter(F.size("roles") > 0)
         .select("profile_id", F.array_join("roles", " OR ").alias("keywords"),
-                F.posexplode(F.slice("locations", 1, fixed.MAX_SEARCHES)).alias("pos", "location"))
+                left_out.alias("left_out"), F.posexplode(used).alias("pos", "location"))
         .select("profile_id", F.col("pos").cast("long").alias("request_ord"),
                 F.lit("search").alias("mode"), "keywords", "location",
-                F.lit(max_items).alias("max_items"), F.lit(max_pages).alias("max_pages"))
+                F.lit(max_items).alias("max_items"), F.lit(max_pages).alias("max_pages"), "left_out")
     )
 
 
@@ -78,7 +80,7 @@ def profile_search_requests(spark: SparkSession, profile: Profile) -> DataFrame:
         [("profile", list(profile.roles), list(profile.locations))] if section else [],
         "profile_id string, roles array<string>, locations array<string>")
     return search_requests(one, section.get("max_items", fixed.DEFAULT_MAX_ITEMS),
-                           section.get("max_pages", fixed.DEFAULT_MAX_PAGES))
+                           section.get("max_pages", fixed.DEFAULT_MAX_PAGES), section.get("max_searches"))
 
 
 def load_payload_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,13 +10,14 @@ os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from rolesieve.session import configure
 
     session = (
         SparkSession.builder.master("local[4]").appName("rolesieve-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('checkpoints')}")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )

@@ -80,14 +80,23 @@ def test_outcomes(spark):
                    "fatal": (1, "BadRequestError", False)}
     report = reports.attempt_report(table, jitter=F.lit(0.0))
     totals = report["totals"].first()
-    assert (totals.rate_limit_hits, totals.rate_limit_wait_seconds) == (8, 8.0)
+    assert (totals.rate_limit_hits, totals.rate_limit_wait_seconds) == (7, 7.0)
     assert {r.error_type: r.jobs for r in report["errors_by_type"].collect()} == {
         "RateLimitError": 1, "APITimeoutError": 1, "BadRequestError": 1}
     assert report["cooldown"].count() == len(rows)
-    empty = attempts.rate_limit_totals(table.limit(0).withColumn("wait_seconds", F.lit(1.0))).first()
+    empty = reports.attempt_report(table.limit(0))["totals"].first()
     assert (empty.rate_limit_hits, empty.rate_limit_wait_seconds) == (0, 0.0)
 
 
+def test_overlapping_waits_add_what_is_left(spark):
+    rows = [("a", 0, "RateLimitError", None, "5"), ("b", 1, "RateLimitError", None, "0.5")]
+    totals = reports.attempt_report(log(spark, rows), jitter=F.lit(0.0))["totals"].first()
+    assert (totals.rate_limit_hits, totals.rate_limit_wait_seconds) == (2, 9.0)
+    spent = [("a", i, "RateLimitError", None, "9") for i in range(7)] + [("b", 20, None, None, None)]
+    held = {r.seq: r.remaining_us for r in reports.attempt_report(log(spark, spent), ties=["seq"], jitter=F.lit(0.0))["cooldown"].collect()}
+    assert held[5] == 9_000_000 and held[6] == 8_000_000  # the last call gives up and moves nothing
+
+
 def test_exact_medians_with_a_hot_group(spark):
     rng = random.Random(1)
     rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"k{i % 7}", rng.choice([rng.random() * 1e6, 5.0]),
@@ -141,7 +150,7 @@ def test_reproducibility(spark):
 
 def test_rounding_follows_the_exact_value(spark):
     rng = random.Random(5)
-    numbers = [8.1025, (8.102 + 8.103) / 2, 2.5, 0.0625, 0.1875, 0.0005, 0.0015, 1e-300, 0.0, 1 / 3, 123456.0005, 0.9999999]
+    numbers = [8.1025, (8.102 + 8.103) / 2, 2.5, 0.0625, 0.1875, 0.0005, 0.0015, 1e-300, 0.0, 1 / 3, 123456.0005, 0.9999999, 1e9 + 0.0625, 4e12 + 1 / 3, 2.0 ** 52 + 1, 1e300]
     numbers += [rng.randrange(10**6) / 2000 for _ in range(500)] + [rng.random() * 1000 for _ in range(500)]
     numbers += [-x for x in numbers[:20]]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")

@@ -141,7 +141,9 @@ def test_gates(spark, labelled):
 
 def test_per_source_reports_zero(spark):
     df = spark.createDataFrame([("greenhouse",)], "source string")
-    assert {r.source: r.jobs for r in funnel.per_source(df).collect()} == {"greenhouse": 1, "lever": 0}
+    assert {r.source: r.jobs for r in funnel.per_source(df).collect()} == {"greenhouse": 1, "lever": 0, "apify": 0}
+    other = spark.createDataFrame([("elsewhere",), (None,)], "source string")
+    assert {r.source: r.jobs for r in funnel.per_source(other).collect()} == {"greenhouse": 0, "lever": 0, "apify": 0, "elsewhere": 1, None: 1}
 
 
 def test_slugs_and_names(spark):

@@ -62,7 +62,7 @@ def test_whole_run(spark, table, tmp_path):
     usage = spark.createDataFrame([(10, 5, 15)], "prompt_tokens int, completion_tokens int, total_tokens int")
     report = reports.run_report(stage_tables(stages), usage, "gpt-4.1-mini")
     assert {r.stage: r.rows for r in report["stages"].collect()} == {"collected": 120, "filtered": 5, "scored": 5, "skipped": 0}
-    assert {r.source: r.jobs for r in report["per_source"].collect()} == {"greenhouse": 120, "lever": 0}
+    assert {r.source: r.jobs for r in report["per_source"].collect()} == {"greenhouse": 120, "lever": 0, "apify": 0}
     assert report["tokens"].first().calls == 1
 
 

