@@ -69,7 +69,7 @@ class Model:
     def scores(self, texts) -> list[float]:
         """Probability that each document is toxic; 0 without any sentence, as for null and empty."""
         clean = self.scorer()
-        return [-math.expm1(clean((t or "").lower())) for t in texts]
+        return [max(0.0, -math.expm1(clean((t or "").lower()))) for t in texts]
 
 
 def _softplus(x: float) -> float:
