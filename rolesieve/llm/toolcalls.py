@@ -2,10 +2,10 @@
 call stands behind those it refers to, checked against schemas, and written as canonical JSON.
 
 Joins are on (conversation, identifier) hashes, so a long conversation spreads over tasks by its
-identifiers and is never gathered. Order is found by passing labels along references: a call's label
-is its own place, or, if it must wait for a later call, that call's place and one step more; only
-calls whose label still rises take part in a round, and references that point back, the usual case,
-need none.
+identifiers and is never gathered for them. Order comes from labels: a call's label is its own
+place, or, if it must wait for a later call, that call's place and one step more. Conversations of up
+to LOCAL references, many to a task, get their labels in one walk; those beyond it get the same
+labels in rounds of joins, in which only calls whose label still rises take part.
 """
 
 from __future__ import annotations
@@ -14,14 +14,17 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from rolesieve.llm.common import stored
+from rolesieve.llm.common import n_partitions, stored
 
 #: A reference inside arguments to the result of another call of the same conversation.
 REFERENCE = r'"\$ref:([^"]+)"'
+#: References of a conversation that one task walks through.
+LOCAL = 20_000
 _TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
 
@@ -145,33 +148,75 @@ def _join(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return a.join(b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key], "left").drop(*(f"__{c}" for c in key))
 
 
-def _labels(first: DataFrame) -> DataFrame:
+def _labels(first: DataFrame, local: int = LOCAL) -> DataFrame:
     """conv_id, call_id, at, step, missing, cyclic of each call; ``first`` has a row per reference.
 
-    Sorting by (at, step) puts a call behind all it refers to. A label can rise once for each other
-    call of its conversation; what rises more often is in or behind a cycle.
+    Sorting by (at, step) puts a call behind all it refers to.
     """
+    sizes = first.groupBy("conv_id").agg(F.count("*").alias("n"))
+    sized = _join(first, sizes, ["conv_id"])
+    small, large = sized.where(f"n <= {local}").drop("n"), stored(sized.where(f"n > {local}").drop("n"))
+    spark = first.sparkSession
+    groups = n_partitions(spark, first.count(), 50_000)
+    kind = first.schema["conv_id"].dataType.simpleString()
+    walked = small.withColumn("part", F.pmod(F.xxhash64("conv_id"), F.lit(groups))).repartition(groups, "part").groupBy("part").applyInArrow(
+        _walk, f"conv_id {kind}, call_id string, at long, step int, missing boolean, cyclic boolean")
+    return walked if large.isEmpty() else walked.unionByName(_rounds(large))
+
+
+def _walk(table: pa.Table) -> pa.Table:
+    """Labels of whole conversations; what a walk from free calls does not reach is in or behind a cycle."""
+    talks: dict = {}
+    for conv, call, pos, ref in zip(*(table[c].to_pylist() for c in ("conv_id", "call_id", "call_pos", "ref"))):
+        refs = talks.setdefault(conv, {}).setdefault(call, (pos, []))[1]
+        if ref is not None:
+            refs.append(ref)
+    out = []
+    for conv, calls in talks.items():
+        label = {c: (pos, 0) for c, (pos, _) in calls.items()}
+        waits, users = {}, {}
+        for call, (_, refs) in calls.items():
+            waits[call] = sum(r in calls for r in refs)
+            for r in refs:
+                users.setdefault(r, []).append(call)
+        free = [c for c, n in waits.items() if not n]
+        for call in free:
+            at, step = label[call]
+            for user in users.get(call, ()):
+                label[user] = max(label[user], (at, step + 1))
+                waits[user] -= 1
+                if not waits[user]:
+                    free.append(user)
+        out += [(conv, c, *label[c], any(r not in calls for r in refs), waits[c] > 0) for c, (_, refs) in calls.items()]
+    columns = list(zip(*out)) or [()] * 6
+    kinds = (table.schema.field("conv_id").type, pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
+    return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["conv_id", "call_id", "at", "step", "missing", "cyclic"])
+
+
+def _rounds(first: DataFrame) -> DataFrame:
+    """The labels of ``_walk`` by joins. A label can rise once for each other call of its
+    conversation; one that rises more often, or whose own unshared place comes back to it, belongs
+    to a call in a cycle, and what waits for such a call is behind it."""
     key = ["conv_id", "call_id"]
     nodes = first.groupBy(*key).agg(F.min("call_pos").alias("call_pos"))
     sizes = nodes.groupBy("conv_id").agg(F.count("*").alias("calls"))
-    target = nodes.select("conv_id", F.col("call_id").alias("ref"), F.col("call_pos").alias("ref_pos"))
+    single = nodes.groupBy("conv_id", "call_pos").agg((F.count("*") == 1).alias("single"))
+    target = nodes.select("conv_id", F.col("call_id").alias("ref"), F.col("call_pos").alias("ref_pos"), F.lit(True).alias("there"))
     references = stored(_join(first.where("ref is not null"), target, ["conv_id", "ref"]))
-    missing = references.where("ref_pos is null").select(*key, F.lit(True).alias("missing")).distinct()
-    # a label is worth a look only behind a call that comes later, or that waits for one
-    edges = references.where("ref_pos is not null")
-    label = F.struct(F.col("call_pos").alias("at"), F.lit(0).alias("step"))
-    state = stored(_join(nodes, sizes, ["conv_id"]).select(*key, label.alias("label"), "calls", F.lit(False).alias("cyclic"), F.lit(True).alias("rose")))
+    missing = references.where("there is null").select(*key, F.lit(True).alias("missing")).distinct()
+    edges = references.where("there").select("conv_id", "call_id", F.col("ref").alias("__r"))
+    state = _join(_join(nodes, sizes, ["conv_id"]), single, ["conv_id", "call_pos"])
+    state = stored(state.select(*key, "call_pos", "calls", "single", F.struct(F.col("call_pos").alias("at"), F.lit(0).alias("step")).alias("label"), F.lit(False).alias("cyclic"), F.lit(True).alias("rose")))
     while not state.where("rose").isEmpty():
-        risen = state.where("rose").select("conv_id", F.col("call_id").alias("ref"), F.col("label").alias("from"), F.col("cyclic").alias("from_cyclic"))
-        offers = edges.select("conv_id", "call_id", "ref").join(
-            risen.select(F.col("conv_id").alias("__c"), F.col("ref").alias("__r"), "from", "from_cyclic"),
-            F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("ref") == F.col("__r")))
-        offers = offers.groupBy(*key).agg(F.max(F.struct(F.col("from.at").alias("at"), (F.col("from.step") + 1).alias("step"))).alias("offer"), F.max("from_cyclic").alias("cycle_offer"))
+        risen = state.where("rose").select(F.col("conv_id").alias("__c"), F.col("call_id").alias("ref"), F.col("label").alias("from"), F.col("cyclic").alias("behind"))
+        offers = edges.join(risen, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("ref") == F.col("__r")))
+        offers = offers.groupBy(*key).agg(F.max(F.struct(F.col("from.at").alias("at"), (F.col("from.step") + 1).alias("step"))).alias("offer"), F.max("behind").alias("behind"))
         both = _join(state, offers, key)
         higher = F.coalesce(F.col("offer") > F.col("label"), F.lit(False)) & ~F.col("cyclic")
-        cyclic = F.col("cyclic") | F.coalesce("cycle_offer", F.lit(False)) | (higher & (F.col("offer.step") >= F.col("calls")))
-        state = stored(both.select(*key, F.when(higher, F.col("offer")).otherwise(F.col("label")).alias("label"), "calls",
-                                   cyclic.alias("cyclic"), (higher | (cyclic != F.col("cyclic"))).alias("rose")))
+        around = (F.col("single") & (F.col("offer.at") == F.col("call_pos"))) | (F.col("offer.step") >= F.col("calls"))
+        cyclic = F.col("cyclic") | F.coalesce("behind", F.lit(False)) | (higher & F.coalesce(around, F.lit(False)))
+        state = stored(both.select(*key, "call_pos", "calls", "single", F.when(higher, F.col("offer")).otherwise(F.col("label")).alias("label"),
+                                   cyclic.alias("cyclic"), ((higher & ~cyclic) | (cyclic != F.col("cyclic"))).alias("rose")))
     return _join(state, missing, key).select(*key, "label.at", "label.step", F.coalesce("missing", F.lit(False)).alias("missing"), "cyclic")
 
 
