@@ -76,6 +76,11 @@ def _softplus(x: float) -> float:
     return max(x, 0.0) + math.log1p(math.exp(-abs(x)))
 
 
+def _bags(text: str | None) -> list[list[str]]:
+    """The different words of each sentence."""
+    return [sorted(set(WORDS.findall(s))) for s in SENTENCES.findall((text or "").lower()) if s.strip()]
+
+
 def _errors(n: int, n_toxic: int, docs: int, toxic: int) -> float:
     share, rest = n / docs, docs - toxic
     return abs(n_toxic / toxic - (n - n_toxic) / rest) / math.sqrt(max(share * (1 - share), 1 / docs) * (1 / toxic + 1 / rest))
@@ -87,18 +92,27 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     y = np.array(labels, float)
     if len(set(labels)) < 2:
         return Model({}, 20.0 if labels and labels[0] else -20.0)
-    docs = [[sorted(set(WORDS.findall(s))) for s in SENTENCES.findall((t or "").lower()) if s.strip()] for t in texts]
-    seen, toxic = (Counter(f for d in part for f in {f for s in d for w in s for f in features(w)}) for part in (docs, [d for d, label in zip(docs, labels) if label]))
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_DOCS and _errors(n, toxic[w], len(docs), sum(labels)) >= LEAST_ERRORS))}
-    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    bags = [[vocabulary[f] for w in s for f in features(w) if f in vocabulary] for d in docs for s in d]
-    row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    col = np.fromiter((i for b in bags for i in b), np.int64, len(row))
-    n, k = len(docs), len(vocabulary)
+    seen, toxic = Counter(), Counter()
+    for text, label in zip(texts, labels):  # twice over the texts, so that their words are never all held
+        found = {f for s in _bags(text) for w in s for f in features(w)}
+        seen.update(found)
+        if label:
+            toxic.update(found)
+    known = sorted(f for f, n in seen.items() if n >= LEAST_DOCS and _errors(n, toxic[f], len(labels), sum(labels)) >= LEAST_ERRORS)
+    del seen, toxic
+    vocabulary = {f: i for i, f in enumerate(known)}
+    counts, sizes, columns = [], [], []
+    for text in texts:
+        bags = [[vocabulary[f] for w in s for f in features(w) if f in vocabulary] for s in _bags(text)]
+        counts.append(len(bags))
+        sizes += map(len, bags)
+        columns += (i for bag in bags for i in bag)
+    doc, row, col = np.repeat(np.arange(len(counts)), counts), np.repeat(np.arange(len(sizes)), sizes), np.array(columns, np.int64)
+    n, k = len(counts), len(vocabulary)
     w, b = np.zeros(k), -4.0
     mean, square = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, STEPS + 1):
-        z = b + np.bincount(row, w[col], len(bags))
+        z = b + np.bincount(row, w[col], len(sizes))
         clean = np.bincount(doc, -np.logaddexp(0, z), n)  # log of the chance that no sentence is toxic
         clean = np.minimum(clean, -1e-9)
         slope = np.where(y == 1, 1 / np.expm1(-clean), -1.0) / n  # of the loss, by the log of that chance
