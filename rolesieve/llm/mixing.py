@@ -25,6 +25,8 @@ MAX_PATTERNS = 20_000
 SEED = "mix-1"
 #: Documents of a bucket of the seeded order, about.
 BUCKET = 200
+#: Buckets that are added up together.
+WIDE = 1000
 
 
 def targets(sizes: list[int], weights: list[int], share: float = 1.0, most: int = len(COSTS)) -> list[float]:
@@ -133,9 +135,15 @@ def mix(docs: DataFrame, sources: Column | None = None, size: Column | None = No
     buckets = max(1, sum(r["n"] for r in totals) // BUCKET)
     bucket = F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).alias("bucket")
     rows = rows.select("*", bucket)
-    before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("sum")).select(
-        "pattern", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    # buckets are added up a thousand at a time, so that no window grows with the documents of a pattern
+    wide = F.floor(F.col("bucket") / WIDE).alias("wide")
+    fine = stored(rows.groupBy("pattern", "bucket", wide).agg(F.sum("size").alias("sum")))
+    wider = fine.groupBy("pattern", "wide").agg(F.sum("sum").alias("sum"))
+    ahead = lambda by, order: F.coalesce(F.sum("sum").over(
+        Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wider = wider.select("pattern", "wide", ahead(["pattern"], "wide").alias("base"))
+    sums = fine.withColumn("ahead", ahead(["pattern", "wide"], "bucket")).join(wider, ["pattern", "wide"]).select(
+        "pattern", "bucket", (F.col("base") + F.col("ahead")).alias("base"))
     inside = Window.partitionBy("pattern", "bucket").orderBy("place", f"__doc.{doc_id}", "size", F.xxhash64("__doc")).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
