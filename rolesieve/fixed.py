@@ -43,7 +43,6 @@ MAX_DESCRIPTION_CHARS = 12000
 NO_DESCRIPTION = "Not provided"
 NOT_SPECIFIED = "Not specified"
 NO_SKILLS = "None"
-DEFAULT_WORKERS = 4
 TEMPERATURE = 0
 SCORE_MIN, SCORE_MAX = 0.0, 100.0
 SCORE_BANDS = (

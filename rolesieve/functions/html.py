@@ -28,7 +28,14 @@ _MARKUP = (
     r"|[!?/][^>]*+>)"
 )
 _TOKEN = _MARKUP + "|[^<]++|<"
-_RAW_WITH_AMPERSAND = rf"(?is)<(script|style){_OPEN}(?![^&]*?</\1)"
+_RAW = rf"(?is)<script{_OPEN}.*?</script\s*+>|<style{_OPEN}.*?</style\s*+>"
+_RAW_PIECE = rf"(?is)^<(script|style){_OPEN}.*</\1\s*+>$"
+# Put behind an opening bracket that nothing closes, so that no search for its end begins there; a
+# code point that no text may hold.
+_MARK = "\ufdd0"
+# Bytes from which a page is looked through for such brackets first. It never changes a result: on
+# shorter pages the search costs less than the look.
+_LONG = 16_384
 _RAW_EDGES = r"(?is)^<[^>]*+>|</(?:script|style)\s*+>$"
 
 # The entities most texts stop at, looked up before the full table.
@@ -45,17 +52,52 @@ _BARE = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")),
 def html_to_text(html) -> Column:
     """SC-6: visible text, one space between pieces, no space before punctuation; null if empty."""
     def pieces(source: Column) -> Column:
-        tokens = F.regexp_extract_all(source, F.lit(_TOKEN), F.lit(0))
         whole = F.array(F.regexp_replace(source, _MARKUP + "|(<)", " $1$2$3 "))
-        return F.when(source.rlike(_RAW_WITH_AMPERSAND), tokens).otherwise(whole)
+        # without one element inside another, these are all that the page has
+        elements = F.exists(F.regexp_extract_all(source, F.lit(_RAW), F.lit(0)),
+                            lambda e: e.contains("&") | e.rlike(r"(?is)^.+<(?:script|style)\b"))
+        raw = source.contains("&") & source.rlike("(?i)<s(?:cript|tyle)") & elements
+        return F.when(raw, F.regexp_extract_all(source, F.lit(_TOKEN), F.lit(0))).otherwise(whole)
 
-    return let(F.array_join(F.transform(let(col(html), pieces), _piece_text), " "), _tidy)
+    def text(html: Column) -> Column:
+        long = (F.octet_length(html) > _LONG) & ~html.contains(_MARK)
+        source = F.when(long & let(F.lower(html), _unclosed), _marked(html)).otherwise(html)
+        joined = F.array_join(F.transform(let(source, pieces), _piece_text), " ")
+        return F.when(long, F.replace(joined, F.lit(_MARK))).otherwise(joined)
+
+    return let(let(col(html), text), _tidy)
+
+
+def _unclosed(lower: Column) -> Column:
+    """Whether some bracket may lack its end."""
+    def element(name: str) -> Column:
+        return F.substring_index(lower, f"</{name}", -1).contains(f"<{name}") | lower.rlike(rf"</{name}(?!\s*+>)")
+
+    return F.substring_index(lower, ">", -1).contains("<") | F.substring_index(lower, "-->", -1).contains("<!--") \
+        | element("script") | element("style")
+
+
+def _marked(html: Column) -> Column:
+    """``html`` with a mark in brackets whose end is missing; searching for it from each of very many
+    such brackets would take the square of their number."""
+    def split(c: Column, rest: Column, opening: str, marked: str) -> Column:
+        return let(rest, lambda r: F.when(r.rlike(opening), F.concat(
+            F.left(c, F.length(c) - F.length(r)), F.regexp_replace(r, opening, marked))).otherwise(c))
+
+    def element(c: Column, name: str) -> Column:
+        closed = F.regexp_extract(c, rf"(?is)^.*</{name}\s*+>", 0)
+        marked = split(c, F.substr(c, F.length(closed) + 1), rf"(?i)<({name[0]})({name[1:]})", f"<$1{_MARK}$2")
+        return F.when(c.rlike(rf"(?i)<{name}"), marked).otherwise(c)
+
+    out = split(html, F.substring_index(html, ">", -1), "<", "<" + _MARK)
+    out = let(out, lambda c: split(c, F.substring_index(c, "-->", -1), "<!--", f"<!{_MARK}--"))
+    return let(let(out, lambda c: element(c, "script")), lambda c: element(c, "style"))
 
 
 def _piece_text(piece: Column) -> Column:
     """Text of a token. Text with its markup taken out never starts with a bracket."""
     raw = F.regexp_replace(piece, _RAW_EDGES, "")
-    return F.when(piece.rlike(r"(?is)^<(?:script|style)\b"), raw) \
+    return F.when(piece.rlike(_RAW_PIECE), raw) \
         .when(piece.rlike(r"(?is)^<[a-z!?/]"), F.lit("")) \
         .otherwise(_unescape(piece))
 

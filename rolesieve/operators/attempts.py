@@ -25,7 +25,7 @@ def is_other_retryable(error_type="error_type") -> Column:
 
 
 def retry_numbers(log: DataFrame, key: str = "job_id", ts: str = "ts", ties: Sequence[str] = (),
-                  bucket_seconds: float | None = None) -> DataFrame:
+                  buckets: int | None = None) -> DataFrame:
     """WIN-4: per job and call, how often each error family came before it.
 
     The two families have budgets of their own and are counted apart.
@@ -35,7 +35,7 @@ def retry_numbers(log: DataFrame, key: str = "job_id", ts: str = "ts", ties: Seq
 
     counted = running(log, [key], ts, ties, {
         "rate_limit_retry": before(is_rate_limit()), "other_retry": before(is_other_retryable()),
-    }, bucket_seconds, inclusive=False)
+    }, buckets, inclusive=False)
     return counted.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rate_limit_retry", "other_retry")})
 
 
@@ -54,7 +54,7 @@ def _goes_on() -> Column:
 
 
 def cooldown(log: DataFrame, account: Sequence[str], ts: str, wait: str, ties: Sequence[str] = (),
-             bucket_seconds: float | None = None) -> DataFrame:
+             buckets: int | None = None) -> DataFrame:
     """WIN-3: shared resume time after each call, and what is left to wait at that moment.
 
     The resume time only moves later. Times are in microseconds since 1970; a call without a
@@ -62,7 +62,7 @@ def cooldown(log: DataFrame, account: Sequence[str], ts: str, wait: str, ties: S
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     until = at + F.round(F.col(wait) * 1_000_000).cast("long")
-    held = running(log, account, ts, ties, {"resume_at_us": ("max", until)}, bucket_seconds)
+    held = running(log, account, ts, ties, {"resume_at_us": ("max", until)}, buckets)
     return held.withColumn("remaining_us", F.greatest(
         F.coalesce(F.col("resume_at_us") - at, F.lit(0)), F.lit(0)))
 

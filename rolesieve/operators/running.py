@@ -7,38 +7,32 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_MERGE = {"max": F.max, "sum": F.sum}
-_ROWS_PER_BUCKET = 1_000_000
+from rolesieve.session import checkpointed
 
+_MERGE = {"max": F.max, "sum": F.sum}
 
-def bucket_length(df: DataFrame, ts: str, rows_per_bucket: int = _ROWS_PER_BUCKET) -> float:
-    """Seconds of a time bucket that holds about ``rows_per_bucket`` rows over all keys.
 
-    One pass over the time column. It only steers how the work is spread; every length is exact.
-    """
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    n, first, last = df.agg(F.count(at), F.min(at), F.max(at)).first()
-    if not n or n <= rows_per_bucket:
-        return max(((last or 0) - (first or 0)) / 1e6, 1.0)
-    return max((last - first) / 1e6 * rows_per_bucket / n, 1e-6)
+def bucketed(df: DataFrame, ts: str, ties: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """``df`` with ``_bucket``, which grows with (``ts``, ``ties``); about as many rows in each."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, ts, *ties).withColumn("_bucket", F.spark_partition_id())
 
 
 def running(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str],
-            measures: Mapping[str, tuple[str, Column]], bucket_seconds: float | None = None,
+            measures: Mapping[str, tuple[str, Column]], buckets: int | None = None,
             inclusive: bool = True) -> DataFrame:
     """Adds running values over (``ts``, ``ties``) within ``keys``.
 
     ``measures`` maps a new column to ``("max" | "sum", value)``. A plain window would sort all
-    rows of a key in one task. Here time is cut into buckets: every (key, bucket) is first
-    aggregated, the aggregates run over the buckets of a key (a few numbers per bucket), and each
-    bucket then starts from what came before it. The carried values travel as one extra row per
-    bucket, so rows are shuffled once, by key and bucket. Exact for any bucket length, because
-    both aggregates can be put together from parts; without one it follows from the data.
+    rows of a key in one task. Here the rows of all keys are range-sorted by (``ts``, ``ties``)
+    into ``buckets`` of about equal size, as many as the session's shuffle partitions by default:
+    neither a stray time nor a burst at one instant makes one of them large. Every (key, bucket) is
+    first aggregated, the aggregates run over the buckets of a key (a few numbers per bucket), and
+    each bucket then starts from what came before it. Exact for any number of buckets, because both
+    aggregates can be put together from parts. The buckets are written once, so that a task that
+    runs again finds the same ones. Rows that are equal in key, time and ties come in any order.
     """
-    length = bucket_length(df, ts) if bucket_seconds is None else bucket_seconds
-    bucket = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(max(round(length * 1e6), 1)))
-    values = [F.expr("*"), bucket.alias("_bucket")]
-    rows = df.select(*values, *(v.alias(f"_v_{name}") for name, (_, v) in measures.items()))
+    rows = checkpointed(bucketed(df.select("*", *(v.alias(f"_v_{name}") for name, (_, v) in measures.items())), ts, ties, buckets))
     parts = rows.groupBy(*keys, "_bucket").agg(
         *(_MERGE[kind](f"_v_{name}").alias(f"_v_{name}") for name, (kind, _) in measures.items()))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,7 +11,6 @@ from rolesieve import fixed
 from rolesieve.functions import prompt, text, values
 from rolesieve.functions.html import sections_text
 from rolesieve.operators import attempts, dedup, filters, funnel, probe, rank, runs, scoring
-from rolesieve.operators.running import bucket_length
 from rolesieve.operators.scoring import ScoringError
 from rolesieve.plans import board_probe as probing
 from rolesieve.plans import views as v
@@ -865,13 +864,8 @@ def _waits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _held(spark: SparkSession, sf: str) -> DataFrame:
-    waits = checkpointed(_waits(spark, sf)).withColumn("account", F.col("workers") % 2)
-    return attempts.cooldown(waits, ["account"], "ts", "wait_seconds", ["seq"], _call_spread(spark, sf))
-
-
-def _call_spread(spark: SparkSession, sf: str) -> float:
-    """Bucket length from the log itself, so that the waits need not be worked out for it."""
-    return bucket_length(v.events_as_attempts(spark, sf), "ts")
+    waits = _waits(spark, sf).withColumn("account", F.col("workers") % 2)
+    return attempts.cooldown(waits, ["account"], "ts", "wait_seconds", ["seq"])
 
 
 @query(with_sql(EV_SQL, _WAIT_SQL, select="""

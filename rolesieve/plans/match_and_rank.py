@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from rolesieve import fixed
 from rolesieve.operators import dedup, filters, rank, scoring
 from rolesieve.profile import Profile
 from rolesieve.session import checkpointed
@@ -39,7 +38,7 @@ def survivors(jobs: DataFrame, profile: Profile) -> DataFrame:
 
 def match(jobs: DataFrame, profile: Profile, scorer: Callable | None = None,
           system_prompt: str = DEFAULT_SYSTEM_PROMPT,
-          max_workers: int | None = fixed.DEFAULT_WORKERS) -> Stages:
+          max_workers: int | None = None) -> Stages:
     """Everything up to the scored tables. Without a scorer the offline one is used.
 
     What later steps read more than once is written once: the survivors when a scorer reads them

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from rolesieve import fixed
 from rolesieve.operators import attempts, filters, funnel, rank, runs
-from rolesieve.operators.running import bucket_length
 from rolesieve.profile import Profile
 from rolesieve.session import checkpointed
 
@@ -51,11 +50,9 @@ def worker_comparison(run_rows: DataFrame) -> DataFrame:
 def attempt_report(log: DataFrame, account: Sequence[str] = (), ties: Sequence[str] = (),
                    jitter=None) -> dict[str, DataFrame]:
     """Q-6: waits with the shared cooldown, totals, outcomes per job and per error."""
-    length = bucket_length(log, "ts")
-    waits = checkpointed(attempts.with_waits(
-        attempts.retry_numbers(log, ties=ties, bucket_seconds=length), jitter))
+    waits = attempts.with_waits(attempts.retry_numbers(log, ties=ties), jitter)
     failed = attempts.failed_jobs(log, ties=ties)
-    held = attempts.cooldown(waits, list(account), "ts", "wait_seconds", ties, length)
+    held = attempts.cooldown(waits, list(account), "ts", "wait_seconds", ties)
     return {
         "cooldown": held,
         "totals": attempts.rate_limit_totals(held),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolesieve.functions import values
-from rolesieve.operators import attempts, runs
+from rolesieve.operators import attempts, running, runs
 from rolesieve.plans import reports
 from rolesieve.sinks import files
 
@@ -45,16 +45,17 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("bucket", [1, 60, 100_000])
-def test_running_values_match_a_walk_for_any_bucket(spark, bucket):
-    rng = random.Random(bucket)
+@pytest.mark.parametrize("buckets", [1, 4, 50])
+def test_running_values_match_a_walk_for_any_number_of_buckets(spark, buckets):
+    rng = random.Random(buckets)
     kinds = ["RateLimitError", "APITimeoutError", None]
     rows = [(rng.choice(["hot", "hot", "b", "c"]), rng.randrange(300), rng.choice(kinds), None, str(rng.randrange(1, 90)))
             for _ in range(300)]
+    rows += [("hot", 10**8, None, None, "1")] + [("hot", 77, rng.choice(kinds), None, "3") for _ in range(60)]  # a stray time, a burst
     want = brute(rows)
-    numbered = attempts.retry_numbers(log(spark, rows), ties=["seq"], bucket_seconds=bucket)
+    numbered = attempts.retry_numbers(log(spark, rows), ties=["seq"], buckets=buckets)
     held = attempts.cooldown(numbered.withColumn("w", F.when(attempts.is_rate_limit(), F.col("retry_after").cast("double")))
-                             .withColumn("account", F.lit("a")), ["account"], "ts", "w", ["seq"], bucket).collect()
+                             .withColumn("account", F.lit("a")), ["account"], "ts", "w", ["seq"], buckets).collect()
     base = int(START.timestamp() * 1_000_000)
     assert len(held) == len(rows)
     for r in held:
@@ -62,6 +63,14 @@ def test_running_values_match_a_walk_for_any_bucket(spark, bucket):
         assert (r.rate_limit_retry, r.other_retry, resume, r.remaining_us / 1e6) == want[r.seq]
 
 
+def test_buckets_are_even_under_a_stray_time_and_a_burst(spark):
+    df = spark.range(20_000).selectExpr(
+        "id as seq", "case when id = 0 then timestamp'1970-01-01' when id < 12000 then timestamp'2024-01-01' "
+        "else timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) end as ts")
+    sizes = running.bucketed(df, "ts", ["seq"], 10).groupBy("_bucket").count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) < 4_000
+
+
 def test_cooldown_only_moves_later(spark):
     rows = [("j", 0, "RateLimitError", None, "5"), ("j", 1, "RateLimitError", None, "0.5"), ("j", 2, None, None, None)]
     df = log(spark, rows).withColumn("w", F.col("retry_after").cast("double"))

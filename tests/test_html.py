@@ -1,11 +1,13 @@
 """HTML to text: cases by hand, whole pages against a plain walk."""
 
+import time
 from html import unescape
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from rolesieve.functions import html as functions_html
 from rolesieve.functions.html import html_to_text, sections_text
 
 PAGES = Path("/root/testdata/sf0.001/pages.parquet")
@@ -127,3 +129,22 @@ def test_sections(spark):
     assert run(None, [("H", "b")]) == "H: b"
     assert run("", None) is None
     assert run(None, []) is None
+
+
+@pytest.mark.parametrize("piece", ["<!--x", "<script>x & ", "<STYLE >y", "<a ", "<a \"", "</a "])
+def test_long_pages_of_brackets_without_an_end(spark, piece):
+    """A search from each bracket to the end of the page would take minutes here."""
+    page = spark.createDataFrame([("<p>one</p><script>a</script>two" + piece * (400_000 // len(piece)),)], "html string")
+    begun = time.monotonic()
+    text = page.select(html_to_text("html")).first()[0]
+    assert time.monotonic() - begun < 20 and text.startswith("one a two")
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<!--x><b>y<!--z", "y <!--z"), ("<script>a<script>b", "a b"), ("<style>x</style><style>y & <b", "x y & < b"),
+    ("<!-- <style> --><script> x </style> a&amp;b </script>", "x </style> a&amp;b"), ("a < b <c", "a < b < c"),
+])
+@pytest.mark.parametrize("long", [0, 1 << 30])
+def test_marked_brackets_read_like_others(spark, monkeypatch, html, text, long):
+    monkeypatch.setattr(functions_html, "_LONG", long)
+    assert spark.createDataFrame([(html,)], "html string").select(html_to_text("html")).first()[0] == text
