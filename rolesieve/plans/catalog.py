@@ -13,6 +13,7 @@ from rolesieve.functions.html import sections_text
 from rolesieve.operators import attempts, dedup, filters, funnel, probe, rank, runs, scoring
 from rolesieve.operators.scoring import ScoringError
 from rolesieve.plans import board_probe as probing
+from rolesieve.plans import reports
 from rolesieve.plans import views as v
 from rolesieve.plans.match_and_rank import match, survivors
 from rolesieve.plans.views import CV_SQL, EV_SQL, JL_SQL, JP_SQL, PG_SQL, PT_SQL, RN_SQL, with_sql
@@ -199,6 +200,17 @@ def funnel_missing_locations(spark, sf):
     return funnel.rejected_locations(filters.label(pages, nowhere))
 
 
+@query(with_sql(JP_SQL, LABELLED_SQL, select="""
+SELECT 'rejections' AS part, reject_reason AS name, count(*) AS n FROM lab WHERE reject_reason IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'kept', company, count(*) FILTER (reject_reason IS NULL) FROM lab GROUP BY 2"""))
+def filter_report(spark, sf):
+    """Q-2: the report as a whole, its reasons and companies."""
+    report = reports.filter_funnel(_jp(spark, sf), P)
+    kept = report["per_company"].select(F.lit("kept").alias("part"), F.col("company").alias("name"), F.col("kept").alias("n"))
+    return report["rejections"].select(
+        F.lit("rejections").alias("part"), F.col("reject_reason").alias("name"), F.col("rows").alias("n")).unionByName(kept)
+
+
 # --- Deduplication and ranking ---------------------------------------------------------------
 
 _KEY = r"""regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^([^?]*)\?$', '\1')"""
@@ -934,6 +946,18 @@ def errors_by_type(spark, sf):
     return attempts.errors_by_type(attempts.failed_jobs(v.events_as_attempts(spark, sf), ties=["seq"]))
 
 
+@query(with_sql(EV_SQL, _WAIT_SQL, _OUTCOME_SQL, select="""
+SELECT 'errors' AS part, error_type AS name, count(*) AS n FROM outcome WHERE error_type IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'hits', 'all', count(*) FILTER (error_type = 'RateLimitError' AND rate_limit_retry < 6) FROM waits"""))
+def attempt_report(spark, sf):
+    """Q-6: the report as a whole, its failed jobs by error and its rate-limit hits."""
+    log = v.events_as_attempts(spark, sf).withColumn("account", F.col("workers") % 2)
+    report = reports.attempt_report(log, ["account"], ["seq"], F.lit(0.25))
+    hits = report["totals"].select(F.lit("hits").alias("part"), F.lit("all").alias("name"), F.col("rate_limit_hits").alias("n"))
+    return report["errors_by_type"].select(
+        F.lit("errors").alias("part"), F.col("error_type").alias("name"), F.col("jobs").alias("n")).unionByName(hits)
+
+
 # --- Scoring runs ------------------------------------------------------------------------------
 
 def _median_sql(column: str, digits: int | None = None) -> str:
