@@ -15,7 +15,7 @@ from rolesieve.operators.scoring import ScoringError
 from rolesieve.plans import board_probe as probing
 from rolesieve.plans import reports
 from rolesieve.plans import views as v
-from rolesieve.plans.match_and_rank import match, survivors
+from rolesieve.plans.match_and_rank import match, run, stage_tables, survivors
 from rolesieve.plans.views import CV_SQL, EV_SQL, JL_SQL, JP_SQL, PG_SQL, PT_SQL, RN_SQL, with_sql
 from rolesieve.profile import Profile
 from rolesieve.schema import make_seq
@@ -697,9 +697,10 @@ def skills_enforced(spark, sf):
 
 _HITS = " + ".join(f"CAST(regexp_matches(text, '(?i)' || {_words(s.lower())}) AS INTEGER)" for s in _W.skills)
 _FOUND = ", ".join(f"CASE WHEN regexp_matches(text, '(?i)' || {_words(s.lower())}) THEN '{s}' END" for s in _W.skills)
+_NAMED = "array_to_string(list_filter([{}], lambda x: x IS NOT NULL), ', ')"
 SCORED_SQL = f"""
 scored AS (SELECT doc_id AS seq, source AS company, lang AS location, {_HITS} AS hits,
-                  array_to_string(list_filter([{_FOUND}], lambda x: x IS NOT NULL), ', ') AS found FROM documents)"""
+                  {_NAMED.format(_FOUND)} AS found FROM documents)"""
 
 
 @query(with_sql(SCORED_SQL, select="""
@@ -1165,6 +1166,88 @@ def board_probe_misses(spark, sf):
     return probing.board_probe(probing.candidates(companies), companies, a, b, names).misses
 
 
+# --- From payloads to the report ---------------------------------------------------------------
+
+_FEED_PROFILE = Profile(
+    roles=("the", "de la", "und"), locations=("en", "fr"), skills=v.WORD_PROFILE.skills,
+    excluded_companies=(" BLOG.tionsh.example.net", "board-7"), exclude_title_words=("and", "para"),
+    technical_words=("la", "et"), management_words=("of", "die"), location_aliases={"fr": ("fr", "es")})
+
+_FEED_ROLE = f"""CASE WHEN regexp_matches(lower(title), {_words('the', 'de la', 'und')}) THEN true
+  WHEN regexp_matches(lower(title), {_words('of', 'die')}) THEN false
+  ELSE regexp_matches(lower(title), {_words('la', 'et')}) END"""
+FEED_SQL = PT_SQL + f""",
+feed AS (
+  SELECT seq * 68719476736 AS seq, id, title, CASE WHEN seq % 2 = 0 THEN company ELSE 'board-' || id END AS company,
+         location, coalesce(description, '') AS text, url, 'greenhouse' AS source FROM pt
+  UNION ALL SELECT 1152921504606846976 + seq * 68719476736, id, title, company, location,
+         coalesce(description || ' ', '') || 'More: One two.', CASE WHEN seq % 2 = 0 THEN url ELSE url || '/apply' END, 'lever' FROM pt
+  UNION ALL SELECT 2305843009213693952 + seq * 68719476736, id, title, company, ' ' || location, coalesce(description, ''),
+         CASE WHEN seq % 2 = 0 THEN url ELSE url || '&s' END, 'apify' FROM pt WHERE seq % 5 > 0),
+feed_lab AS (
+  SELECT *, CASE WHEN lower(trim(company)) IN ('blog.tionsh.example.net', 'board-7') THEN 'excluded_company'
+                 WHEN NOT ({_FEED_ROLE}) THEN 'role' WHEN regexp_matches(lower(title), {_words('and', 'para')}) THEN 'seniority'
+                 WHEN location IS NULL OR NOT regexp_matches({_NORM}, 'en|fr|es') THEN 'location' END AS reject_reason FROM feed),
+feed_kept AS (
+  SELECT *, {_HITS} AS hits, {_NAMED.format(_FOUND)} AS found FROM feed_lab WHERE reject_reason IS NULL
+  QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY seq) = 1)"""
+
+
+def _feed(spark: SparkSession, sf: str) -> boards.Collected:
+    """Every page as a board of either kind and as a search item; a fifth of the searches have failed."""
+    search = boards.gate_runs(_search_items(spark, sf), v.table(spark, sf, "pages").select(
+        F.concat(F.lit("place-"), "page_id").alias("token"), F.lit("d").alias("dataset_id"),
+        F.when(F.col("page_id") % 5 > 0, fixed.RUN_SUCCEEDED).otherwise("FAILED").alias("status"),
+        F.lit(None).cast("string").alias("status_message")), strict=False).filter("run_error IS NULL")
+    return boards.union_collected(
+        boards.read_payloads(_payload_a(spark, sf), fixed.BOARD_A, written=True),
+        boards.read_payloads(_payload_b(spark, sf), fixed.BOARD_B, written=True),
+        boards.read_payloads(search, fixed.SEARCH, written=True))
+
+
+@query(with_sql(FEED_SQL, select="""
+SELECT row_number() OVER (ORDER BY round(hits * 100.0 / 8, 3) DESC, seq) AS rank, seq, id, company, trim(location) AS location,
+       source, url, round(hits * 100.0 / 8, 3) AS score, CASE WHEN hits = 0 THEN 'None' ELSE found END AS matched FROM feed_kept"""))
+def pipeline_end_to_end(spark, sf):
+    """Q-1: payloads of three sources, all four rules, copies, scores, ranks."""
+    _, ranked = run(_feed(spark, sf), _FEED_PROFILE)
+    return ranked.select("rank", "seq", "job.id", "job.company", F.trim("job.location").alias("location"), "job.source", "job.url",
+                         "score", text.skills_text("matched_skills").alias("matched"))
+
+
+@query(with_sql(FEED_SQL, select="""
+SELECT 'per_source' AS part, source AS name, CAST(count(*) AS DOUBLE) AS n FROM feed GROUP BY 2
+UNION ALL SELECT 'rejections', reject_reason, count(*) FROM feed_lab WHERE reject_reason IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'stages', 'collected', count(*) FROM feed
+UNION ALL SELECT 'stages', 'filtered', count(*) FROM feed_lab WHERE reject_reason IS NULL
+UNION ALL SELECT 'stages', unnest(['deduplicated', 'scored', 'ranked']), count(*) FROM feed_kept
+UNION ALL SELECT 'stages', 'skipped', 0
+UNION ALL SELECT 'dropped_skills', unnest(['dropped_matched_skills', 'dropped_missing_skills']), 0
+UNION ALL SELECT 'tokens', unnest(['calls', 'prompt_tokens', 'completion_tokens', 'total_tokens', 'estimated_cost_usd']),
+       unnest([c, 10 * t, t, 11 * t, round(10 * t / 1000000.0 * 0.4 + t / 1000000.0 * 1.6, 6)])
+FROM (SELECT count(*) AS c, sum(length(title)) AS t FROM feed_kept)"""))
+def run_report(spark, sf):
+    """Q-3, AGG-15, SNK-5: the report document of a whole run, read back from its lines."""
+    stages, ranked = run(_feed(spark, sf), _FEED_PROFILE)
+    n = F.length("job.title")
+    usage = stages.matches.select((n * 10).alias("prompt_tokens"), n.alias("completion_tokens"), (n * 11).alias("total_tokens"))
+    report = reports.run_report(stage_tables(stages, ranked), stages.stats, _FEED_PROFILE, usage, fixed.PRICED_MODEL)
+    lines = reports.run_report_lines(report, {"title": "Run"}).filter("section = 1")
+    part = F.from_json(F.concat(F.lit("{"), F.regexp_replace("value", "^, ", ""), F.lit("}")), "map<string,map<string,string>>")
+    return lines.select(F.explode(part).alias("part", "fields")).select("part", F.explode("fields").alias("name", "value")) \
+        .filter("name <> 'model'").select("part", "name", F.col("value").cast("double").alias("n"))
+
+
+@query(with_sql(RN_SQL, _RESULTS_SQL, select="SELECT * FROM res"))
+def worker_report(spark, sf):
+    """Q-4, SNK-5: the document of a worker comparison, read back from its lines."""
+    results = runs.worker_results(v.events_as_runs(spark, sf))
+    shape = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in results.schema.fields if f.name != "workers")
+    lines = files.worker_report_lines(checkpointed(results), {"title": "Workers"}).filter("section = 1")
+    entry = F.from_json(F.concat(F.lit("{"), F.regexp_replace("value", "^, ", ""), F.lit("}")), f"map<string,struct<{shape}>>")
+    return lines.select(F.explode(entry).alias("workers", "r")).select(F.col("workers").cast("int").alias("workers"), "r.*")
+
+
 # --- Sinks -------------------------------------------------------------------------------------
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,6 +11,7 @@ from rolesieve.operators import dedup, filters, rank, scoring
 from rolesieve.profile import Profile
 from rolesieve.session import checkpointed
 from rolesieve.sinks import files
+from rolesieve.sources.boards import Collected
 
 # Our own wording; a caller with a model passes the prompt that model needs.
 DEFAULT_SYSTEM_PROMPT = (
@@ -22,9 +23,10 @@ DEFAULT_SYSTEM_PROMPT = (
 
 @dataclass(frozen=True)
 class Stages:
-    """One table per stage."""
+    """One table per stage; ``kept`` passed the rules, ``filtered`` is that without copies."""
 
     jobs: DataFrame
+    kept: DataFrame
     filtered: DataFrame
     matches: DataFrame
     skips: DataFrame
@@ -52,7 +54,7 @@ def match(jobs: DataFrame, profile: Profile, scorer: Callable | None = None,
         replies = scoring.score(scoring.requests(filtered, profile, system_prompt), scorer, max_workers)
         attached = scoring.attach(filtered, scoring.parse_replies(replies))
     attached = checkpointed(attached)
-    return Stages(jobs, attached.select("seq", "job.*"), scoring.matched(attached, profile),
+    return Stages(jobs, filters.keep(jobs, profile), attached.select("seq", "job.*"), scoring.matched(attached, profile),
                   scoring.skipped(attached), scoring.scoring_stats(attached, profile))
 
 
@@ -67,6 +69,24 @@ def export(stages: Stages, folder: str, top: int | None = None, title: str = "Jo
     return ranked
 
 
-def stage_tables(stages: Stages) -> dict[str, DataFrame]:
-    return {"collected": stages.jobs, "filtered": stages.filtered,
-            "scored": stages.matches, "skipped": stages.skips}
+def run(collected: Collected, profile: Profile, folder: str | None = None, scorer: Callable | None = None,
+        system_prompt: str = DEFAULT_SYSTEM_PROMPT, max_workers: int | None = None,
+        title: str = "Job Matches") -> tuple[Stages, DataFrame]:
+    """Q-1 as a whole: from collected payloads to ranked rows and, with ``folder``, to documents.
+
+    Collect with ``written=True``, as jobs and bad records are read apart. What gave no job is
+    written beside the documents, in input order.
+    """
+    stages = match(collected.jobs, profile, scorer, system_prompt, max_workers)
+    if folder is None:
+        return stages, rank.rank_all(stages.matches)
+    ranked = export(stages, folder, title=title)
+    rank.in_input_order(collected.bad_records).write.mode("overwrite").json(f"{folder}/bad_records.json")
+    collected.bad_payloads.write.mode("overwrite").json(f"{folder}/bad_payloads.json")
+    return stages, ranked
+
+
+def stage_tables(stages: Stages, ranked: DataFrame) -> dict[str, DataFrame]:
+    """AGG-15: the tables whose rows a run report counts."""
+    return {"collected": stages.jobs, "filtered": stages.kept, "deduplicated": stages.filtered,
+            "scored": stages.matches, "skipped": stages.skips, "ranked": ranked}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from rolesieve import fixed
 from rolesieve.operators import attempts, filters, funnel, rank, runs
 from rolesieve.profile import Profile
 from rolesieve.session import checkpointed
+from rolesieve.sinks import files
 
 
 def filter_funnel(jobs: DataFrame, profile: Profile) -> dict[str, DataFrame]:
@@ -26,16 +27,39 @@ def filter_funnel(jobs: DataFrame, profile: Profile) -> dict[str, DataFrame]:
     }
 
 
-def run_report(stages: dict[str, DataFrame], usage: DataFrame, model: str) -> dict[str, DataFrame]:
-    """Q-3: jobs per source, rows per stage, calls, tokens and cost."""
+def run_report(stages: dict[str, DataFrame], stats: DataFrame, profile: Profile, usage: DataFrame,
+               model: str) -> dict[str, DataFrame]:
+    """Q-3: jobs per source, rows per stage, rejections, dropped skills, calls, tokens and cost.
+
+    ``stages`` is as ``match_and_rank.stage_tables`` gives it.
+    """
     sums = runs.token_sums(usage).withColumn("model", F.lit(model))
     return {
         "per_source": funnel.per_source(stages["collected"]),
         "stages": funnel.stage_counts(stages),
+        "rejections": funnel.rejections_by_reason(filters.label(
+            stages["collected"].select("seq", "title", "company", "location"), profile)),
+        "dropped_skills": stats.select("dropped_matched_skills", "dropped_missing_skills"),
         "tokens": runs.with_cost(sums),
     }
 
 
+def run_report_lines(report: dict[str, DataFrame], head: Mapping[str, object] | None = None) -> DataFrame:
+    """Q-3 / SNK-5: the run report as ordered lines of one JSON object, a line per part of it.
+
+    Its tables have a row per source, stage or rule, or one row at all, so no line grows with the jobs.
+    """
+    keyed = {"per_source": ("source", "jobs"), "stages": ("stage", "rows"), "rejections": ("reject_reason", "rows")}
+    fields = []
+    for name, table in report.items():
+        if name in keyed:
+            key, value = (F.col(c).alias(a) for c, a in zip(keyed[name], ("key", "value")))
+            fields.append(table.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias(name)))
+        else:
+            fields.append(table.select(F.struct("*").alias(name)))
+    return files.object_lines(fields, head or {})
+
+
 def rows_to_compare(survivors: DataFrame, minimum: int = fixed.MIN_ROWS_TO_COMPARE,
                     cap: int = fixed.MAX_ROWS_TO_COMPARE) -> DataFrame | None:
     """Q-4: the same first rows for every worker count, null when there are too few to compare."""

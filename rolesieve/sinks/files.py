@@ -7,7 +7,9 @@ and no task the whole of it. ``single_file`` puts it in one part, for a short to
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,17 +146,29 @@ def write_skip_report(skips: DataFrame, path: str, single_file: bool = False) ->
     write_lines(skip_report_lines(skips), path, single_file)
 
 
-def worker_report(results: DataFrame, head: Mapping[str, object]) -> DataFrame:
-    """SNK-5: the run report as one JSON text, results by worker count.
-
-    One entry per worker count, so the map is as small as that list.
-    """
-    fields = [c for c in results.columns if c != "workers"]
-    entry = F.struct(F.col("workers").cast("string").alias("key"), F.struct(*fields).alias("value"))
-    constants = [F.lit(v).alias(k) for k, v in head.items()]
-    return results.agg(F.map_from_entries(F.array_sort(F.collect_list(entry), _by_number)).alias("by_workers")) \
-        .select(F.to_json(F.struct(*constants, "by_workers"), _JSON).alias("value"))
-
-
-def _by_number(a: Column, b: Column) -> Column:
-    return a["key"].cast("int") - b["key"].cast("int")
+def object_lines(fields: Sequence[DataFrame], head: Mapping[str, object]) -> DataFrame:
+    """SNK-5: a JSON object as ordered lines: ``head``, then every table of one row and one column
+    as a field of that name."""
+    lines = [field.select(*_line(n, 1, F.concat(F.lit(", " if n or head else ""), _field(field.columns[0], F.col(field.columns[0])))))
+             for n, field in enumerate(fields)]
+    ends = _fixed_lines(fields[0], (0, "{" + json.dumps(dict(head))[1:-1]), (2, "}"))
+    return reduce(DataFrame.unionByName, lines, ends)
+
+
+def _field(name: str, value: Column) -> Column:
+    """``"name": value``; the braces of an object with that one field are cut off."""
+    text = F.to_json(F.struct(value.alias(name)), _JSON)
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def worker_report_lines(results: DataFrame, head: Mapping[str, object]) -> DataFrame:
+    """SNK-5: the report of a worker comparison as ordered lines of one JSON object, a line per
+    worker count in numeric order."""
+    workers = F.col("workers").cast("int")
+    first = results.agg(F.min(workers)).scalar()
+    entry = F.to_json(F.map_from_entries(F.array(F.struct(
+        workers.cast("string"), F.struct(*(c for c in results.columns if c != "workers"))))), _JSON)
+    body = results.select(F.lit(1).alias("section"), workers.cast("long").alias("line"), F.concat(
+        F.when(workers == first, "").otherwise(", "), F.substring(entry, F.lit(2), F.length(entry) - 2)).alias("value"))
+    start = "{" + "".join(f"{json.dumps(k)}: {json.dumps(x)}, " for k, x in head.items()) + '"by_workers": {'
+    return _fixed_lines(results, (0, start), (2, "}}")).unionByName(body)

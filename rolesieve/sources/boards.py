@@ -20,6 +20,7 @@ from rolesieve.functions.text import col, strip, truthy
 from rolesieve.functions.values import epoch_ms_to_date
 from rolesieve.profile import Profile
 from rolesieve.schema import JOB_SCHEMA, make_seq
+from rolesieve.session import checkpointed
 from rolesieve.sources.config import configured_boards
 from rolesieve.sources.variant import Field, first_reason, parse_whole
 
@@ -190,14 +191,16 @@ def bad_records(parsed: DataFrame) -> DataFrame:
         "seq", "source", "token", F.coalesce("id", F.lit("unknown")).alias("id"), "reject_reason")
 
 
-def read_payloads(payloads: DataFrame, source: str, strict: bool = True) -> Collected:
+def read_payloads(payloads: DataFrame, source: str, strict: bool = True, written: bool = False) -> Collected:
     """SRC-1 to SRC-5 for ``payloads`` with ``token, company, board_ord, payload``.
 
     Strict, as a collection run is: a bad payload fails the job that reads it. Otherwise it
-    is listed in ``bad_payloads``. A bad record never stops the others.
+    is listed in ``bad_payloads``. A bad record never stops the others. With ``written`` the parsed
+    records go to the checkpoint folder, for callers that read jobs or bad records more than once.
     """
     checked = check_payloads(payloads, source)
     parsed = parse_records(payload_records(checked, strict), source)
+    parsed = checkpointed(parsed) if written else parsed
     broken = checked.filter(F.col("payload_error").isNotNull()).select(
         F.lit(source).alias("source"), "token", "payload_error")
     return Collected(good_records(parsed), bad_records(parsed), broken)
@@ -260,9 +263,16 @@ def union_sources(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
+def union_collected(*parts: Collected) -> Collected:
+    """SRC-7: what several sources gave, as one."""
+    return Collected(union_sources(*(p.jobs for p in parts)),
+                     union_sources(*(p.bad_records for p in parts)),
+                     union_sources(*(p.bad_payloads for p in parts)))
+
+
 def collect_jobs(spark: SparkSession, profile: Profile, board_a: DataFrame | None = None,
                  board_b: DataFrame | None = None, search: DataFrame | None = None,
-                 runs: DataFrame | None = None, strict: bool = True) -> Collected:
+                 runs: DataFrame | None = None, strict: bool = True, written: bool = False) -> Collected:
     """SRC-7: jobs of every enabled source in configured order.
 
     ``board_a`` and ``board_b`` hold ``token, payload``; ``search`` holds ``token`` (the
@@ -278,7 +288,7 @@ def collect_jobs(spark: SparkSession, profile: Profile, board_a: DataFrame | Non
             absent = [r.token for r in missing_boards(spark, profile, source, payloads).take(1)]
             if absent:
                 raise RuntimeError(f"board '{absent[0]}': no payload has landed")
-        parts.append(read_payloads(configured_payloads(spark, profile, source, payloads), source, strict))
+        parts.append(read_payloads(configured_payloads(spark, profile, source, payloads), source, strict, written))
     if search is not None and (profile.sources.get(fixed.SEARCH) or {}).get("enabled") \
             and profile.roles and profile.locations:
         if runs is None and strict:
@@ -289,12 +299,10 @@ def collect_jobs(spark: SparkSession, profile: Profile, board_a: DataFrame | Non
                 raise RuntimeError(f"search run for '{failed[0].token}': {failed[0].run_error}")
             search = gate_runs(search, runs, strict).filter(F.col("run_error").isNull())
         rows = search.select("token", F.lit(None).cast("string").alias("company"), "board_ord", "payload")
-        parts.append(read_payloads(rows, fixed.SEARCH, strict))
+        parts.append(read_payloads(rows, fixed.SEARCH, strict, written))
     if not parts:
         return Collected(
             spark.createDataFrame([], JOB_SCHEMA),
             spark.createDataFrame([], "seq long, source string, token string, id string, reject_reason string"),
             spark.createDataFrame([], "source string, token string, payload_error string"))
-    return Collected(union_sources(*(p.jobs for p in parts)),
-                     union_sources(*(p.bad_records for p in parts)),
-                     union_sources(*(p.bad_payloads for p in parts)))
+    return union_collected(*parts)

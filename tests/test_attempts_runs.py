@@ -131,8 +131,9 @@ def test_worker_comparison(spark):
     assert lists[8] == [15.904, 14.26, 31.056]
     with pytest.raises(Exception, match="too many runs"):
         runs.run_times_list(run_rows(spark), ["workers"], limit=2).collect()
-    report = files.worker_report(runs.worker_results(run_rows(spark)), {"model": "m", "jobs_collected_total": 5})
-    doc = json.loads(report.first().value)
+    report = files.worker_report_lines(runs.worker_results(run_rows(spark)), {"model": "m", "jobs_collected_total": 5})
+    doc = json.loads("".join(r.value for r in report.orderBy("section", "line").collect()))
+    assert doc["jobs_collected_total"] == 5
     assert list(doc["by_workers"]) == ["1", "8", "10"] and doc["model"] == "m"
     assert doc["by_workers"]["8"]["median_seconds"] == 15.904 and doc["by_workers"]["8"]["runs"] == 3
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from rolesieve import Profile
 from rolesieve.plans import board_probe as probing
 from rolesieve.plans import reports
-from rolesieve.plans.match_and_rank import export, match, stage_tables
+from rolesieve.plans.match_and_rank import export, match, run, stage_tables
+from rolesieve.sources import boards
 
 
 def payloads(spark, rows):
@@ -60,10 +61,39 @@ def test_whole_run(spark, table, tmp_path):
     docs = json.loads("".join(p.read_text() for p in sorted((tmp_path / "jobs.json").glob("part-*"))))
     assert [d["job"]["id"] for d in docs] == ["6", "18", "0", "12", "24"]
     usage = spark.createDataFrame([(10, 5, 15)], "prompt_tokens int, completion_tokens int, total_tokens int")
-    report = reports.run_report(stage_tables(stages), usage, "gpt-4.1-mini")
-    assert {r.stage: r.rows for r in report["stages"].collect()} == {"collected": 120, "filtered": 5, "scored": 5, "skipped": 0}
+    report = reports.run_report(stage_tables(stages, ranked), stages.stats, PROFILE, usage, "gpt-4.1-mini")
+    counts = {"collected": 120, "filtered": 20, "deduplicated": 5, "scored": 5, "skipped": 0, "ranked": 5}
+    assert {r.stage: r.rows for r in report["stages"].collect()} == counts
     assert {r.source: r.jobs for r in report["per_source"].collect()} == {"greenhouse": 120, "lever": 0, "apify": 0}
     assert report["tokens"].first().calls == 1
+    for head in ({}, {"title": 'a "b"'}):
+        lines = reports.run_report_lines(report, head).orderBy("section", "line").collect()
+        doc = json.loads("".join(r.value for r in lines))
+        assert doc["stages"] == counts and doc["rejections"] == {"role": 40, "seniority": 40, "location": 20}
+        assert doc["tokens"]["total_tokens"] == 15 and doc["dropped_skills"] == {"dropped_matched_skills": 0, "dropped_missing_skills": 0}
+        assert doc.get("title") == head.get("title")
+
+
+def test_from_payloads_to_documents(spark, tmp_path):
+    def a(n, title, url):
+        return {"id": n, "title": title, "absolute_url": url, "location": {"name": "Pune"}, "content": "<p>Python</p>"}
+
+    board_a = payloads(spark, [
+        ("one", {"jobs": [a(1, "Backend Engineer", "https://x/1"), a(2, "Chef", "https://x/2"), {"id": 3}]}), ("unlisted", "broken")])
+    board_b = payloads(spark, [("two", [
+        {"id": "4", "text": "Backend Engineer", "hostedUrl": "https://x/1#apply", "categories": {"location": "Pune"}},
+        {"id": "5", "text": "Backend Engineer", "hostedUrl": "https://x/5", "categories": {"location": "Pune"}, "description": "SQL, python"}])])
+    profile = Profile(roles=PROFILE.roles, locations=PROFILE.locations, skills=PROFILE.skills, sources={
+        "greenhouse": {"enabled": True, "boards": [{"token": "one", "company": "One"}]},
+        "lever": {"enabled": True, "companies": [{"slug": "two"}]}})
+    collected = boards.collect_jobs(spark, profile, board_a, board_b, written=True)
+    stages, ranked = run(collected, profile, str(tmp_path / "out"))
+    assert [(r.rank, r.job.id, r.score) for r in ranked.orderBy("rank").collect()] == [(1, "5", 100.0), (2, "1", 50.0)]
+    assert stages.kept.count() == 3 and stages.jobs.count() == 4
+    docs = json.loads("".join(p.read_text() for p in sorted((tmp_path / "out/jobs.json").glob("part-*"))))
+    assert [(d["job"]["id"], d["job"]["company"]) for d in docs] == [("5", "two"), ("1", "One")]
+    bad = [json.loads(x) for p in sorted((tmp_path / "out/bad_records.json").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [(b["id"], b["reject_reason"]) for b in bad] == [("3", "title is missing or not text")]
 
 
 def test_funnel_report(table):
