@@ -20,6 +20,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from rolesieve.llm.common import n_partitions, stored
 
@@ -47,9 +48,19 @@ def tokenizer(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
 
 
+@lru_cache(maxsize=2)
+def json_tokenizer(path: str) -> Tokenizer:
+    """The same vocabulary from the JSON file beside the file ``path`` of ranks."""
+    return Tokenizer.from_file(str(Path(path).with_suffix(".json")))
+
+
 def token_ids(text: str | None, path: str) -> np.ndarray:
-    """Ids of a whole text (null: empty) and the closing id."""
-    ids = tokenizer(path).encode_to_numpy(text or "", allowed_special="all")
+    """Ids of a whole text (null: empty) and the closing id. The pattern of ``tiktoken`` refuses runs
+    of about a million blanks; such a text is encoded whole by ``tokenizers``."""
+    try:
+        ids = tokenizer(path).encode_to_numpy(text or "", allowed_special="all")
+    except ValueError:
+        ids = json_tokenizer(path).encode(text or "", add_special_tokens=False).ids
     return np.append(ids, END).astype("<u4")
 
 

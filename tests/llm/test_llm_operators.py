@@ -391,6 +391,18 @@ def test_token_ids_are_those_of_the_tokenizer():
         assert packing.token_ids(text, packing.public_path("byte_bpe_50k.tiktoken")).tolist() == want
 
 
+def test_token_ids_of_a_long_run_of_blanks(spark):
+    path = packing.public_path("byte_bpe_50k.tiktoken")
+    tokenizer = Tokenizer.from_file(str(path).replace(".tiktoken", ".json"))
+    texts = [f"a{blank * 1_100_000}<|endoftext|>b{blank}" for blank in " \n"]
+    for text in texts:
+        assert packing.token_ids(text, path).tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    rows = packing.pack_documents(docs_of(spark, texts)).collect()
+    for i, text in enumerate(texts):
+        parts = [r for r in rows if r.doc_id == i]
+        assert sum(r.length for r in parts) == parts[0].doc_tokens == len(packing.token_ids(text, path))
+
+
 def test_pieces_and_sequences(spark):
     texts = [prose(i, i * 11) for i in range(120)] + [None, "", prose(7, 9000)] + ["same words"] * 40
     rows = packing.pack_documents(docs_of(spark, texts)).collect()
