@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rolesieve.llm import mixing, packing, quality, queries, rollups, secrets, simhash, toolcalls, toxicity, vectors, warc
+import corpus_pipeline
+from rolesieve.llm import jaccard, mixing, packing, quality, queries, rollups, secrets, simhash, toolcalls, toxicity, vectors, warc
 from rolesieve.llm.common import shared_folder
 from rolesieve.llm.components import components
 
@@ -486,6 +487,36 @@ def test_gray_tree_finds_all_pairs():
     assert simhash.gray_rank(np.array([gray(n) for n in range(99)], np.uint64)).tolist() == list(range(99))
 
 
+# ------------------------------------------------------------- near-duplicates of the pipeline
+
+
+def five_words(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def test_near_copies_of_the_pipeline_against_all_pairs(spark):
+    def edited(text, seed, n):
+        words, rng = text.split(), random.Random(seed)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"new{rng.random()}"
+        return " ".join(words)
+
+    base, line = [prose(i, 120) for i in range(12)], prose(99, 30)
+    texts = base + [edited(base[i % 6], i, i % 5) for i in range(60)] + [edited(base[0], i, 1) for i in range(100, 160)]
+    texts += [line + " " + prose(i, 9) for i in range(200, 240)] + [prose(7, 3), prose(7, 3).upper(), prose(7, 4), "", None, " \n", base[3], prose(8, 9_000), edited(prose(8, 9_000), 5, 40)]
+    sets = [five_words(t) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    far = [p for p in pairs if (simhash.fingerprint(texts[p[0]]) ^ simhash.fingerprint(texts[p[1]])).bit_count() > simhash.LIMIT]
+    assert far  # the rule of op10 does not link these
+    want, docs = reachable(len(texts), pairs), docs_of(spark, texts)
+    got = {r["__doc"].doc_id: r.component_id for r in jaccard.groups(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want and got[None] == want[texts.index("")]
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+    assert jaccard.keep_one(docs.limit(0)).count() == 0
+
+
 # ------------------------------------------------------------- queries
 
 
