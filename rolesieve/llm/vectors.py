@@ -5,7 +5,9 @@ shards overlap. Each shard builds the pruned graph of its members in a task; the
 a vector from all its shards are united. Then each vector is searched for in its nearest shard: a
 greedy walk from the shard's medoids and from itself, which goes on from everything in range until
 nothing new is in range. Links are verified in double precision. An audit compares a bounded set of
-vectors with all others, in blocks, and widens shards and walks if too little was found.
+vectors with all others, in blocks, and widens shards and walks if too little was found. If that is
+still too little, as when a dense group spans more shards than a vector joins, all vectors are
+compared with all, a bounded chunk of them at a time; a result below LEAST_RECALL is never returned.
 
 Equal vectors are one node with a count, so copies cost nothing. A search reports a count for each
 node, and of its links only those that join what was not joined, so output grows with the vectors
@@ -15,6 +17,7 @@ however dense a group is.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ POOL, DEGREE, ALPHA, MEDOIDS = 64, 24, 1.2, 16
 #: Vectors that the audit compares with all at most.
 PROBES = 200
 BLOCK = 256
+#: Numbers of the vectors that are compared with all others at a time.
+CHUNK = 1 << 21
 
 
 def centroids(x: np.ndarray, k: int, seed: int = 0, rounds: int = 8) -> np.ndarray:
@@ -214,6 +219,11 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
             if recall >= LEAST_RECALL:
                 break
             overlap, beam = 2 * overlap, 2 * beam
+        else:
+            result = exact(used, n, sizes["d"])
+            links = result.where("links is not null").select("node", "links")
+            if (recall := audit(used, links, n)) < LEAST_RECALL:
+                raise RuntimeError(f"links found: {recall:.3f} of those of the audit")
         edges = result.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     links = links if links is not None else spark.createDataFrame([], "node long, links long")
     edges = edges if edges is not None else spark.createDataFrame([], "a long, b long")
@@ -253,6 +263,45 @@ def _linked(used: DataFrame, n: int, overlap: int, beam: int) -> DataFrame:
     return members.join(united, "node").repartition(parts, "shard").groupBy("shard").applyInArrow(_search(beam), "node long, links long, other long")
 
 
+def exact(used: DataFrame, n: int, width: int) -> DataFrame:
+    """As the search, by comparing all with all: a chunk of the nodes goes to every task at a time."""
+    chunks = -(-n * width // CHUNK)
+    spread = stored(used.select("node", "copies", "v").repartition(n_partitions(used.sparkSession, n, 5000)))
+    mine = F.pmod(F.xxhash64("node"), F.lit(chunks))
+    return reduce(DataFrame.unionByName, (stored(_against(spread, spread.where(mine == c).select("node", "v").toArrow())) for c in range(chunks)))
+
+
+def _against(rows: DataFrame, chunk: pa.Table) -> DataFrame:
+    ids, probes = chunk["node"].to_numpy(), _unit(_matrix(chunk["v"])) if len(chunk) else np.zeros((0, 1))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, forest, a, b = np.zeros(len(ids), np.int64), Forest(len(ids)), [], []
+        places = np.arange(len(ids))
+        for batch in batches:
+            for s in range(0, len(batch) if len(ids) else 0, BLOCK):
+                part = batch.slice(s, BLOCK)
+                nodes = part.column("node").to_numpy()
+                hit = _unit(_matrix(part.column("v"))) @ probes.T >= COSINE
+                hit &= nodes[:, None] != ids
+                total += part.column("copies").to_numpy() @ hit
+                some = hit.any(axis=1)
+                hit, first = hit[some], hit[some].argmax(axis=1)
+                a.append(nodes[some])
+                b.append(ids[first])
+                for row, at in zip(hit, first):  # a row joins all that it hits
+                    other = places[row]
+                    forest.add(np.full(len(other), at), other)
+        x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (forest.a, forest.b))
+        x, y = np.concatenate([ids[x], *a]), np.concatenate([ids[y], *b])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[ids, x], pa.int64()), pa.array([*total.tolist(), *[None] * len(x)], pa.int64()), pa.array([*[None] * len(ids), *y.tolist()], pa.int64())],
+            names=["node", "links", "other"])
+
+    found = stored(rows.mapInArrow(compare, "node long, links long, other long"))  # split below
+    return found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"), F.first("other").alias("other")).unionByName(
+        found.where("other is not null").distinct())
+
+
 def audit(used: DataFrame, links: DataFrame, n: int) -> float:
     """Found links over all links of at most PROBES nodes, compared with all nodes in blocks."""
     picked = used.orderBy(F.xxhash64("node")).limit(PROBES).select("node", "v").toArrow()

@@ -228,6 +228,27 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_duplicates(table.limit(0))[0].count() == 0
 
 
+def test_a_dense_group_over_many_shards_is_found_whole(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 40)
+    monkeypatch.setattr(vectors, "CHUNK", 16 * 700)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(300, 16))
+    x = np.concatenate([base, rng.normal(size=16) + rng.normal(size=(1500, 16)) * 0.1, base[:100] + rng.normal(size=(100, 16)) * 0.05])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= vectors.COSINE
+    np.fill_diagonal(near, False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    calls, plain = [], vectors.exact
+    monkeypatch.setattr(vectors, "exact", lambda *a: calls.append(a) or plain(*a))
+    found, recall = vectors.near_duplicates(table)
+    got = {r["__row"].vec_id: r for r in found.collect()}
+    low, before = np.arange(len(x)), None
+    while before is None or (low != before).any():
+        before, low = low, np.minimum(low, np.where(near, low, len(x)).min(axis=1))
+    assert calls and recall == 1 and [got[i].n_links for i in range(len(x))] == near.sum(axis=1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == low.tolist()
+
+
 # ------------------------------------------------------------- 5: rollups
 
 
