@@ -350,12 +350,15 @@ def reply_lists(spark, sf):
 @query("""
 SELECT CAST(page_id % 5 AS VARCHAR) AS token, page_id AS id, 'b' AS title, url FROM pages""")
 def repeated_keys(spark, sf):
-    """SRC-1, SRC-4: five boards made of all pages; every record repeats a key, the last value counts."""
+    """SRC-1, SRC-4: boards of five companies made of all pages, each of 200 ids of a company, so that no
+    payload grows with the pages; every record repeats a key, the last value counts."""
     record = F.concat(F.lit('{"id": '), "page_id", F.lit(', "title": "a", "title": "b", "absolute_url": '), F.to_json(F.array("url")), F.lit("}"))
     record = F.regexp_replace(F.regexp_replace(record, r'"absolute_url": \[', '"absolute_url": '), r"\]\}$", "}")
-    payloads = v.table(spark, sf, "pages").groupBy((F.col("page_id") % 5).cast("string").alias("token")).agg(
+    chunk = F.floor(F.col("page_id") / 1000)
+    payloads = v.table(spark, sf, "pages").groupBy((F.col("page_id") % 5).cast("string").alias("company"), chunk.alias("chunk")).agg(
         F.concat(F.lit('{"jobs": ['), F.array_join(F.collect_list(record), ","), F.lit("]}")).alias("payload"))
-    read = boards.read_payloads(payloads.select("token", F.col("token").alias("company"), F.col("token").cast("long").alias("board_ord"), "payload"), fixed.BOARD_A)
+    board = F.concat("company", F.lit("-"), "chunk")
+    read = boards.read_payloads(payloads.select(board.alias("token"), "company", (5 * F.col("chunk") + F.col("company").cast("long")).alias("board_ord"), "payload"), fixed.BOARD_A)
     return read.jobs.select(F.col("company").alias("token"), F.col("id").cast("long").alias("id"), "title", "url")
 
 

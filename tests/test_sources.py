@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolesieve import Profile, fixed
+from rolesieve.plans import catalog
 from rolesieve.sources import boards, config
 
 A, B, S = fixed.BOARD_A, fixed.BOARD_B, fixed.SEARCH
@@ -193,3 +194,14 @@ def test_payload_files(spark, tmp_path):
     assert [r.token for r in table.collect()] == ["acme"]
     got = boards.read_payloads(table.withColumn("company", F.lit("Acme")).withColumn("board_ord", F.lit(0)), A)
     assert got.jobs.count() == 1
+
+
+def test_boards_of_repeated_keys_do_not_grow_with_the_pages(spark, monkeypatch):
+    pages = spark.range(12_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"))
+    monkeypatch.setattr(catalog.v, "table", lambda *_: pages)
+    seen, read = [], catalog.boards.read_payloads
+    monkeypatch.setattr(catalog.boards, "read_payloads", lambda payloads, source: seen.append(payloads) or read(payloads, source))
+    rows = catalog.repeated_keys(spark, "").collect()
+    assert sorted((r.id, r.token, r.url) for r in rows) == [(i, str(i % 5), f"http://h/{i}") for i in range(12_000)]
+    assert seen[0].select(F.max(F.regexp_count("payload", F.lit('"id"')))).first()[0] <= 200
+    assert seen[0].select("board_ord").distinct().count() == seen[0].count()
