@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
 from pathlib import Path
 
 import oracle
@@ -42,8 +44,14 @@ def test_pipeline_stages(spark):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, s in scores.items() if s < 0.5}
 
     single = stages[1](spark, clean, SF)
-    components = {r.component_id for r in simhash.groups(clean).collect()}
-    assert single.columns == docs.columns and sorted(r.doc_id for r in single.collect()) == sorted(components)
+    rows = sorted((r.doc_id, simhash.fingerprint(r.text)) for r in clean.collect())
+    parent = {i: i for i, _ in rows}
+    for (i, x), (j, y) in itertools.combinations(rows, 2):  # brute force: all pairs
+        if (x ^ y).bit_count() <= 2 and parent[i] != parent[j]:
+            low, high = sorted((parent[i], parent[j]))
+            parent = {k: low if p == high else p for k, p in parent.items()}
+    assert len(set(parent.values())) < len(rows)
+    assert single.columns == docs.columns and sorted(r.doc_id for r in single.collect()) == sorted(set(parent.values()))
 
     safe = stages[2](spark, single, SF)
     assert safe.columns == docs.columns and safe.count() == single.count()
@@ -58,3 +66,26 @@ def test_pipeline_stages(spark):
     tokens = {r.doc_id: len(packing.token_ids(r.text, packing.public_path("byte_bpe_50k.tiktoken"))) for r in mixed.collect()}
     assert sum(r.length for r in packed) == sum(tokens[i] * n for i, n in counts.items())
     assert sorted((r.doc_id, r.start, r.length) for r in corpus_pipeline.run(spark, SF).collect()) == sorted((r.doc_id, r.start, r.length) for r in packed)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, empty texts, repeated rows, columns with clashing names, empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __doc string, __score double, code long, size long"
+    rows = [(i, f"plain words of row {i} and nothing else", "en", "ab"[i % 2], 1, "x", 0.9, 1, 2) for i in range(6)]
+    rows += [rows[0], rows[0], (None,) * 9, (7, None, None, None, None, None, None, None, None), (8, "", "en", None, 0, "", 0.0, 0, 0), (None, "a text without an id", "en", "a", 1, "x", 0.1, 1, 1)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        out = stage(spark, docs, SF)
+        if name == "packing":
+            assert out.where("start = 0").count() == len(rows)
+            continue
+        assert out.columns == docs.columns, name
+        got = Counter(tuple(r) for r in out.collect())
+        if name in ("toxicity", "secret scan"):
+            assert got == Counter(rows), name
+        elif name == "simhash near-dedup":
+            texts = [r[1] for r in got]
+            assert set(got.values()) == {1} and len([t for t in texts if not t]) == 1 and len(set(texts)) == len(texts)
+        else:
+            assert set(got) <= set(rows) and all(n <= 3 * Counter(rows)[r] for r, n in got.items())
