@@ -101,6 +101,32 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM t LEFT JOIN a USING (doc_id)
 """
 
+
+def _crc32(text: str) -> str:
+    """CRC-32 of ASCII text, bit by bit."""
+    step = "lambda d, i: xor(d >> 1, 3988292384 * (d & 1))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: list_reduce(range(0, 8), {step}, xor(c, b)), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+OP11 = f"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, length(coalesce(text, ''))::BIGINT AS chars,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS token FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, token, chars, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, token) AS p FROM t),
+i AS (SELECT c, c - c % 100 AS base, {_crc32('c::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT i.c, 0 AS own, p, token, chars FROM i JOIN o ON o.c = i.base AND p <= h UNION ALL SELECT i.c, 1, p, token, chars FROM i JOIN o ON o.c = i.c AND p > h),
+q AS (SELECT c, chars, row_number() OVER w AS depth, md5(string_agg(token, '') OVER w) AS key FROM r WINDOW w AS (PARTITION BY c ORDER BY own, p)),
+a AS (SELECT c, depth, key, chars, coalesce(lag(key) OVER (PARTITION BY c ORDER BY depth), '') AS parent FROM q UNION ALL SELECT c, 0, '', 0, NULL FROM i),
+n AS (SELECT key, min(c) AS c, max(depth) AS depth, max(parent) AS parent, max(chars) AS chars, count(*) AS n_convs FROM a GROUP BY key),
+k AS (SELECT parent AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY parent),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (key)),
+s AS (SELECT a.key, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.chars)::BIGINT AS saved_tokens FROM m JOIN a ON a.c = m.c AND a.depth <= m.depth GROUP BY a.key),
+e AS (SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, max_by(key, depth) AS key FROM a GROUP BY c) GROUP BY key)
+SELECT m.c AS conv_id, m.depth, p.c AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM m JOIN s USING (key) LEFT JOIN e USING (key) LEFT JOIN n p ON p.key = m.parent
+"""
+
 ORACLES = {
     "op2_warc": OP2, "op3_quality_rules": OP3, "op4_vector_graph": OP4, "op5_token_rollup": OP5, "op6_mixing": OP6, "op7_secret_scan": OP7,
+    "op11_prefix_trie": OP11,
 }

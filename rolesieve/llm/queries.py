@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesieve.llm import mixing, packing, quality, rollups, secrets, simhash, toolcalls, toxicity, vectors, warc
+from rolesieve.llm import mixing, packing, quality, rollups, secrets, simhash, toolcalls, toxicity, trie, vectors, warc
 from rolesieve.llm.common import shared_folder, stored
 
 
@@ -115,6 +115,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("__doc.doc_id", simhash.fingerprint_hex(F.col("code")).alias("fingerprint"), "component_id")
 
 
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns (conv, place, token, chars) and ids (conv) of conversations that share beginnings: the
+    first h turns of conversation c - c % 100, then c's own turns after its first h, h by c's CRC-32.
+    Turns with equal numbers go by role, then digest."""
+    token = trie.token(F.col("role"), F.col("text"))
+    light = turns.where("conv_id is not null").select(
+        F.col("conv_id").cast("long").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), token.alias("token"),
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
+    own = stored(trie.placed(light, "conv", ["turn", "role", "token"]).select("conv", "place", "token", "chars"))
+    ids = own.select("conv").distinct().withColumn("h", F.crc32(F.col("conv").cast("string")) % 6)
+    heads = own.where("place <= 5 and conv % 100 = 0").withColumnRenamed("conv", "base")
+    taken = ids.withColumn("base", F.col("conv") - F.col("conv") % 100).join(heads, "base").where("place <= h").select("conv", "place", "token", "chars")
+    before = taken.groupBy("conv").agg(F.count("*").alias("n"))
+    rest = own.join(ids.join(before, "conv", "left"), "conv").where("place > h").select(
+        "conv", (F.col("place") - F.col("h") + F.coalesce("n", F.lit(0))).alias("place"), "token", "chars")
+    return stored(taken.unionByName(rest)), ids.select("conv")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.of_tokens(*rebuilt(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return nodes.drop("key", "parent")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_tool_calls, op2_warc, op3_quality_rules, op4_vector_graph, op5_token_rollup, op6_mixing, op7_secret_scan, op8_toxicity, op9_packing, op10_simhash,
+    op11_prefix_trie,
 )}
