@@ -30,7 +30,7 @@ from rolesieve.llm.common import n_partitions, stored
 from rolesieve.operators.running import running
 
 #: A node with more members is an upper node; levels of a shard; nodes of the last pass in one task.
-CONVS, LEVELS, LAST = 1000, 1000, 100_000
+CONVS, LEVELS, LAST = 100, 1000, 100_000
 #: Messages that a queue holds in memory, and files that it keeps before it merges them.
 IN_MEMORY, FILES = 200_000, 32
 #: Rows of a task, and ids of a piece of a node's id list (as a power of two).
