@@ -126,7 +126,49 @@ SELECT m.c AS conv_id, m.depth, p.c AS parent_conv_id, m.n_convs, m.n_children,
 FROM m JOIN s USING (key) LEFT JOIN e USING (key) LEFT JOIN n p ON p.key = m.parent
 """
 
+_ENDING = "right(rtrim(text, E' \\t\\n\\x0b\\x0c\\r'), 1)"
+# States: 0 before the first turn, 1 after s, 2 after u, 3 after a. Ways through a conversation row by row, the best into each state.
+OP13 = f"""
+WITH RECURSIVE t AS (
+    SELECT conv_id AS id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS fault FROM conversations),
+d AS (
+    SELECT id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(0, CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM t WHERE fault <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS initial, {_ENDING} AS ending FROM d),
+f AS (SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY id ORDER BY i) || initial AS pair FROM o),
+ins(state, n, at_state, added) AS (VALUES (0, 0, 0, ''), (1, 0, 1, ''), (2, 0, 2, ''), (3, 0, 3, ''), (0, 1, 2, 'U'), (1, 1, 2, 'U'), (2, 1, 3, 'A'), (3, 1, 2, 'U'),
+    (0, 2, 3, 'UA'), (1, 2, 3, 'UA'), (2, 2, 2, 'AU'), (3, 2, 3, 'UA')),
+k(state, initial, target) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+ids AS (SELECT DISTINCT conv_id AS id FROM conversations),
+v AS (
+    SELECT id, 0::BIGINT AS i, 0 AS state, 0::BIGINT AS cost, '' AS audit, '' AS rep FROM ids
+    UNION ALL
+    SELECT id, i, state, cost, audit, rep FROM (
+        SELECT v.id, f.i, w.target AS state, v.cost + 5 * ins.n + w.cost AS cost, v.audit || repeat('I', ins.n) || w.edit AS audit,
+            v.rep || replace(replace(ins.added, 'U', E'\\nuser:'), 'A', E'\\nassistant:') || w.line AS rep
+        FROM v JOIN f ON f.id IS NOT DISTINCT FROM v.id AND f.i = v.i + 1 JOIN ins ON ins.state = v.state,
+        LATERAL (
+            SELECT ins.at_state AS target, 2 AS cost, 'D' AS edit, '' AS line
+            UNION ALL SELECT CASE ins.at_state WHEN 2 THEN 3 ELSE 2 END, CASE f.fault WHEN 'truncated' THEN 6 ELSE 1 END, 'R',
+                E'\\n' || CASE ins.at_state WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text WHERE f.fault IN ('', 'truncated')
+            UNION ALL SELECT k.target, CASE f.fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K', E'\\n' || f.role || ':' || f.text FROM k
+                WHERE k.state = ins.at_state AND k.initial = f.initial AND f.fault IN ('', 'truncated')) w)
+    QUALIFY row_number() OVER (PARTITION BY id, state ORDER BY cost, audit) = 1),
+n AS (SELECT id, max(i) AS i FROM v GROUP BY id),
+e AS (SELECT v.id, cost + 5 * ins.n AS cost, audit || repeat('I', ins.n) AS audit, rep || replace(replace(ins.added, 'U', E'\\nuser:'), 'A', E'\\nassistant:') AS rep
+    FROM v JOIN n ON n.id IS NOT DISTINCT FROM v.id AND n.i = v.i JOIN ins USING (state) WHERE ins.at_state IN (0, 3)
+    QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY v.cost + 5 * ins.n, audit || repeat('I', ins.n)) = 1),
+c AS (SELECT id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY id)
+SELECT e.id AS conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, cost, audit, sha256(substr(rep, 2)) AS repaired_sha256
+FROM e LEFT JOIN c ON c.id IS NOT DISTINCT FROM e.id
+"""
+
 ORACLES = {
     "op2_warc": OP2, "op3_quality_rules": OP3, "op4_vector_graph": OP4, "op5_token_rollup": OP5, "op6_mixing": OP6, "op7_secret_scan": OP7,
     "op11_prefix_trie": OP11,
+    "op13_structure_repair": OP13,
 }

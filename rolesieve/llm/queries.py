@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesieve.llm import mixing, packing, quality, rollups, secrets, simhash, toolcalls, toxicity, trie, vectors, warc
+from rolesieve.llm import mixing, packing, quality, repair, rollups, secrets, simhash, toolcalls, toxicity, trie, vectors, warc
 from rolesieve.llm.common import shared_folder, stored
 
 
@@ -138,7 +138,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.drop("key", "parent")
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.Repair(repair.damaged(turns)).reports()
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    ids = turns.select(F.col("conv_id").alias("id")).distinct()
+    none = F.sha2(F.lit(""), 256)
+    return ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"), *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in numbers),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", none).alias("repaired_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_tool_calls, op2_warc, op3_quality_rules, op4_vector_graph, op5_token_rollup, op6_mixing, op7_secret_scan, op8_toxicity, op9_packing, op10_simhash,
-    op11_prefix_trie,
+    op11_prefix_trie, op13_structure_repair,
 )}
