@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rolesieve.llm import mixing, quality, rollups, secrets
+from rolesieve.llm import mixing, quality, rollups, secrets, substrings
 from rolesieve.llm.common import WORD
 
 
@@ -126,6 +126,17 @@ SELECT m.c AS conv_id, m.depth, p.c AS parent_conv_id, m.n_convs, m.n_children,
 FROM m JOIN s USING (key) LEFT JOIN e USING (key) LEFT JOIN n p ON p.key = m.parent
 """
 
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), {_text(WORD)}) AS w FROM documents),
+g AS (SELECT n, unnest(range(1, len(w) - {substrings.WINDOW - 2})) AS i, unnest(list_transform(range(1, len(w) - {substrings.WINDOW - 2}), lambda i: md5(array_to_string(w[i:i + {substrings.WINDOW - 1}], ' ')))) AS g
+    FROM d WHERE len(w) >= {substrings.WINDOW}),
+r AS (SELECT n, i FROM g QUALIFY count(*) OVER (PARTITION BY g) > 1),
+p AS (SELECT DISTINCT n, i + k AS i FROM r, range(0, {substrings.WINDOW}) x(k)),
+x AS (SELECT n, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+k AS (SELECT n, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN p USING (n, i) GROUP BY n)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (n)
+"""
+
 _ENDING = "right(rtrim(text, E' \\t\\n\\x0b\\x0c\\r'), 1)"
 # States: 0 before the first turn, 1 after s, 2 after u, 3 after a. Ways through a conversation row by row, the best into each state.
 OP13 = f"""
@@ -170,5 +181,5 @@ FROM e LEFT JOIN c ON c.id IS NOT DISTINCT FROM e.id
 ORACLES = {
     "op2_warc": OP2, "op3_quality_rules": OP3, "op4_vector_graph": OP4, "op5_token_rollup": OP5, "op6_mixing": OP6, "op7_secret_scan": OP7,
     "op11_prefix_trie": OP11,
-    "op13_structure_repair": OP13,
+    "op12_substring_dedup": OP12, "op13_structure_repair": OP13,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesieve.llm import mixing, packing, quality, repair, rollups, secrets, simhash, toolcalls, toxicity, trie, vectors, warc
+from rolesieve.llm import mixing, packing, quality, repair, rollups, secrets, simhash, substrings, toolcalls, toxicity, trie, vectors, warc
 from rolesieve.llm.common import shared_folder, stored
 
 
@@ -138,6 +138,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.drop("key", "parent")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substrings.Factors(docs, carry=F.struct("doc_id")).counts()
+    return found.select("__doc.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     found = repair.Repair(repair.damaged(turns)).reports()
@@ -151,5 +157,5 @@ def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_tool_calls, op2_warc, op3_quality_rules, op4_vector_graph, op5_token_rollup, op6_mixing, op7_secret_scan, op8_toxicity, op9_packing, op10_simhash,
-    op11_prefix_trie, op13_structure_repair,
+    op11_prefix_trie, op12_substring_dedup, op13_structure_repair,
 )}
