@@ -161,18 +161,18 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(out, names, True)
 
 
-WINDOWS = "a long, b long, start long, key long, digest long"
+WINDOWS = "a long, b long, start long, key long, digest long, open long"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of the segments (ats, keys) of each text."""
-    out, names = [[] for _ in range(5)], ["a", "b", "start", "key", "digest"]
+    """Windows of the segments (ats, keys, open: not known to be repeated as a whole) of each text."""
+    out, names = [[] for _ in range(6)], ["a", "b", "start", "key", "digest", "open"]
     for batch in batches:
-        for a, b, text, ats, keys in zip(*batch.columns):
-            at, key = np.array(ats.as_py()), np.array(keys.as_py())
+        for a, b, text, ats, keys, opens in zip(*batch.columns):
+            at, key, unknown = (np.array(x.as_py(), np.int64) for x in (ats, keys, opens))
             first, size = at >> _BITS, (at & (1 << _BITS) - 1) + 1
             start, digest = windows(word_hashes(text.as_py().encode()), first, first + size - 1)
-            for c, v in zip(out, (np.full(len(start), a.as_py()), np.full(len(start), b.as_py()), start, np.repeat(key, size), digest)):
+            for c, v in zip(out, (np.full(len(start), a.as_py()), np.full(len(start), b.as_py()), start, np.repeat(key, size), digest, np.repeat(unknown, size))):
                 c.append(v)
             yield from _batches(out, names, False)
     yield from _batches(out, names, True)
@@ -190,7 +190,8 @@ def index(texts: DataFrame) -> DataFrame:
 
 
 def repeated(texts: DataFrame, reference: DataFrame) -> DataFrame:
-    """(a, b, at): runs of windows, each of which occurs in the ``reference`` a second time."""
+    """(a, b, at): runs of windows, each of which occurs in the ``reference`` a second time; copies of a
+    text repeat its rows."""
     place = F.xxhash64("a", "b", "at")
     copies = reference.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(place).alias("one"))
     varied = copies.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select(F.col("key").alias("k"))
@@ -198,12 +199,12 @@ def repeated(texts: DataFrame, reference: DataFrame) -> DataFrame:
         "key", "digest", (F.col("n") > 1).alias("whole"), F.when(F.col("k").isNotNull(), F.col("one")).alias("one"))
     met = reference.join(marked, ["key", "digest"]).select("a", "b", "at", "key", "whole", (place == F.col("one")).alias("edge"))
     met = stored(met.where("whole or edge"))
-    edges = met.where("edge").groupBy("a", "b").agg(F.collect_list(F.struct("at", "key")).alias("s"))
-    read = texts.select("a", "b", "text").join(edges, ["a", "b"]).select("a", "b", "text", "s.at", "s.key").mapInArrow(_windows, WINDOWS)
+    edges = met.where("edge").groupBy("a", "b").agg(F.collect_list(F.struct("at", "key", (~F.col("whole")).cast("long").alias("open"))).alias("s"))
+    read = texts.select("a", "b", "text").join(edges, ["a", "b"]).select("a", "b", "text", "s.at", "s.key", "s.open").mapInArrow(_windows, WINDOWS)
     looked = stored(read)
     twice = looked.groupBy("key", "digest").agg(F.count("*").alias("n")).where("n > 1").select("key", "digest")
-    found = looked.join(twice, ["key", "digest"], "left_semi").select("a", "b", F.shiftleft("start", _BITS).alias("at"))
-    return met.where("whole").select("a", "b", "at").unionByName(found).distinct()
+    found = looked.where("open = 1").select("a", "b", "start", "key", "digest").join(twice, ["key", "digest"], "left_semi").select("a", "b", F.shiftleft("start", _BITS).alias("at"))
+    return met.where("whole").select("a", "b", "at").unionByName(found)
 
 
 def covered(n_words: int, ats: list[int] | None) -> np.ndarray:
@@ -234,7 +235,7 @@ class Factors:
     def __init__(self, docs: DataFrame, text: str = "text", carry: Column | None = None):
         self.texts = numbered_texts(docs, F.col(text), (F.struct("*") if carry is None else carry).alias("__doc"))
         runs = repeated(self.texts, index(self.texts))
-        self.runs = runs.groupBy("a", "b").agg(F.collect_list("at").alias("ats"))
+        self.runs = runs.groupBy("a", "b").agg(F.collect_set("at").alias("ats"))
 
     def _joined(self, schema: str, task) -> DataFrame:
         rows = self.texts.join(self.runs, ["a", "b"], "left").select("__doc", "text", "ats")
