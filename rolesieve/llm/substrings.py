@@ -13,8 +13,8 @@ is known with other words around it; there, at the factor boundaries, the window
 up one by one, among one copy of each different segment of that anchor. Factors of a window or
 more are the duplicate spans. A window is judged by what the input holds, so order does not matter.
 
-Shuffled are segments (48 bytes each), windows at boundaries, and texts for the two passes that read
-words again. Keys are 64-bit anchors with 64-bit digests of the words, texts go by 128 bits. Copies of
+Shuffled are segments (48 bytes each), windows at boundaries, and compressed texts for the two passes
+that read words again. Keys are 64-bit anchors with 64-bit digests of the words, texts go by 128 bits. Copies of
 a segment are counted with a map-side combine, and joins on hot keys are plain equi-joins, which
 adaptive execution splits; no group is gathered but the spans of one text.
 """
@@ -29,8 +29,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from rolesieve.llm.common import stored
 
@@ -167,17 +169,24 @@ WINDOWS = "a long, b long, start long, key long, digest long, open long"
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of the segments (ats, keys, open: not known to be repeated as a whole) of each text."""
     out, names = [[] for _ in range(6)], ["a", "b", "start", "key", "digest", "open"]
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for a, b, text, ats, keys, opens in zip(*batch.columns):
             at, key, unknown = (np.array(x.as_py(), np.int64) for x in (ats, keys, opens))
             first, size = at >> _BITS, (at & (1 << _BITS) - 1) + 1
-            start, digest = windows(word_hashes(text.as_py().encode()), first, first + size - 1)
+            start, digest = windows(word_hashes(unpack(text.as_py())), first, first + size - 1)
             for c, v in zip(out, (np.full(len(start), a.as_py()), np.full(len(start), b.as_py()), start, np.repeat(key, size), digest, np.repeat(unknown, size))):
                 c.append(v)
             yield from _batches(out, names, False)
     yield from _batches(out, names, True)
 
 
+@F.pandas_udf(BinaryType())
+def _packed(texts: pd.Series) -> pd.Series:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pd.Series([pack(t.encode()) for t in texts], dtype=object)
+
+
 def numbered_texts(docs: DataFrame, text: Column, *more: Column) -> DataFrame:
     """(a, b: 128 bits of a text, text, ``more``); a null text is an empty one."""
     text = F.coalesce(text.cast("string"), F.lit(""))
@@ -200,7 +209,7 @@ def repeated(texts: DataFrame, reference: DataFrame) -> DataFrame:
     met = reference.join(marked, ["key", "digest"]).select("a", "b", "at", "key", "whole", (place == F.col("one")).alias("edge"))
     met = stored(met.where("whole or edge"))
     edges = met.where("edge").groupBy("a", "b").agg(F.collect_list(F.struct("at", "key", (~F.col("whole")).cast("long").alias("open"))).alias("s"))
-    read = texts.select("a", "b", "text").join(edges, ["a", "b"]).select("a", "b", "text", "s.at", "s.key", "s.open").mapInArrow(_windows, WINDOWS)
+    read = texts.select("a", "b", _packed("text").alias("text")).join(edges, ["a", "b"]).select("a", "b", "text", "s.at", "s.key", "s.open").mapInArrow(_windows, WINDOWS)
     looked = stored(read)
     twice = looked.groupBy("key", "digest").agg(F.count("*").alias("n")).where("n > 1").select("key", "digest")
     found = looked.where("open = 1").select("a", "b", "start", "key", "digest").join(twice, ["key", "digest"], "left_semi").select("a", "b", F.shiftleft("start", _BITS).alias("at"))
@@ -238,7 +247,8 @@ class Factors:
         self.runs = runs.groupBy("a", "b").agg(F.collect_set("at").alias("ats"))
 
     def _joined(self, schema: str, task) -> DataFrame:
-        rows = self.texts.join(self.runs, ["a", "b"], "left").select("__doc", "text", "ats")
+        packed = self.texts.select("a", "b", "__doc", _packed("text").alias("text"))
+        rows = packed.join(self.runs, ["a", "b"], "left").select("__doc", "text", "ats")
         names = [f.split()[0] for f in schema.split(", ")]
         out = rows.withColumn("__r", _by_text(schema, task)(F.col("text"), F.col("ats")))
         return out.select("__doc", *(F.col(f"__r.{n}").alias(n) for n in names))
@@ -260,7 +270,8 @@ def _by_text(schema: str, task):
     @F.pandas_udf(schema)
     def udf(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
         names = [f.split()[0] for f in schema.split(", ")]
-        return pd.DataFrame([task(t.encode(), r) for t, r in zip(texts, runs)], columns=names)
+        unpack = zstandard.ZstdDecompressor().decompress
+        return pd.DataFrame([task(unpack(t), r) for t, r in zip(texts, runs)], columns=names)
 
     return udf
 
