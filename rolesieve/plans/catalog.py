@@ -542,6 +542,20 @@ def board_a_rows(spark, sf):
     return boards.read_payloads(_payload_a(spark, sf), fixed.BOARD_A).jobs.drop("posted_date")
 
 
+@query(with_sql(PT_SQL, select="""
+SELECT id, title, 'all' AS company, location, description, url, 'greenhouse' AS source, row_number() OVER (ORDER BY seq) AS seq FROM pt"""))
+def large_payloads(spark, sf):
+    """SRC-4: all pages as one board, in pieces as a file of any size is read."""
+    pages = v.pages_as_postings(spark, sf)
+    record = F.to_json(F.struct(F.col("seq").alias("id"), "title", F.col("url").alias("absolute_url"),
+                                F.struct(F.col("location").alias("name")).alias("location"), F.col("html").alias("content")))
+    cut = pages.select("seq", F.posexplode(F.split(F.concat(F.lit(","), record), "}")).alias("i", "text")).where("text <> ''")
+    inner = cut.select((F.shiftleft("seq", 32) + F.col("i") + 1).alias("place"), F.concat("text", F.lit("}")).alias("text"))
+    ends = spark.createDataFrame([(0, '{"about":{"of":["pages"]},"jobs":[7'), (1 << 62, "]}")], "place long, text string")
+    pieces = inner.unionByName(ends).select(F.lit("all").alias("token"), F.lit("all").alias("company"), F.lit(0).cast("long").alias("board_ord"), "place", "text")
+    return boards.read_pieces(pieces, fixed.BOARD_A).jobs.drop("posted_date")
+
+
 @query("""
 SELECT id, reject_reason, 'board-' || page_id AS token, 'greenhouse' AS source, page_id * 68719476736 + pos AS seq
 FROM (SELECT page_id, CAST(page_id AS VARCHAR) AS id, 'title is missing or not text' AS reject_reason, 1 AS pos FROM pages

@@ -7,7 +7,7 @@ Nothing is inferred from the data, and no step needs a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,12 +22,13 @@ from rolesieve.profile import Profile
 from rolesieve.schema import JOB_SCHEMA, make_seq
 from rolesieve.session import checkpointed
 from rolesieve.sources.config import configured_boards
+from rolesieve.sources.pieces import split
 from rolesieve.sources.variant import Field, first_reason, parse_whole
 
 # Order in which sources are read.
 SOURCE_ORDER = {fixed.BOARD_A: 0, fixed.BOARD_B: 1, fixed.SEARCH: 2}
 
-# A variant holds no more; a larger payload is named as such. Land such boards one record per row.
+# A variant holds no more; a larger value is named as such. Larger files are read as pieces.
 MAX_PAYLOAD_BYTES = 128 * 1024 * 1024
 
 _PATH = {fixed.BOARD_A: "$.jobs", fixed.BOARD_B: "$", fixed.SEARCH: "$"}
@@ -206,6 +207,23 @@ def read_payloads(payloads: DataFrame, source: str, strict: bool = True, written
     return Collected(good_records(parsed), bad_records(parsed), broken)
 
 
+def read_pieces(pieces: DataFrame, source: str, strict: bool = True, written: bool = False) -> Collected:
+    """SRC-1 to SRC-5 for boards of any size, as pieces with ``token, company, board_ord, place, text``.
+
+    The same rows as :func:`read_payloads` gives for the pieces put together. Strict, the first
+    bad payload is an error at once.
+    """
+    found = split(pieces, "jobs" if _PATH[source] == "$.jobs" else None, _WANTED[source])
+    broken = found.boards.filter(F.col("payload_error").isNotNull())
+    for board in broken.orderBy("board_ord", "token").take(1) if strict else ():
+        raise RuntimeError(f"board '{board.token}' (number {board.board_ord + 1}): {board.payload_error}")
+    names = pieces.groupBy("token", "board_ord").agg(F.first("company").alias("company"))
+    records = found.records.join(names, ["token", "board_ord"])
+    parsed = parse_records(records, source)
+    parsed = checkpointed(parsed) if written else parsed
+    return Collected(good_records(parsed), bad_records(parsed), broken.select(F.lit(source).alias("source"), "token", "payload_error"))
+
+
 def configured_payloads(spark: SparkSession, profile: Profile, source: str,
                         payloads: DataFrame) -> DataFrame:
     """SRC-6: landed ``token, payload`` rows of the configured boards, with name and order.
@@ -270,12 +288,13 @@ def union_collected(*parts: Collected) -> Collected:
                      union_sources(*(p.bad_payloads for p in parts)))
 
 
-def collect_jobs(spark: SparkSession, profile: Profile, board_a: DataFrame | None = None,
-                 board_b: DataFrame | None = None, search: DataFrame | None = None,
+def collect_jobs(spark: SparkSession, profile: Profile, board_a: DataFrame | Sequence[DataFrame] | None = None,
+                 board_b: DataFrame | Sequence[DataFrame] | None = None, search: DataFrame | None = None,
                  runs: DataFrame | None = None, strict: bool = True, written: bool = False) -> Collected:
     """SRC-7: jobs of every enabled source in configured order.
 
-    ``board_a`` and ``board_b`` hold ``token, payload``; ``search`` holds ``token`` (the
+    ``board_a`` and ``board_b`` hold ``token, payload``, or ``token, place, text`` for boards that
+    are read as pieces, or are a list of such tables; ``search`` holds ``token`` (the
     location searched), ``board_ord`` (the request's place) and ``payload``, and ``runs`` the
     state of each search run. Strict, anything missing or failed is an error; otherwise a failed
     run gives no rows.
@@ -284,11 +303,15 @@ def collect_jobs(spark: SparkSession, profile: Profile, board_a: DataFrame | Non
     for source, payloads in ((fixed.BOARD_A, board_a), (fixed.BOARD_B, board_b)):
         if payloads is None:
             continue
+        tables = payloads if isinstance(payloads, (list, tuple)) else [payloads]
         if strict:
-            absent = [r.token for r in missing_boards(spark, profile, source, payloads).take(1)]
+            landed = union_sources(*(t.select("token") for t in tables))
+            absent = [r.token for r in missing_boards(spark, profile, source, landed).take(1)]
             if absent:
                 raise RuntimeError(f"board '{absent[0]}': no payload has landed")
-        parts.append(read_payloads(configured_payloads(spark, profile, source, payloads), source, strict, written))
+        for table in tables:
+            read = read_pieces if "place" in table.columns else read_payloads
+            parts.append(read(configured_payloads(spark, profile, source, table), source, strict, written))
     if search is not None and (profile.sources.get(fixed.SEARCH) or {}).get("enabled") \
             and profile.roles and profile.locations:
         if runs is None and strict:

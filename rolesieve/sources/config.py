@@ -83,9 +83,14 @@ def profile_search_requests(spark: SparkSession, profile: Profile) -> DataFrame:
                            section.get("max_pages", fixed.DEFAULT_MAX_PAGES), section.get("max_searches"))
 
 
-def load_payload_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Landed payload files, one per board, named after its token: ``token, payload``."""
+def load_payload_files(spark: SparkSession, folder: str, up_to: int | None = None) -> DataFrame:
+    """Landed payload files, one per board, named after its token: ``token, payload``.
+
+    ``up_to`` leaves out files of more bytes, for :func:`rolesieve.sources.pieces.load_pieces`.
+    """
     files = spark.read.text(str(PurePosixPath(folder) / "*.json"), wholetext=True)
+    if up_to is not None:
+        files = files.where(F.col("_metadata.file_size") <= up_to)
     return files.select(
         F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("token"),
         F.col("value").alias("payload"))

@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from rolesieve.functions.text import col, let
 
+#: Stands behind a value to show that nothing else does.
+_END = "end of the payload"
 _EMPTY_JSON = ("null", "false", "0", "0.0", "-0", "-0.0", "[]", "{}")
 
 
 def parse_whole(json_text) -> Column:
     """The text as a variant, null unless it is one JSON value and nothing else.
 
-    The parser stops after the first value, so the text is read as the only entry of a list:
-    anything that follows the value breaks that list or makes it longer.
+    The parser stops after the first value, so the text is read as the first of two entries of a
+    list: whatever follows the value breaks that list, ends it early or makes it longer.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), col(json_text), F.lit("]")))
+    listed = F.try_parse_json(F.concat(F.lit("["), col(json_text), F.lit(f',"{_END}"]')))
     return let(listed, lambda v: F.when(
-        F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")))
+        (F.try_variant_get(v, "$[1]", "string") == _END) & F.try_variant_get(v, "$[2]", "variant").isNull(),
+        F.try_variant_get(v, "$[0]", "variant")))
 
 
 class Field:
