@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +12,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, removed when the driver's JVM ends.
-
-    A folder of this machine stands in only where that setting is missing, as in tests.
-    """
+    """A new folder below ``spark.checkpoint.dir``, removed when the driver's JVM ends; without that
+    setting nothing is sure to be shared, and the call is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        spark.conf.set("spark.checkpoint.dir", root := "file://" + tempfile.mkdtemp(prefix="llm-"))
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     path = f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

@@ -132,22 +132,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most SAMPLE_ROWS labelled documents, chosen by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = SAMPLE_ROWS, most_chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on at most ``most_rows`` labelled documents, chosen by a hash of the id.
 
     Only the chosen ids are broadcast, so no text is shuffled. Null ids and labels are not learnt
-    from; a document with several labels counts once for each.
+    from; a document with several labels, and each row of an id that is repeated, counts once for
+    each. A text longer than a hundredth of ``most_chars`` is passed over, alone; the others are
+    taken in the order of the hash while they fit. If the labels that may be learnt from are of
+    both kinds but the texts taken are not, there is nothing to tell them apart by, which is an error.
     """
-    chosen = (
-        labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
-        .select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
-        .orderBy(F.xxhash64("__id"), "__id", "__toxic").limit(SAMPLE_ROWS)
-    )
-    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text")).join(F.broadcast(chosen), "__id")
-    size = F.sum(F.length("__text")).over(Window.orderBy(F.xxhash64("__id"), "__id", "__toxic").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.orderBy(F.xxhash64("__id"), "__id", "__toxic").limit(SAMPLE_ROWS).withColumn("__size", size).where(f"coalesce(__size, 0) <= {SAMPLE_CHARS}")
-    found = rows.select("__text", "__toxic").toPandas()
-    return fit(found["__text"].tolist(), found["__toxic"].tolist())
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(
+        F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
+    order = [F.xxhash64("__id"), "__id", "__toxic"]
+    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text")).join(
+        F.broadcast(known.orderBy(*order).limit(most_rows)), "__id")
+    size = F.coalesce(F.length("__text"), F.lit(0))
+    taken = F.sum("__size").over(Window.orderBy(*order, "__size").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = rows.withColumn("__size", size).where(F.col("__size") <= max(1, most_chars // 100)).orderBy(*order, "__size").limit(most_rows)
+    found = fitting.withColumn("__taken", taken).where(F.col("__taken") <= most_chars).select("__text", "__toxic").toPandas()
+    seen = found["__toxic"].tolist()
+    if len(set(seen)) < 2:
+        there = known.join(docs.select(F.col("doc_id").alias("__id")), "__id", "left_semi").agg(F.min("__toxic"), F.max("__toxic")).first()
+        if there[0] != there[1]:
+            raise ValueError(f"documents carry labels of both kinds, but the sample of {len(seen)} texts does not: raise its bounds")
+    return fit(found["__text"].tolist(), seen)
 
 
 def score(text: Column, model: Model) -> Column:

@@ -463,6 +463,45 @@ def test_limits_hold_in_every_dimension():
         packing.place(np.array([[129, 1, 1]]), np.array([128, 6, 100]))
 
 
+def test_sample_passes_over_long_texts_alone(spark):
+    """One text beyond the bound costs itself only; a label that is lost is an error, not an all-clear."""
+    rng = random.Random(7)
+    words = lambda bad: " ".join(rng.choices(["plain", "common", "words", "here"], k=12) + (["vile", "filth"] if bad else [])) + "."
+    rows = [(i, words(i % 3 == 0)) for i in range(400)]
+    first = min((i for i, _ in rows if zlib.crc32(str(i).encode()) % 5), key=lambda i: xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seed=42))
+    rows[first] = (first, rows[first][1] * 900)
+    docs = spark.createDataFrame([*rows, rows[1], (None, "x"), (401, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(402)] + [(None, 1)], "doc_id long, toxic long")
+    whole, bounded = toxicity.train(docs, labels), toxicity.train(docs, labels, most_chars=1_000_000)
+    assert whole.weights and bounded.weights and bounded.bias > -15
+    scores = dict(zip(range(400), bounded.scores([t for _, t in rows])))
+    assert sum((scores[i] >= 0.5) == (i % 3 == 0) for i in scores) > 390
+    with pytest.raises(ValueError, match="both kinds"):
+        toxicity.train(docs, labels, most_chars=100)
+
+
+def test_scores_are_noisy_or_of_sentences(spark):
+    """The query's scores from its weights, in plain Python."""
+    folder = "/root/testdata/sf0.01"  # enough labels for words to count
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def plain(text):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]+", (text or "").lower()):
+            if sentence.strip():
+                z = model.bias + sum(model.weights.get(f, 0.0) for w in set(re.findall(r"\w+", sentence)) for f in (w, "^" + w[:4], "^" + w[:5]))
+                clean *= 1 / (1 + math.exp(z))
+        return 1 - clean
+
+    rows = queries.op8_toxicity(spark, folder).collect()
+    assert model.weights and len(rows) == len(texts)
+    for r in rows:
+        assert math.isclose(r.score, plain(texts[r.doc_id]), abs_tol=1e-9) and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 # ------------------------------------------------------------- 10: SimHash
 
 
