@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rolesieve import fixed
 from rolesieve.functions.prompt import is_cut, user_prompt
@@ -22,10 +23,13 @@ from rolesieve.functions.text import contains_phrase, let
 from rolesieve.functions.values import keep_known, keep_unknown
 from rolesieve.profile import Profile
 from rolesieve.schema import REPLY_SCHEMA, job_struct
-from rolesieve.session import checkpointed
+from rolesieve.session import checkpointed, new_folder
 from rolesieve.sources.variant import Field, parse_whole
 
 REPLY_COLUMNS = REPLY_SCHEMA.fieldNames()
+LEDGER_SCHEMA = StructType([*REPLY_SCHEMA.fields, StructField("request", StringType())])
+#: Requests that a lost task may have to ask again.
+CHUNK_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -66,25 +70,44 @@ def _one(scorer: Callable, row) -> tuple:
     return text, reply.refusal, None, None, 1, reply.prompt_tokens, reply.completion_tokens
 
 
-def score(reqs: DataFrame, scorer: Callable, max_workers: int | None = None) -> DataFrame:
-    """SCO-2: a reply row per request, written to the checkpoint folder: reading replies asks for none
-    again. Only a task that is lost or speculated asks for its own once more.
+def score(reqs: DataFrame, scorer: Callable, max_workers: int | None = None, ledger: str | None = None,
+          chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """SCO-2: a reply row per request, from a ledger of replies that asks only for what is missing.
 
     ``scorer(system_prompt, user_prompt)`` returns a mapping, JSON text or ``Reply``, or raises.
-    ``max_workers`` bounds the calls in flight, for a service that allows only so many; null
-    leaves the partitioning as it is.
+    Requests are asked in chunks of about ``chunk_rows``, a chunk to a task, and the replies of a
+    chunk come into the ledger as one file when its task ends, whatever becomes of the others. So
+    a lost executor, a failed job or a lost driver costs the chunks that were under way: the same
+    call with the same ``ledger`` folder goes on from there, and asks nothing that has a reply. A
+    request is known by its ``seq`` and its two texts; a changed text is asked anew. Without
+    ``ledger`` a new folder below ``spark.checkpoint.dir`` serves for this call. ``max_workers`` bounds
+    the calls in flight, for a service that allows only so many: chunks then go in rounds.
     """
     # Tasks get these few helpers with the scorer, so workers need not have the package installed.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    spread = reqs if max_workers is None else reqs.repartition(max_workers, "seq")
+    spark, folder = reqs.sparkSession, ledger or new_folder(reqs.sparkSession)
+    texts = F.concat(F.length("system_prompt"), F.lit(":"), "system_prompt", "user_prompt")
+    asked = reqs.select("seq", F.sha2(texts, 256).alias("request"), "system_prompt", "user_prompt")
+    spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(folder)
+    known = spark.read.schema(LEDGER_SCHEMA).parquet(folder)
+    missing = checkpointed(asked.join(known.select("seq", "request"), ["seq", "request"], "left_anti"))
+    chunks = -(-missing.count() // chunk_rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(row.seq, *_one(scorer, row)) for row in batch.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=REPLY_COLUMNS).astype(
+            rows = [(row.seq, *_one(scorer, row), row.request) for row in batch.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=[*REPLY_COLUMNS, "request"]).astype(
                 {"prompt_tokens": "Int64", "completion_tokens": "Int64"})
 
-    return checkpointed(spread.select("seq", "system_prompt", "user_prompt").mapInPandas(run, REPLY_SCHEMA))
+    rounds = -(-chunks // (max_workers or max(chunks, 1)))
+    for r in range(rounds):
+        part = missing.where(F.pmod(F.xxhash64("seq"), F.lit(rounds)) == r).repartition(max_workers or chunks)
+        # The second way of committing shows a task's file when the task ends, not when the job does.
+        part.mapInPandas(run, LEDGER_SCHEMA).write.mode("append").option(
+            "mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(folder)
+    found = spark.read.schema(LEDGER_SCHEMA).parquet(folder).join(asked.select("seq", "request"), ["seq", "request"], "left_semi")
+    # A task that was lost after its file came in has asked twice; one reply counts.
+    return found.groupBy("seq", "request").agg(F.min(F.struct(*REPLY_COLUMNS)).alias("_r")).select("_r.*")
 
 
 def offline_replies(jobs: DataFrame, profile: Profile) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE coalesces small shuffle partitions and splits skewed join partitions at run time.
@@ -34,3 +36,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(configured)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which goes when the driver's JVM ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
