@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ SHARD, MAX_CENTROIDS, SAMPLE_ROWS = 1500, 4096, 40_000
 #: Shards of a vector, width of the walk; both double when the audit finds less than LEAST_RECALL.
 OVERLAP, BEAM, LEAST_RECALL, TRIES = 4, 24, 0.9, 3
 POOL, DEGREE, ALPHA, MEDOIDS = 64, 24, 1.2, 16
-#: Vectors that the audit compares with all at most.
-PROBES = 200
+#: The audit compares all vectors whose id this divides with all others.
+EVERY = 100
 BLOCK = 256
 #: Numbers of the vectors that are compared with all others at a time.
 CHUNK = 1 << 21
@@ -192,9 +193,10 @@ def _search(beam: int):
     return search
 
 
-def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, float]:
+def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, Audit]:
     """One row per input row: __row (the row as a struct), n_links (other vectors found with a cosine
-    of COSINE or more), component_id (smallest id that links reach); and the audited recall.
+    of COSINE or more), component_id (smallest id that links reach); and the audit, whose recall is
+    None where no audited vector has a link.
 
     A vector that is null or zero, or holds a null or a number that is not finite, links with
     nothing, its component is its own id. So does a vector of another length than the commonest one,
@@ -208,22 +210,22 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     same = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
     unique = stored(same.withColumn("node", F.monotonically_increasing_id()))
     sizes = unique.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head()
-    recall, links, edges = 1.0, None, None
+    checked, links, edges = Audit(0, 0), None, None
     if sizes:
         used, n = unique.where(F.size("v") == sizes["d"]), sizes["count"]
         overlap, beam = OVERLAP, BEAM
         for _ in range(TRIES):
             result = stored(_linked(used, n, overlap, beam))
             links = result.where("links is not null").select("node", "links")
-            recall = audit(used, links, n)
-            if recall >= LEAST_RECALL:
+            checked = audit(used, links, sizes["d"])
+            if checked.good:
                 break
             overlap, beam = 2 * overlap, 2 * beam
         else:
             result = exact(used, n, sizes["d"])
             links = result.where("links is not null").select("node", "links")
-            if (recall := audit(used, links, n)) < LEAST_RECALL:
-                raise RuntimeError(f"links found: {recall:.3f} of those of the audit")
+            if not (checked := audit(used, links, sizes["d"])).good:
+                raise RuntimeError(f"links found: {checked.found} of {checked.links} of the audit")
         edges = result.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     links = links if links is not None else spark.createDataFrame([], "node long, links long")
     edges = edges if edges is not None else spark.createDataFrame([], "a long, b long")
@@ -234,7 +236,7 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     by_vector = placed.join(lowest, "root").select("v", "n_links", "component_id")
     out = rows.join(by_vector, "v", "left").select("__row", F.coalesce("n_links", F.lit(0)).alias("n_links"),
                                                    F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out, recall
+    return out, checked
 
 
 def _linked(used: DataFrame, n: int, overlap: int, beam: int) -> DataFrame:
@@ -302,20 +304,46 @@ def _against(rows: DataFrame, chunk: pa.Table) -> DataFrame:
         found.where("other is not null").distinct())
 
 
-def audit(used: DataFrame, links: DataFrame, n: int) -> float:
-    """Found links over all links of at most PROBES nodes, compared with all nodes in blocks."""
-    picked = used.orderBy(F.xxhash64("node")).limit(PROBES).select("node", "v").toArrow()
-    ids, probes = picked["node"].to_numpy(), _unit(_matrix(picked["v"]))
+class Audit(NamedTuple):
+    """True links of the audited vectors, and how many of them were found."""
+
+    links: int
+    found: int
+
+    @property
+    def recall(self) -> float | None:
+        """None where the audited vectors have no link, so that nothing was measured."""
+        return self.found / self.links if self.links else None
+
+    @property
+    def good(self) -> bool:
+        return self.found >= LEAST_RECALL * self.links
+
+
+def audit(used: DataFrame, links: DataFrame, width: int, every: int = EVERY) -> Audit:
+    """Links of all vectors whose id ``every`` divides, counted against all vectors, a chunk of them at
+    a time. Found links have been verified and count each partner once, so no count can hide a miss."""
+    picked = used.where(F.col("low").try_cast("long") % every == 0).select("node", "v")
+    spread, n = used.select("node", "copies", "v"), picked.count()
+    total, found = 0, 0
+    for c in range(chunks := -(-n * width // CHUNK)):
+        probes = picked.where(F.pmod(F.xxhash64("node"), F.lit(chunks)) == c).toArrow()
+        row = _true_links(spread, probes).join(links, "node", "left").agg(F.sum("all"), F.sum(F.least("all", F.coalesce("links", F.lit(0))))).first()
+        total, found = total + (row[0] or 0), found + (row[1] or 0)
+    return Audit(total, found)
+
+
+def _true_links(rows: DataFrame, picked: pa.Table) -> DataFrame:
+    ids, probes = picked["node"].to_numpy(), _unit(_matrix(picked["v"])) if len(picked) else None
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            if len(batch):
-                hit = _unit(_matrix(batch.column("v"))) @ probes.T >= COSINE
-                hit &= batch.column("node").to_numpy()[:, None] != ids
-                total += batch.column("copies").to_numpy() @ hit
+            for s in range(0, len(batch) if len(ids) else 0, BLOCK):
+                part = batch.slice(s, BLOCK)
+                hit = _unit(_matrix(part.column("v"))) @ probes.T >= COSINE
+                hit &= part.column("node").to_numpy()[:, None] != ids
+                total += part.column("copies").to_numpy() @ hit
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total, pa.int64())], names=["node", "all"])
 
-    true = used.select("node", "copies", "v").mapInArrow(compare, "node long, all long").groupBy("node").agg(F.sum("all").alias("all"))
-    row = true.join(links, "node", "left").agg(F.sum("all"), F.sum(F.least("all", F.coalesce("links", F.lit(0))))).first()
-    return row[1] / row[0] if row[0] else 1.0
+    return rows.mapInArrow(compare, "node long, all long").groupBy("node").agg(F.sum("all").alias("all"))
