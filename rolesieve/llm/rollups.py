@@ -11,6 +11,7 @@ committed batches; compaction folds batches into one without losing which were i
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,7 +72,9 @@ class Rollup:
 
     def batches(self) -> set[str]:
         """Names of all committed batches, those inside compacted ones included."""
-        names = self._folders()
+        return self._batches_of(self._folders())
+
+    def _batches_of(self, names: list[str]) -> set[str]:
         if not names:
             return set()
         return {r["batch"] for r in self.spark.read.schema("batch string").parquet(*(f"{self.folder}/{n}/batches" for n in names)).collect()}
@@ -90,12 +93,23 @@ class Rollup:
             self._fs.delete(self._path(f"{self.folder}/{folder}"), True)
 
     def _write(self, name: str, batches: list[str], sums: DataFrame, replaced: list[str] = ()) -> None:
-        """One folder, complete under a hidden name before a rename shows it."""
-        hidden, shown = f"{self.folder}/_{name}", f"{self.folder}/{name}"
+        """One folder, complete under a hidden name of this writer's own before a rename shows it.
+
+        Where another writer was first, the rename moves the folder inside the one that is there: it
+        goes again, and so does a batch that has been folded into another one meanwhile.
+        """
+        own = f"_{name}-{uuid.uuid4().hex}"
+        hidden, shown = f"{self.folder}/{own}", f"{self.folder}/{name}"
         sums.write.mode("overwrite").parquet(f"{hidden}/sums")
         self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{hidden}/batches")
         self.spark.createDataFrame([(r,) for r in replaced], "folder string").coalesce(1).write.mode("overwrite").parquet(f"{hidden}/replaced")
-        if not self._fs.rename(self._path(hidden), self._path(shown)):
+        moved, inside = self._fs.rename(self._path(hidden), self._path(shown)), self._path(f"{shown}/{own}")
+        late = not moved or self._fs.exists(inside)
+        if late:
+            self._fs.delete(inside if moved else self._path(hidden), True)
+        elif set(batches) & self._batches_of([n for n in self._folders() if n != name]):
+            late = self._fs.delete(self._path(shown), True)
+        if late:
             raise RuntimeError(f"batch {name} was committed by another job meanwhile")
 
     def _folders(self) -> list[str]:
