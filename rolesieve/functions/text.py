@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
@@ -91,6 +92,45 @@ def contains_phrase(c, phrases: Sequence[str]) -> Column:
     return F.coalesce(col(c).rlike(phrase_pattern(phrases)), F.lit(False))
 
 
+# The characters beyond ASCII that a pattern without regard to case takes for i, s or k.
+_LIKE_ASCII = ("\u0130\u0131\u017f\u212a", "iisk")
+_PHRASE = "struct<place:int,phrase:string,pattern:string>"
+
+
+def _phrase_key(phrase: str) -> str | None:
+    """A run of ASCII word characters that every text with the phrase holds as a whole word."""
+    runs = [r for r in re.finditer("[A-Za-z0-9_]+", phrase)
+            if all(ch.isascii() for ch in phrase[max(r.start() - 1, 0):r.end() + 1])]
+    return max((r.group().lower() for r in runs), key=len, default=None)
+
+
+def phrases_in(c, phrases: Sequence[str]) -> Column:
+    """SC-3 for many phrases at once: those that the text holds, in their own order.
+
+    The words of a text are looked up among one word of each phrase, which costs about the same for
+    any number of phrases. A phrase that is that word is found by it; others, for which the word
+    speaks, are tried with their pattern, as are the few without an ASCII word.
+    """
+    by_key: dict[str | None, list[dict]] = {}
+    for place, phrase in enumerate(phrases):
+        bare = phrase.strip()
+        key = _phrase_key(bare)
+        pattern = None if key == bare.lower() else phrase_pattern([bare])
+        by_key.setdefault(key, []).append({"place": place, "phrase": phrase, "pattern": pattern})
+    always = by_key.pop(None, [])
+
+    def constant(value, kind: str) -> Column:  # one literal, however long the list
+        return F.from_json(F.lit(json.dumps(value)), kind)
+
+    text = F.coalesce(col(c), F.lit(""))
+    keys, listed = constant(list(by_key), "array<string>"), constant(list(by_key.values()), f"array<array<{_PHRASE}>>")
+    words = F.split(F.lower(F.translate(text, *_LIKE_ASCII)), r"[^\p{L}\p{N}_]+")
+    spoken = F.transform(F.array_intersect(keys, words), lambda w: F.get(listed, (F.array_position(keys, w) - 1).cast("int")))
+    tried = F.concat(F.flatten(spoken), constant(always, f"array<{_PHRASE}>"))
+    held = F.filter(tried, lambda p: p["pattern"].isNull() | F.rlike(text, p["pattern"]))
+    return F.transform(F.array_sort(held), lambda p: p["phrase"])
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +35,19 @@ def rank_all(matches: DataFrame) -> DataFrame:
 
     The rows are range-sorted by (score, seq) over many tasks and written once to the shared
     checkpoint folder with their place inside their partition. A rank is that place plus the
-    number of rows in earlier partitions; that table has one row per partition, so it is
-    numbered in one task and broadcast.
+    number of rows in earlier partitions. Partitions are counted once, here; their counts, one
+    number per partition, are added up on the driver and broadcast, so whatever reads the result
+    scans the ranked rows once. The result comes in rank order, partition by partition: a sink
+    that keeps partitions apart need not sort it again.
     """
+    spark = matches.sparkSession
     placed = checkpointed(
         sort_by_rank(matches).withColumn("_place", F.monotonically_increasing_id()))
     partition = F.shiftright("_place", _ROW_BITS).alias("_part")
-    sizes = placed.groupBy(partition).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", F.coalesce(
-        F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_before"))
+    sizes = sorted(placed.groupBy(partition).agg(F.count(F.lit(1)).alias("_n")).collect())
+    starts = accumulate((n for _, n in sizes), initial=0)
+    before = spark.createDataFrame(
+        [(part, start) for (part, _), start in zip(sizes, starts)], "_part long, _before long")
     row = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return placed.withColumn("_part", partition).join(F.broadcast(before), "_part") \
         .withColumn("rank", F.col("_before") + row + 1).drop("_part", "_place", "_before")

@@ -19,7 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from rolesieve import fixed
 from rolesieve.functions.prompt import is_cut, user_prompt
-from rolesieve.functions.text import contains_phrase, let
+from rolesieve.functions.text import let, phrases_in
 from rolesieve.functions.values import keep_known, keep_unknown
 from rolesieve.profile import Profile
 from rolesieve.schema import REPLY_SCHEMA, job_struct
@@ -122,10 +122,8 @@ def offline_replies(jobs: DataFrame, profile: Profile) -> DataFrame:
 
 def offline_result(profile: Profile) -> Column:
     """SCO-8 as one struct column in the reply's own shape."""
-    named = [F.when(contains_phrase("description", [s]), F.lit(s)) for s in profile.skills]
-    found = F.array_compact(F.array(*named)) if named else F.array().cast("array<string>")
     size = max(len(profile.skills), 1)
-    return let(found, lambda hits: F.struct(
+    return let(phrases_in("description", profile.skills), lambda hits: F.struct(
         F.round(F.size(hits) * F.lit(100.0) / size, 3).alias("score"),
         hits.alias("matched_skills"), F.array().cast("array<string>").alias("missing_skills"),
         F.concat(F.size(hits), F.lit(f" of {len(profile.skills)} profile skills named")).alias("rationale")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from rolesieve.plans.match_and_rank import match, run, stage_tables, survivors
 from rolesieve.plans.views import CV_SQL, EV_SQL, JL_SQL, JP_SQL, PG_SQL, PT_SQL, RN_SQL, with_sql
 from rolesieve.profile import Profile
 from rolesieve.schema import make_seq
-from rolesieve.session import checkpointed
+from rolesieve.session import checkpointed, new_folder
 from rolesieve.sinks import files
 from rolesieve.sources import boards, config
 
@@ -120,6 +121,17 @@ def filter_all_lines(spark, sf):
     return _shown(filters.keep(v.lines_as_jobs(spark, sf), P))
 
 
+@query(with_sql(JP_SQL, LABELLED_SQL, select=f"""
+SELECT {_SHOWN}, list_contains([0, 1], seq % 3) AS described FROM lab WHERE reject_reason IS NULL"""))
+def filter_untouched(spark, sf):
+    """FIL-7: a description without any skill, one full of rejected words, or none changes nothing,
+    nor does a range of experience in the profile."""
+    narrow = replace(P, skills=["Cobol"], min_years=30, max_years=31)
+    words = F.concat_ws(" ", *map(F.lit, [*P.excluded_companies, *P.exclude_title_words, "30 years"]))
+    jobs = _jp(spark, sf).withColumn("description", F.when(F.col("seq") % 3 == 0, "Fortran only").when(F.col("seq") % 3 == 1, words))
+    return filters.keep(jobs, narrow).select("seq", "title", "company", "location", F.col("description").isNotNull().alias("described"))
+
+
 @query(with_sql(JP_SQL, LABELLED_SQL, select="SELECT seq, reject_reason FROM lab"))
 def funnel_labels(spark, sf):
     """FIL-6."""
@@ -1332,3 +1344,43 @@ SELECT 1, rank, CASE WHEN rank > 1 THEN ',' ELSE '' END || '{"rank":' || rank ||
 def export_json_lines(spark, sf):
     """SNK-2."""
     return files.json_array_lines(_ranked(spark, sf))
+
+
+_QUOTED = """'"' || replace({}, '"', '""') || '"'"""
+
+
+@query(with_sql(JP_SQL, _RANKED_SQL, select=f"""
+SELECT 0 AS section, 0 AS line, 'rank,score,title,company,location,source,url,matched_skills,missing_skills,rationale' AS value UNION ALL
+SELECT 1, rank, rank || ',' || printf('%.1f', score) || ',' || title || ',' || company || ','
+  || CASE WHEN contains(location, ',') THEN {_QUOTED.format("location")} ELSE coalesce(location, '') END || ',parts,' || url || ','
+  || CASE WHEN len(hit) = 0 THEN 'None' WHEN len(hit) = 1 THEN hit[1] ELSE {_QUOTED.format("array_to_string(hit, ', ')")} END || ','
+  || CASE WHEN len(miss) = 0 THEN 'None' WHEN len(miss) = 1 THEN miss[1] ELSE {_QUOTED.format("array_to_string(miss, ', ')")} END || ','
+  || CASE rank % 4 WHEN 0 THEN {_QUOTED.format("title || ', or \"' || company || '\"'")} WHEN 1 THEN {_QUOTED.format("title || chr(10) || company")}
+     WHEN 2 THEN '' ELSE title || ' fits' END FROM rk"""))
+def export_csv_lines(spark, sf):
+    """SNK-1: records as written, with commas, quotes and line breaks in values."""
+    said = F.when(F.col("rank") % 4 == 0, F.concat("job.title", F.lit(', or "'), "job.company", F.lit('"'))) \
+        .when(F.col("rank") % 4 == 1, F.concat_ws("\n", "job.title", "job.company")) \
+        .when(F.col("rank") % 4 == 3, F.concat("job.title", F.lit(" fits")))
+    return files.csv_lines(_ranked(spark, sf).withColumn("rationale", said))
+
+
+@query(with_sql(JP_SQL, _RANKED_SQL, select="SELECT rank, id, title, company, location, url, score, hit AS matched, miss AS missing FROM rk"))
+def export_read_back(spark, sf):
+    """SNK-2, SNK-6: the array of all rows, written to a folder that is not there yet, and read back."""
+    folder = f"{new_folder(spark)}/not/there/jobs.json"
+    ranked = _ranked(spark, sf)
+    files.write_json_array(ranked, folder, in_order=True)
+    shape = files.json_rows(ranked).schema
+    lines = spark.read.text(folder).filter(F.length("value") > 1).select(F.from_json(F.ltrim(F.col("value"), F.lit(",")), shape).alias("r"))
+    return lines.select("r.rank", "r.job.id", "r.job.title", "r.job.company", "r.job.location", "r.job.url", "r.score",
+                        F.col("r.matched_skills").alias("matched"), F.col("r.missing_skills").alias("missing"))
+
+
+@query(with_sql(SCORED_SQL, select="""
+SELECT seq, round(hits * 100.0 / 2008, 3) AS score, CASE WHEN hits = 0 THEN 'None' ELSE found END AS matched FROM scored"""))
+def skill_score_many(spark, sf):
+    """SCO-8: two thousand skills, all but eight of which no text names."""
+    profile = replace(_W, skills=[*_W.skills, *(f"unheard{i} of" for i in range(1000)), *(f"unheard{i}" for i in range(1000))])
+    return v.documents_as_jobs(spark, sf).select("seq", scoring.offline_result(profile).alias("r")).select(
+        "seq", "r.score", text.skills_text("r.matched_skills").alias("matched"))

@@ -44,7 +44,7 @@ def match(jobs: DataFrame, profile: Profile, scorer: Callable | None = None,
     """Everything up to the scored tables. Without a scorer the offline one is used.
 
     What later steps read more than once is written once: the survivors when a scorer reads them
-    apart from the join with its replies, and the scored table, which ranking reads twice.
+    apart from the join with its replies, and the scored table, which ranking and the reports read.
     """
     if scorer is None:
         filtered = survivors(jobs, profile)
@@ -59,12 +59,15 @@ def match(jobs: DataFrame, profile: Profile, scorer: Callable | None = None,
 
 
 def export(stages: Stages, folder: str, top: int | None = None, title: str = "Job Matches") -> DataFrame:
-    """Rank and write all documents; with ``top`` only the best, each in a single file."""
+    """Rank and write all documents; with ``top`` only the best, each in a single file.
+
+    All rows are sorted once, by the ranking; the documents are written from its partitions.
+    """
     ranked = rank.rank_all(stages.matches) if top is None else rank.top_k(stages.matches, top)
     single = top is not None
-    files.write_markdown(ranked, f"{folder}/jobs.md", title, single)
-    files.write_csv(ranked, f"{folder}/jobs.csv", single)
-    files.write_json_array(ranked, f"{folder}/jobs.json", single)
+    files.write_markdown(ranked, f"{folder}/jobs.md", title, single, in_order=True)
+    files.write_csv(ranked, f"{folder}/jobs.csv", single, in_order=True)
+    files.write_json_array(ranked, f"{folder}/jobs.json", single, in_order=True)
     files.write_skip_report(stages.skips, f"{folder}/skipped.json")
     return ranked
 

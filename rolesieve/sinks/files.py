@@ -3,6 +3,8 @@
 Every sink writes a folder of part files that together, in name order, are the document. Whole
 documents (a JSON array, a report) are built as ordered lines, so no row ever holds the document
 and no task the whole of it. ``single_file`` puts it in one part, for a short top-k result.
+``in_order`` says that the rows come in rank order already, as ``rank.rank_all`` gives them: each
+partition then becomes a part as it is, header and footer parts of their own, and nothing is sorted.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from rolesieve import fixed
 from rolesieve.functions.text import first_truthy, skills_text
 
 _JSON = {"ignoreNullFields": "false"}
+#: What comes before the rows of a document, the rows, what comes after.
+_SECTIONS = (0, 1, 2)
 
 
 def csv_rows(ranked: DataFrame) -> DataFrame:
@@ -50,9 +54,9 @@ def csv_lines(ranked: DataFrame) -> DataFrame:
     return _fixed_lines(ranked, (0, ",".join(fixed.CSV_COLUMNS))).unionByName(body)
 
 
-def write_csv(ranked: DataFrame, path: str, single_file: bool = False) -> None:
+def write_csv(ranked: DataFrame, path: str, single_file: bool = False, in_order: bool = False) -> None:
     """SNK-1: CRLF lines, the header in the first part only."""
-    write_lines(csv_lines(ranked), path, single_file, "\r\n")
+    write_lines(csv_lines(ranked), path, single_file, "\r\n", in_order)
 
 
 def json_rows(ranked: DataFrame) -> DataFrame:
@@ -60,9 +64,10 @@ def json_rows(ranked: DataFrame) -> DataFrame:
     return ranked.select("rank", "job", "score", "matched_skills", "missing_skills", "rationale")
 
 
-def write_json_lines(ranked: DataFrame, path: str) -> None:
+def write_json_lines(ranked: DataFrame, path: str, in_order: bool = False) -> None:
     """SNK-2: one JSON object per line, nulls written out."""
-    json_rows(ranked).orderBy("rank").write.mode("overwrite").options(**_JSON).json(path)
+    rows = json_rows(ranked)
+    (rows if in_order else rows.orderBy("rank")).write.mode("overwrite").options(**_JSON).json(path)
 
 
 def _line(order: int, section: int, text: Column) -> list[Column]:
@@ -108,7 +113,7 @@ def markdown_lines(ranked: DataFrame, title: str = "Job Matches") -> DataFrame:
     """SNK-3: a heading, one section per match, a fixed line when there is none."""
     body = ranked.select(F.lit(1).alias("section"), F.col("rank").cast("long").alias("line"),
                          markdown_section().alias("value"))
-    none = ranked.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(
+    none = ranked.limit(1).agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(
         *_line(0, 2, F.lit("\n" + fixed.NO_MATCHES_LINE)))
     return _fixed_lines(ranked, (0, f"# {title}")).unionByName(body).unionByName(none)
 
@@ -127,19 +132,30 @@ def skip_report_lines(skips: DataFrame) -> DataFrame:
     return head.unionByName(body).unionByName(_fixed_lines(skips, (2, "]}")))
 
 
-def write_lines(lines: DataFrame, path: str, single_file: bool = False, separator: str = "\n") -> None:
-    """Ordered lines as text parts; the folder is made when missing (SNK-6)."""
-    ordered = lines.orderBy("section", "line").select("value")
+def write_lines(lines: DataFrame, path: str, single_file: bool = False, separator: str = "\n",
+                in_order: bool = False) -> None:
+    """Ordered lines as text parts; the folder is made when missing (SNK-6).
+
+    With ``in_order`` the lines of each section come in order already; the sections are put one
+    after the other, which moves no row. One file is always sorted: merging partitions into one
+    task may take them in any order.
+    """
+    if in_order and not single_file:
+        ordered = reduce(DataFrame.unionByName, (lines.filter(F.col("section") == s) for s in _SECTIONS))
+    else:
+        ordered = lines.orderBy("section", "line")
+    ordered = ordered.select("value")
     (ordered.coalesce(1) if single_file else ordered).write.mode("overwrite").text(
         path, lineSep=separator)
 
 
-def write_json_array(ranked: DataFrame, path: str, single_file: bool = False) -> None:
-    write_lines(json_array_lines(ranked), path, single_file)
+def write_json_array(ranked: DataFrame, path: str, single_file: bool = False, in_order: bool = False) -> None:
+    write_lines(json_array_lines(ranked), path, single_file, in_order=in_order)
 
 
-def write_markdown(ranked: DataFrame, path: str, title: str = "Job Matches", single_file: bool = False) -> None:
-    write_lines(markdown_lines(ranked, title), path, single_file)
+def write_markdown(ranked: DataFrame, path: str, title: str = "Job Matches", single_file: bool = False,
+                   in_order: bool = False) -> None:
+    write_lines(markdown_lines(ranked, title), path, single_file, in_order=in_order)
 
 
 def write_skip_report(skips: DataFrame, path: str, single_file: bool = False) -> None:

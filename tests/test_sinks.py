@@ -3,6 +3,7 @@ import io
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from rolesieve.operators import rank
 from rolesieve.sinks import files
@@ -69,3 +70,38 @@ def test_skip_report(spark, tmp_path):
     assert [d["id"] for d in report["skipped_details"]] == ["2", "5"]
     assert report["skipped_details"][1] == {"id": "5", "title": "t5", "company": "c", "error_type": "RateLimitError",
                                             "error_message": 'said "no"', "attempts": 7}
+
+
+def test_documents_of_many_partitions_without_a_sort(spark, tmp_path):
+    jobs = spark.range(3000).select(
+        F.col("id").alias("seq"), F.struct(*(F.lit(None).cast("date").alias(c) if c == "posted_date" else F.col("id").cast("string").alias(c)
+                                             for c in ("id", "title", "company", "location", "description", "url", "source", "posted_date"))).alias("job"),
+        (F.col("id") * 37 % 101).cast("double").alias("score"), F.array(F.lit("A")).alias("matched_skills"),
+        F.array().cast("array<string>").alias("missing_skills"), F.lit('a, "b"').alias("rationale")).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    ranked = rank.rank_all(jobs)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = sorted(range(3000), key=lambda i: (-(i * 37 % 101), i))
+    writers = {"md": files.write_markdown, "csv": files.write_csv, "json": files.write_json_array}
+    for name, write in writers.items():
+        write(ranked, str(tmp_path / name), in_order=True)
+        write(ranked, str(tmp_path / f"{name}-sorted"))
+        assert len(list((tmp_path / name).glob("part-*"))) > 3
+        assert text_of(tmp_path / name) == text_of(tmp_path / f"{name}-sorted")
+    assert [int(d["job"]["id"]) for d in json.loads(text_of(tmp_path / "json"))] == want
+    rows = list(csv.DictReader(io.StringIO(text_of(tmp_path / "csv"), newline="")))
+    assert [int(r["title"]) for r in rows] == want and {r["rationale"] for r in rows} == {'a, "b"'}
+    files.write_json_lines(ranked, str(tmp_path / "lines"), in_order=True)
+    assert [json.loads(x)["rank"] for x in text_of(tmp_path / "lines").splitlines()] == list(range(1, 3001))
+    for lines in (files.csv_lines(ranked), files.json_array_lines(ranked), files.markdown_lines(ranked)):
+        plan = lines.filter("section = 1")._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "rangepartitioning" not in plan
+
+
+def test_documents_without_rows(spark, ranked, tmp_path):
+    none = rank.rank_all(ranked.drop("rank").limit(0))
+    files.write_json_array(none, str(tmp_path / "new" / "j"), in_order=True)
+    files.write_markdown(none, str(tmp_path / "new" / "m"), in_order=True)
+    files.write_csv(none, str(tmp_path / "new" / "c"), in_order=True)
+    assert json.loads(text_of(tmp_path / "new" / "j")) == []
+    assert text_of(tmp_path / "new" / "m").startswith("# Job Matches\n\n") and text_of(tmp_path / "new" / "c").count("\r\n") == 1
