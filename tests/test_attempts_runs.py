@@ -71,6 +71,26 @@ def test_buckets_are_even_under_a_stray_time_and_a_burst(spark):
     assert len(sizes) == 10 and max(r["count"] for r in sizes) < 4_000
 
 
+def test_buckets_do_not_grow_with_the_rows(spark):
+    largest = []
+    for n in (3_000, 30_000):
+        df = spark.range(n).selectExpr("id as seq", "'hot' as k", "timestamp'2024-01-01' as ts", "id % 7 as x")
+        sizes = running.bucketed(df, "ts", ["seq"], 4, bits=8).groupBy("_bucket").count().collect()
+        largest.append(max(r["count"] for r in sizes))
+        for inclusive in (True, False):
+            got = running.running(df, ["k"], "ts", ["seq"], {"total": ("sum", F.col("x")), "top": ("max", F.col("x"))}, 4, inclusive, 8)
+            want = df.selectExpr("seq", "(seq div 7) * 21 + (seq % 7) * (seq % 7 + 1) div 2 as total", "least(seq, 6) as top")
+            assert got.columns == [*df.columns, "total", "top"]
+            if inclusive:
+                assert got.select("seq", "total", "top").exceptAll(want).count() == 0 and got.count() == n
+            else:
+                first = [tuple(r) for r in got.select("total", "top").where("seq < 3").orderBy("seq").collect()]
+                assert first == [(None, None), (0, 0), (1, 1)]
+                after = got.selectExpr("seq", "coalesce(total, 0) + x as total", "greatest(coalesce(top, 0), x) as top")
+                assert after.exceptAll(want).count() == 0
+    assert largest == [256, 256]
+
+
 def test_cooldown_only_moves_later(spark):
     rows = [("j", 0, "RateLimitError", None, "5"), ("j", 1, "RateLimitError", None, "0.5"), ("j", 2, None, None, None)]
     df = log(spark, rows).withColumn("w", F.col("retry_after").cast("double"))
