@@ -47,7 +47,8 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"sk_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
+    # headers of 1,000 characters at most: without a bound, a run of eyJ costs its length squared
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,1000}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     # schemes of 31 characters at most: without a bound, long runs of letters cost their length squared
     Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@"),
