@@ -8,8 +8,6 @@ works on totals, a row per pattern; documents are then chosen in the order of a
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +19,7 @@ COSTS = (0, 1, 3)
 WEIGHTS = (5, 2, 1)
 #: Patterns that the driver takes in; sources are the feeds of a corpus, not something that grows
 #: with its documents. More is an error, never a cut.
-MAX_PATTERNS = 20_000
+MAX_PATTERNS = 200_000
 SEED = "mix-1"
 #: Documents of a bucket of the seeded order, about.
 BUCKET = 200
@@ -48,47 +46,90 @@ def targets(sizes: list[int], weights: list[int], share: float = 1.0, most: int
 
 def flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], costs: tuple[int, ...] = COSTS) -> list[dict[int, int]]:
     """Tokens from each pattern (its sources, its size) to each of its sources: as many as the quotas
-    take, at the least cost. Successive shortest paths on the graph start - pattern - source - end."""
-    start, end, n = 0, 1, 2 + len(patterns) + len(quotas)
-    to, room, price, out = [], [], [], [[] for _ in range(n)]
-
-    def arc(a, b, capacity, cost):
-        for x, y, c, p in ((a, b, capacity, cost), (b, a, 0, -cost)):
-            out[x].append(len(to))
-            to.append(y)
-            room.append(c)
-            price.append(p)
-        return len(to) - 2
-
-    member = []
-    for p, (sources, size) in enumerate(patterns):
-        for cost in costs:
-            arc(start, 2 + p, size, cost)
-        member.append({s: arc(2 + p, 2 + len(patterns) + s, size * len(costs), 0) for s in sources})
-    for s, quota in enumerate(quotas):
-        arc(2 + len(patterns) + s, end, quota, 0)
-    while True:
-        cost, by, queue, waiting = [None] * n, [None] * n, deque([start]), [False] * n
-        cost[start] = 0
-        while queue:
-            x = queue.popleft()
-            waiting[x] = False
-            for e in out[x]:
-                if room[e] and (cost[to[e]] is None or cost[x] + price[e] < cost[to[e]]):
-                    cost[to[e]], by[to[e]] = cost[x] + price[e], e
-                    if not waiting[to[e]]:
-                        waiting[to[e]] = True
-                        queue.append(to[e])
-        if cost[end] is None:
-            return [{s: room[e ^ 1] for s, e in arcs.items()} for arcs in member]
-        path, x = [], end
-        while x != start:
-            path.append(by[x])
-            x = to[by[x] ^ 1]
-        moved = min(room[e] for e in path)
-        for e in path:
-            room[e] -= moved
-            room[e ^ 1] += moved
+    take, at the least cost. Cheapest paths first on the graph start - pattern - source - end.
+
+    Only the arcs out of the start cost anything, and no shortest path comes back to it, so a path
+    costs what its use of the pattern costs. Cheapest first therefore means: the largest flow with one
+    use of every pattern, raised to the largest with two, and so on, as ``costs`` rise.
+    """
+    if list(costs) != sorted(costs):
+        raise ValueError("costs must rise")
+    moved = [dict.fromkeys(sources, 0) for sources, _ in patterns]
+    users: list[list[int]] = [[] for _ in quotas]
+    for p, (sources, _) in enumerate(patterns):
+        for s in sources:
+            users[s].append(p)
+    spare, left = [0] * len(patterns), list(quotas)
+    for _ in costs:
+        for p, (sources, size) in enumerate(patterns):  # straight to quotas that still have room
+            spare[p] += size
+            for s in sources:
+                n = min(spare[p], left[s])
+                moved[p][s] += n
+                spare[p] -= n
+                left[s] -= n
+        while _reroute(moved, users, spare, left):
+            pass
+    return moved
+
+
+def _reroute(moved: list[dict[int, int]], users: list[list[int]], spare: list[int], left: list[int]) -> int:
+    """Tokens moved along shortest ways from patterns with spare tokens to sources with room, where a
+    pattern may hand on what another one gave to a source: one phase of a largest-flow search, in
+    which the length of the shortest way rises. 0 if there is no way."""
+    roots = [p for p, n in enumerate(spare) if n]
+    depth, reached, level, ends = dict.fromkeys(roots, 0), {}, roots, False
+    while level and not ends:
+        sources = []
+        for p in level:
+            for s in moved[p]:
+                if s not in reached:
+                    reached[s] = depth[p]
+                    sources.append(s)
+        ends = any(left[s] for s in sources)
+        level = []
+        for s in () if ends else sources:
+            for q in users[s]:
+                if q not in depth and moved[q][s]:
+                    depth[q] = reached[s] + 1
+                    level.append(q)
+    if not ends:
+        return 0
+    # ways still to be tried, of a pattern to sources and of a source to patterns that gave to it
+    onward = {p: [s for s in moved[p] if reached.get(s) == d] for p, d in depth.items()}
+    back = {s: [q for q in users[s] if depth.get(q) == d + 1 and moved[q][s]] for s, d in reached.items()}
+    total = 0
+    for root in roots:
+        path: list[tuple[int, int]] = []  # (pattern, the source it gives to)
+        p = root
+        while spare[root]:
+            if not onward[p]:  # a dead end: go back, and never come here again
+                if not path:
+                    break
+                before, s = path.pop()
+                back[s].pop()
+                p = before
+                continue
+            s = onward[p][-1]
+            if left[s]:
+                steps = [*path, (p, s)]
+                n = min(spare[root], left[s], *(moved[q][t] for (_, t), (q, _) in zip(steps, steps[1:])))
+                for i, (q, t) in enumerate(steps):
+                    moved[q][t] += n
+                    if i:
+                        moved[q][steps[i - 1][1]] -= n
+                spare[root] -= n
+                left[s] -= n
+                total += n
+                path, p = [], root
+            elif back[s] and moved[back[s][-1]][s]:
+                path.append((p, s))
+                p = back[s][-1]
+            elif back[s]:
+                back[s].pop()
+            else:
+                onward[p].pop()
+    return total
 
 
 def mix(docs: DataFrame, sources: Column | None = None, size: Column | None = None, doc_id: str = "doc_id",

@@ -10,6 +10,7 @@ import json
 import math
 import random
 import re
+import time
 import zipfile
 import zlib
 
@@ -335,6 +336,26 @@ def test_flow_is_largest_and_cheapest(patterns, quotas):
     assert (total, cost) == brute_flow(patterns, quotas, mixing.COSTS)
 
 
+def test_flow_of_many_patterns():
+    start = time.time()
+    single = mixing.flow([((s,), 10 + s) for s in range(20_000)], [15 + s % 40 for s in range(20_000)])
+    assert [m[s] for s, m in enumerate(single)] == [min(3 * (10 + s), 15 + s % 40) for s in range(20_000)]
+    rng = random.Random(2)
+    patterns = [(tuple(sorted(rng.sample(range(60), rng.randrange(1, 5)))), rng.randrange(1, 1000)) for _ in range(20_000)]
+    for share in (0.9, 2.5, 4):  # quotas are taken up whole, or all that there is
+        quotas = [int(share * sum(n for _, n in patterns) / 60)] * 60
+        moved = mixing.flow(patterns, quotas)
+        given = [sum(m.get(s, 0) for m in moved) for s in range(60)]
+        assert all(0 <= sum(m.values()) <= 3 * n and min(m.values()) >= 0 for (_, n), m in zip(patterns, moved))
+        assert given == quotas if share < 3 else sum(given) == 3 * sum(n for _, n in patterns)
+        most = max(1, share)
+        assert all(sum(m.values()) <= -(-most // 1) * n for (_, n), m in zip(patterns, moved))
+    # a chain in which each pattern must hand on to the next
+    chain = mixing.flow([((i, i + 1) if i < 299 else (i,), 6) for i in range(300)] + [((0,), 6)], [6] * 300 + [0], (0,))
+    assert sum(sum(m.values()) for m in chain) == 1800
+    assert time.time() - start < 20
+
+
 def test_targets_stop_at_three_times_the_source():
     assert mixing.targets([10, 1000, 1], [5, 2, 1]) == [30.0, 978.0, 3.0]
     assert mixing.targets([8, 8], [1, 3]) == [4.0, 12.0] and mixing.targets([], []) == [] and mixing.targets([0, 0], [1, 1]) == [0.0, 0.0]
@@ -382,6 +403,16 @@ def test_secrets_against_plain_search(spark):
     assert secrets.Scan(docs.limit(0), F.col("text"), [F.col("doc_id")]).by_row().count() == 0
 
 
+def test_a_long_run_of_token_starts_is_searched_in_linear_time(spark):
+    text = "eyJ" * 100_000
+    docs = docs_of(spark, [text, text + ".", "eyJ" + "a" * 10 + "." + text + "." + "b" * 5])
+    start = time.time()
+    rows = secrets.Scan(docs, F.col("text"), [F.col("doc_id")]).by_row().where("doc_id is not null").orderBy("doc_id").collect()
+    kind = [r.kind for r in secrets.RULES].index("jwt")
+    assert [[(s.start, s.end) for s in r.spans if s.kind == kind] for r in rows] == [[], [], [(0, 300_020)]]
+    assert time.time() - start < 20
+
+
 def test_redaction_keeps_all_else(spark):
     docs = docs_of(spark, SECRETS)
     rows = secrets.redact(docs).collect()
