@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from rolesieve.llm.common import n_partitions, shared_folder, stored
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: Where members of any archive stand.
+ARCHIVES, INDEXES = "archive/", "indexes/"
 #: Bytes of records after which a task begins another archive; ZIP64 is used beyond 4 GiB.
 ARCHIVE_BYTES = 1 << 30
 #: Records that are apart by no more are read together, up to so many bytes.
@@ -44,6 +46,7 @@ LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x
 LOCAL_FORM, CENTRAL_FORM, END_FORM = "<4s5H3I2H", "<4s6H3I5H2I", "<4s4H2IH"
 END64_FORM, LOCATOR64_FORM = "<4sQ2H2I4Q", "<4sIQI"
 DESCRIPTOR = b"PK\x07\x08"
+GZIP = b"\x1f\x8b"
 MOST16, MOST32 = 0xFFFF, 0xFFFFFFFF
 
 
@@ -227,50 +230,111 @@ def _zip64(extra: bytes) -> list[int]:
 
 
 def places(manifest: DataFrame, folder: str) -> DataFrame:
-    """path, offset and length of every record, from the stored index of each archive."""
+    """path, offset and length of every record, from the stored indexes of each archive.
+
+    Every stored member under ``indexes/`` is an index, gzipped or not. Its lines are JSON, bare or
+    behind a key and a time stamp; lines that start with ``!`` and blank ones say nothing. The ``filename``
+    of a line names a member under ``archive/``; an archive with one such member may leave it out.
+    A record that several lines name is read once; one in a member that is absent is an error.
+    """
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
         for path in (p for b in batches for p in b.column(0).to_pylist()):
             with store.open_input_file(path) as source:
                 found = members(source, source.size())
-                base, (at, left) = found[DATA][0], found[INDEX]
-                source.seek(at)
-                rest = b""
-                while left:
-                    block = source.read(min(left, READ_BYTES))
-                    left -= len(block)
-                    *lines, rest = (rest + block).split(b"\n")
-                    rows = [json.loads(x) for x in lines]
-                    yield pa.RecordBatch.from_pydict({
-                        "path": pa.array([path] * len(rows), pa.string()),
-                        "offset": pa.array([base + r["offset"] for r in rows], pa.int64()),
-                        "length": pa.array([r["length"] for r in rows], pa.int64())})
+                data = {name.removeprefix(ARCHIVES): at for name, (at, _) in found.items() if name.startswith(ARCHIVES)}
+                for at, left in (place for name, place in found.items() if name.startswith(INDEXES)):
+                    for lines in _lines(source, at, left):
+                        rows = [json.loads(x[x.index(b"{"):]) for x in lines if x.strip() and not x.startswith(b"!")]
+                        starts = [_start(data, row.get("filename"), path) + int(row["offset"]) for row in rows]
+                        yield pa.RecordBatch.from_pydict({
+                            "path": pa.array([path] * len(rows), pa.string()), "offset": pa.array(starts, pa.int64()),
+                            "length": pa.array([int(row["length"]) for row in rows], pa.int64())})
 
     return manifest.select("path").mapInArrow(listed, "path string, offset long, length long")
 
 
+def _start(data: dict[str, int], filename: str | None, path: str) -> int:
+    if filename is None and len(data) == 1:
+        return next(iter(data.values()))
+    name = (filename or "").removeprefix(ARCHIVES)
+    if name not in data:
+        raise ValueError(f"{path} has no stored member for {filename!r}")
+    return data[name]
+
+
+def _lines(source, at: int, left: int) -> Iterator[list[bytes]]:
+    """Lines of a member, a block at a time; the last one may lack its end."""
+    source.seek(at)
+    rest, packed = b"", None
+    while left:
+        block = source.read(min(left, READ_BYTES))
+        if not block:
+            raise ValueError("a member ends early")
+        left -= len(block)
+        if packed is None:
+            packed = block.startswith(GZIP)
+            unpacker = zlib.decompressobj(31)
+        if not packed:
+            *lines, rest = (rest + block).split(b"\n")
+            yield lines
+        while packed and block:  # a gzip file may have several parts
+            *lines, rest = (rest + unpacker.decompress(block, READ_BYTES)).split(b"\n")
+            yield lines
+            block = unpacker.unconsumed_tail
+            if unpacker.eof:
+                block, unpacker = unpacker.unused_data, zlib.decompressobj(31)
+    if packed:
+        rest += unpacker.flush()
+    yield rest.split(b"\n")
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
-    """WARC header fields in lower case, HTTP header, and payload of one record."""
+    """WARC header fields in lower case, HTTP header (empty where the record holds no HTTP), and
+    payload of one record."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = {}
     for line in head.decode().split("\r\n")[1:]:
         name, _, value = line.partition(":")
         fields[name.lower()] = value.strip()
-    http, _, body = rest[:int(fields["content-length"])].partition(b"\r\n\r\n")
+    block = rest[:int(fields["content-length"])]
+    if not fields.get("content-type", "").lower().startswith("application/http"):
+        return fields, b"", block
+    http, _, body = block.partition(b"\r\n\r\n")
     return fields, http, body
 
 
+def _row(data: bytes, payloads: bool, where: str) -> tuple:
+    """One record as a row of ``READ_SCHEMA``; ``data`` is a gzip member or plain."""
+    fields, http, body = parse(zlib.decompress(data, 31) if data.startswith(GZIP) else data)
+    kind, digest = fields["warc-type"], fields.get("warc-payload-digest")
+    whole = kind != "revisit"
+    if whole and digest and digest.lower().startswith("sha1:") and base32_sha1(body) != digest[5:].upper():
+        raise ValueError(f"payload digest of {where}")
+    stated = [int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    size = len(body) if whole else stated[0] if stated else None
+    page, refers = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
+    if digest is None:
+        digest = base32_sha1(body) if whole else None
+    elif digest.lower().startswith("sha1:"):
+        digest = digest[5:]
+    return (None if page is None else int(page), fields.get("warc-target-uri"), kind, None if refers is None else int(refers),
+            size, digest, body if whole and payloads else None)
+
+
 READ_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
 def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """Every record of the archives, read by range: page_id, url, record_type, refers_to,
+    """Every indexed record of the archives, read by range: page_id, url, record_type, refers_to,
     payload_bytes and payload_digest of the full payload, and the payload (null for a revisit).
 
-    A response whose bytes do not match its own digest is an error.
+    Archives need not be our own: page ids are null where a record has none, a digest that is lacking
+    is worked out, the size of a revisit is what its HTTP header says, or null. A payload that does
+    not match its own SHA-1 digest is an error, and so is a record cut short.
     """
     spark = manifest.sparkSession
-    found = stored(places(manifest, folder))
+    found = stored(places(manifest, folder).distinct())
     wanted = found.count()
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,14 +354,7 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                         upto = after["offset"] + after["length"]
                     source.seek(start)
                     held = source.read(upto - start)
-                fields, http, body = parse(zlib.decompress(held[row["offset"] - start:end - start], 31))
-                digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                response = fields["warc-type"] == "response"
-                if response and base32_sha1(body) != digest:
-                    raise ValueError(f"payload digest of {path} at {row['offset']}")
-                size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                page, refers = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
-                out.append((None if page is None else int(page), fields["warc-target-uri"], fields["warc-type"], None if refers is None else int(refers), size, digest, body if response and payloads else None))
+                out.append(_row(held[row["offset"] - start:end - start], payloads, f"{path} at {row['offset']}"))
                 if len(out) == 256:
                     yield _batch(out)
                     out = []

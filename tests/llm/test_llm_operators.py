@@ -154,6 +154,46 @@ def test_pages_round_trip(spark):
     assert warc.read(none, folder).count() == 0
 
 
+def test_archives_of_others(spark, tmp_path):
+    """Two data members, one of them not packed, an index with keys and no last line end, a packed one
+    in two parts, records without page ids or digests, and one that holds no HTTP."""
+    def rec(kind, block, *fields, content="application/http; msgtype=response"):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Target-URI: http://x/", *fields, f"Content-Type: {content}", f"Content-Length: {len(block)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    sha = warc.base32_sha1
+    one = [warc._gzip(rec("response", http + b"a" * 99, f"WARC-Payload-Digest: sha1:{sha(b'a' * 99)}")), warc._gzip(rec("response", http + b"no digest"))]
+    two = [rec("resource", b"plain\r\n\r\nfile", "WARC-Payload-Digest: SHA1:" + sha(b"plain\r\n\r\nfile").lower(), content="text/plain"),
+           rec("revisit", http, "WARC-Payload-Digest: sha256:0f"), rec("revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 7\r\n\r\n")]
+
+    def index(records, filename, key):
+        at, lines = 0, []
+        for i, r in enumerate(records):
+            lines.append(key + json.dumps({"offset": str(at) if key else at, "length": len(r), "filename": filename}))
+            at += len(r)
+        return lines
+
+    lines = index(one, "one.warc.gz", "com,x)/ 20240101000000 ")
+    packed = index(two, "archive/two.warc", "")
+    path = str(tmp_path / "other.wacz")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        z.writestr("archive/one.warc.gz", b"".join(one))
+        z.writestr("indexes/index.cdxj", "!meta 1\n\n" + "\n".join([*lines, lines[0]]))
+        z.writestr("archive/two.warc", b"".join(two))
+        z.writestr("indexes/more.cdx.gz", warc._gzip("\n".join(packed[:2]).encode()) + warc._gzip(("\n" + packed[2]).encode()))
+    manifest = spark.createDataFrame([(path, 5)], "path string, records long")
+    rows = [(r.record_type, r.payload_bytes, r.payload_digest, None if r.payload is None else bytes(r.payload)) for r in warc.read(manifest, f"file://{tmp_path}").collect()]
+    assert sorted(rows, key=str) == sorted([
+        ("response", 99, sha(b"a" * 99), b"a" * 99), ("response", 9, sha(b"no digest"), b"no digest"),
+        ("resource", 13, sha(b"plain\r\n\r\nfile").lower(), b"plain\r\n\r\nfile"), ("revisit", None, "sha256:0f", None), ("revisit", 7, None, None)], key=str)
+    with zipfile.ZipFile(path, "a") as z:
+        z.writestr("indexes/wrong.cdxj", json.dumps({"offset": 0, "length": 9, "filename": "none.warc"}))
+    with pytest.raises(Exception, match="no stored member"):
+        warc.read(manifest, f"file://{tmp_path}").count()
+
+
 def test_zip64_directory_is_read():
     sink = io.BytesIO()
     sink.close = lambda: None
