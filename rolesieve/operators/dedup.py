@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from rolesieve.functions.values import normalize_url
 
 
-def _keyed(jobs: DataFrame, seq: str) -> tuple[DataFrame, list[str]]:
+def keyed(jobs: DataFrame, seq: str) -> tuple[DataFrame, list[str]]:
     """Adds the page key: normalised URL, ``seq`` where there is none, and a hash of both.
 
     The hash comes first because sorting compares the first eight bytes of a key at once; those
     are the same for nearly all URLs. The other two keep the key exact.
     """
-    keyed = jobs.withColumn("_url", normalize_url("url")).withColumn(
+    rows = jobs.withColumn("_url", normalize_url("url")).withColumn(
         "_blank", F.when(F.col("_url") == "", F.col(seq)))
-    return keyed.withColumn("_hash", F.xxhash64("_url", "_blank")), ["_hash", "_url", "_blank"]
+    return rows.withColumn("_hash", F.xxhash64("_url", "_blank")), ["_hash", "_url", "_blank"]
 
 
 def deduplicate(jobs: DataFrame, seq: str = "seq") -> DataFrame:
@@ -26,12 +26,12 @@ def deduplicate(jobs: DataFrame, seq: str = "seq") -> DataFrame:
     row per key: however many copies a page has, each map task sends one of them at most.
     Rows without a URL are keyed by their own ``seq`` and spread over all tasks.
     """
-    keyed, key = _keyed(jobs, seq)
-    first = keyed.groupBy(*key).agg(F.min_by(F.struct(*jobs.columns), F.col(seq)).alias("_row"))
+    rows, key = keyed(jobs, seq)
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*jobs.columns), F.col(seq)).alias("_row"))
     return first.select(*(F.col("_row")[n].alias(n) for n in jobs.columns))
 
 
 def first_seqs(jobs: DataFrame, seq: str = "seq") -> DataFrame:
     """The ``seq`` of every row ``deduplicate`` keeps, from the URL and ``seq`` columns alone."""
-    keyed, key = _keyed(jobs.select("url", seq), seq)
-    return keyed.groupBy(*key).agg(F.min(seq).alias(seq)).select(seq)
+    rows, key = keyed(jobs.select("url", seq), seq)
+    return rows.groupBy(*key).agg(F.min(seq).alias(seq)).select(seq)

@@ -13,6 +13,7 @@ from rolesieve.functions import prompt, text, values
 from rolesieve.functions.html import sections_text
 from rolesieve.operators import attempts, dedup, filters, funnel, probe, rank, runs, scoring
 from rolesieve.operators.scoring import ScoringError
+from rolesieve.operators.seen import SeenPages
 from rolesieve.plans import board_probe as probing
 from rolesieve.plans import reports
 from rolesieve.plans import views as v
@@ -243,23 +244,39 @@ copies AS (
   UNION ALL SELECT seq * 4, split_part(url, '#', 1) || '?' FROM pg WHERE NOT contains(url, '?'))"""
 
 
-@query(with_sql(PG_SQL, _COPIES_SQL, select=f"""
-SELECT seq, url FROM copies
-QUALIFY {_KEY} = '' OR row_number() OVER (PARTITION BY {_KEY} ORDER BY seq) = 1"""))
-def dedup_blank(spark, sf):
-    """WIN-1: copies of a page fall together, rows without a page each stand for themselves."""
-    pages = v.table(spark, sf, "pages")
+def _copies(pages: DataFrame) -> DataFrame:
     seq = F.col("page_id") * 4
-    copies = pages.select(F.explode(F.array(
+    return pages.select(F.explode(F.array(
         F.struct((seq + 3).alias("seq"), F.col("url").alias("url")),
         F.struct((seq + 1).alias("seq"), F.concat(F.lit("  "), "url", F.lit("#apply ")).alias("url")),
         F.struct((seq + 2).alias("seq"), F.lit(" #apply").alias("url")),
         F.struct(seq.alias("seq"), F.when(~F.col("url").contains("?"), F.concat(
             F.substring_index("url", "#", 1), F.lit("?"))).alias("url")),
-    )).alias("c")).select("c.seq", "c.url").filter(F.col("url").isNotNull())
+    )).alias("c")).select("c.seq", "c.url")
+
+
+@query(with_sql(PG_SQL, _COPIES_SQL, select=f"""
+SELECT seq, url FROM copies
+QUALIFY {_KEY} = '' OR row_number() OVER (PARTITION BY {_KEY} ORDER BY seq) = 1"""))
+def dedup_blank(spark, sf):
+    """WIN-1: copies of a page fall together, rows without a page each stand for themselves."""
+    copies = _copies(v.table(spark, sf, "pages")).filter(F.col("url").isNotNull())
     return dedup.deduplicate(copies)
 
 
+@query(with_sql(PG_SQL, _COPIES_SQL, select=f"""
+SELECT seq % 3 AS collection, seq, url FROM copies
+QUALIFY {_KEY} = '' OR row_number() OVER (PARTITION BY {_KEY} ORDER BY seq % 3, seq) = 1"""))
+def dedup_collections(spark, sf):
+    """WIN-1 over three collections, one after the other; the second comes in twice, to no effect."""
+    copies = _copies(v.table(spark, sf, "pages")).filter(F.col("url").isNotNull())
+    seen = SeenPages(spark, new_folder(spark))
+    kept = {n: seen.keep_new(copies.filter(F.col("seq") % 3 == n), f"day {n}") for n in (0, 1)}
+    kept[1] = seen.keep_new(copies.filter(F.col("seq") % 3 == 1), "day 1")
+    kept[2] = seen.keep_new(copies.filter(F.col("seq") % 3 == 2), "day 2")
+    return boards.union_sources(*(rows.select(F.lit(n).alias("collection"), "seq", "url") for n, rows in kept.items()))
+
+
 @query(with_sql(JL_SQL, select=f"""
 SELECT count(*) AS rows, CAST(sum(seq) AS BIGINT) AS seq_sum FROM (SELECT min(seq) AS seq FROM jl GROUP BY {_KEY})"""))
 def dedup_lines(spark, sf):

@@ -7,7 +7,7 @@ Nothing is inferred from the data, and no step needs a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -290,14 +290,16 @@ def union_collected(*parts: Collected) -> Collected:
 
 def collect_jobs(spark: SparkSession, profile: Profile, board_a: DataFrame | Sequence[DataFrame] | None = None,
                  board_b: DataFrame | Sequence[DataFrame] | None = None, search: DataFrame | None = None,
-                 runs: DataFrame | None = None, strict: bool = True, written: bool = False) -> Collected:
+                 runs: DataFrame | None = None, strict: bool = True, written: bool = False,
+                 landed: Mapping[str, DataFrame] | None = None) -> Collected:
     """SRC-7: jobs of every enabled source in configured order.
 
     ``board_a`` and ``board_b`` hold ``token, payload``, or ``token, place, text`` for boards that
     are read as pieces, or are a list of such tables; ``search`` holds ``token`` (the
     location searched), ``board_ord`` (the request's place) and ``payload``, and ``runs`` the
     state of each search run. Strict, anything missing or failed is an error; otherwise a failed
-    run gives no rows.
+    run gives no rows. ``landed`` names the tokens that have landed by source, as ``landed_files`` lists
+    them; without it the strict check reads the payloads once more.
     """
     parts: list[Collected] = []
     for source, payloads in ((fixed.BOARD_A, board_a), (fixed.BOARD_B, board_b)):
@@ -305,8 +307,10 @@ def collect_jobs(spark: SparkSession, profile: Profile, board_a: DataFrame | Seq
             continue
         tables = payloads if isinstance(payloads, (list, tuple)) else [payloads]
         if strict:
-            landed = union_sources(*(t.select("token") for t in tables))
-            absent = [r.token for r in missing_boards(spark, profile, source, landed).take(1)]
+            tokens = (landed or {}).get(source)
+            if tokens is None:
+                tokens = union_sources(*(t.select("token") for t in tables))
+            absent = [r.token for r in missing_boards(spark, profile, source, tokens).take(1)]
             if absent:
                 raise RuntimeError(f"board '{absent[0]}': no payload has landed")
         for table in tables:

@@ -94,3 +94,10 @@ def load_payload_files(spark: SparkSession, folder: str, up_to: int | None = Non
     return files.select(
         F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("token"),
         F.col("value").alias("payload"))
+
+
+def landed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """What has landed, from the folder's listing alone: ``token, bytes, landed_at``; no file is read."""
+    files = spark.read.format("binaryFile").load(str(PurePosixPath(folder) / "*.json"))
+    return files.select(F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("token"),
+                        F.col("length").alias("bytes"), F.col("modificationTime").alias("landed_at"))

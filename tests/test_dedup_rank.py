@@ -1,9 +1,11 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolesieve.functions.values import normalize_url
 from rolesieve.operators import dedup, rank
+from rolesieve.operators.seen import SeenPages
 
 
 def kept(spark, urls, **conf):
@@ -45,6 +47,32 @@ def test_url_form(spark):
                    "a b ", "mailto:X@y", "http://a/b?x=1?", "http://a//b", "", ""]
 
 
+def test_collections_one_by_one_give_the_rows_of_one_table(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, i // 100, rng.choice(["", None, "#x"]) if rng.random() < 0.1 else f"https://x/{rng.randrange(60)}#{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "seq long, day long, url string")
+    want = sorted(tuple(r) for r in dedup.deduplicate(df).collect())
+    seen = SeenPages(spark, f"file://{tmp_path}/seen")
+    days = [df.filter(F.col("day") == d) for d in range(3)]
+    got = [seen.keep_new(rows, f"day {d}").collect() for d, rows in enumerate(days)]
+    assert sorted(tuple(r) for day in got for r in day) == want and [len(x) > 0 for x in got] == [True] * 3
+    assert sorted(seen.keep_new(days[1], "day 1").collect()) == sorted(got[1]) and len(seen.claims()) == 3
+    assert all(r.url in ("", None, "#x") for r in seen.keep_new(df, "all again").collect())
+    assert seen.keep_new(df.limit(0), "nothing").count() == 0 and len(seen.claims()) == 5
+
+
+def test_of_two_collections_at_once_one_comes_in(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, "https://x/1")], "seq long, url string")
+    seen = SeenPages(spark, f"file://{tmp_path}/seen")
+    old = seen.claims()
+    assert seen.keep_new(df, "a").count() == 1
+    with monkeypatch.context() as m:
+        m.setattr(SeenPages, "claims", lambda self: old)  # read before "a" came in
+        with pytest.raises(RuntimeError, match="run it again"):
+            seen.keep_new(df, "b")
+    assert seen.keep_new(df, "b").count() == 0 and [name for name, _ in seen.claims()] == ["a", "b"]
+
+
 def test_rank_is_stable(spark):
     rows = [(1, 70.0), (2, 90.0), (3, 70.0), (4, 90.0)]
     df = spark.createDataFrame(rows, "seq long, score double").repartition(4)

@@ -155,6 +155,25 @@ def test_collect_in_configured_order(spark):
         boards.collect_jobs(spark, PROFILE, board_a.filter("token <> 'b1'"))
 
 
+def test_the_check_of_what_landed_reads_no_payload(spark, tmp_path):
+    for token in ("b1", "b2", "no.dots"):
+        (tmp_path / f"{token}.json").write_text(json.dumps({"jobs": [{"id": token, "title": "t", "absolute_url": "u"}]}))
+    folder = str(tmp_path)
+    landed = config.landed_files(spark, folder)
+    assert sorted((r.token, r.bytes) for r in landed.select("token", "bytes").collect()) == sorted(
+        (f.stem, f.stat().st_size) for f in tmp_path.glob("*.json"))
+    unreadable = config.load_payload_files(spark, folder).withColumn("payload", F.raise_error(F.lit("read")).cast("string")) \
+        .withColumn("token", F.when(F.col("payload").isNull(), "").otherwise(F.col("token")))
+    boards.collect_jobs(spark, PROFILE, unreadable, landed={A: landed})  # nothing runs over the payloads yet
+    with pytest.raises(Exception, match="read"):
+        boards.collect_jobs(spark, PROFILE, unreadable)
+    got = jobs(boards.collect_jobs(spark, PROFILE, config.load_payload_files(spark, folder), landed={A: landed}))
+    assert [j["id"] for j in got] == ["b2", "b1"]
+    (tmp_path / "b1.json").unlink()
+    with pytest.raises(RuntimeError, match="b1"):
+        boards.collect_jobs(spark, PROFILE, unreadable, landed={A: config.landed_files(spark, folder)})
+
+
 def test_search_requests(spark):
     got = config.profile_search_requests(spark, PROFILE).collect()
     assert [(r.keywords, r.location, r.max_items, r.max_pages, r.mode) for r in got] == [
