@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesieve import fixed
 from rolesieve.functions.values import estimated_cost, round3, round_half_even
+from rolesieve.session import checkpointed
 
 # The nine per-run numbers a comparison takes the median of.
 RUN_METRICS = (
     "seconds", "calls", "skipped", "rate_limit_hits", "wait_seconds",
     "prompt_tokens", "completion_tokens", "total_tokens", "estimated_cost_usd",
 )
-# Half a share on either side of the middle, and the sketch that brackets it.
-_HALF_WIDTH, _SKETCH_SIZE = 0.001, 10_000
+# Size of the sketch that narrows a bracket, and the steps it is read at: a step is ten times its error.
+_SKETCH_SIZE, _GRID = 10_000, 1_000
+#: Rows between the ends of a bracket that are ordered in one place; a wider one is narrowed first.
+SHORT = 100_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -41,39 +44,84 @@ def with_cost(sums: DataFrame, model: str = "model") -> DataFrame:
     return sums.withColumn("estimated_cost_usd", estimated_cost(model, "prompt_tokens", "completion_tokens"))
 
 
-def medians(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+def medians(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], short: int = SHORT) -> DataFrame:
     """AGG-6: exact median of every metric per key, the mean of the middle two for an even count.
 
-    No group is brought together. A sketch of fixed size per key and metric gives a bracket
-    that is sure to hold the middle; everything below it is only counted, and just the distinct
-    values inside it are put in order. Nulls do not count.
+    No large group is brought together. A bracket around the middle starts at the least and the
+    greatest value. While one may hold more than ``short`` rows between its ends, a sketch of fixed
+    size of those rows alone cuts it to about half a hundredth. What lies below and at the ends is
+    only counted, all metrics in one pass; the few rows between are put in order. Nulls do not
+    count; a group without any value has null. One row per key and round is written to the
+    checkpoint folder.
     """
     keys, metrics = list(keys), list(metrics)
     rows = rows.select(*keys, *(F.col(m).cast("double").alias(m) for m in metrics))
-    shares = [0.5 - _HALF_WIDTH, 0.5 + _HALF_WIDTH]
-    brackets = rows.groupBy(*keys).agg(*(
-        F.struct(F.percentile_approx(m, shares, _SKETCH_SIZE).alias("b"), F.count(m).alias("n")).alias(f"_g_{m}")
-        for m in metrics))
-    near = join_groups(rows, brackets, keys).select(*keys, F.explode(F.array(*(
-        F.struct(F.lit(m).alias("_metric"), F.col(m).alias("_value"), F.col(f"_g_{m}.b")[0].alias("_from"),
-                 F.col(f"_g_{m}.b")[1].alias("_to"), F.col(f"_g_{m}.n").alias("_n")) for m in metrics
-    ))).alias("_m")).select(*keys, "_m.*").filter(F.col("_value") <= F.col("_to")).withColumn(
-        "_cell", F.when(F.col("_value") >= F.col("_from"), F.col("_value")))
-    group = [*keys, "_metric"]
-    cells = near.groupBy(*group, "_n", "_cell").agg(F.count(F.lit(1)).alias("_rows"))
-    upto = cells.withColumn("_upto", F.sum("_rows").over(
-        Window.partitionBy(*group, "_n").orderBy(F.col("_cell").asc_nulls_first())))
-    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    middle = upto.groupBy(*group).agg(
-        F.min(F.when(F.col("_upto") >= low, F.col("_cell"))).alias("_low"),
-        F.min(F.when(F.col("_upto") >= high, F.col("_cell"))).alias("_high"),
-        F.bool_or(F.col("_cell").isNull() & (F.col("_upto") >= low)).alias("_passed"))
-    # The sketch's error bound is a tenth of the bracket, so this cannot happen; it must not pass unseen.
-    missed = F.col("_passed") | F.col("_high").isNull()
-    median = F.when(missed, F.raise_error(F.lit("the median lies outside its bracket")).cast("double")) \
-        .otherwise((F.col("_low") + F.col("_high")) / 2)
-    return middle.groupBy(*keys).agg(*(
-        F.max(F.when(F.col("_metric") == m, median)).alias(f"median_{m}") for m in metrics))
+    brackets = checkpointed(rows.groupBy(*keys).agg(*(F.expr(
+        f"struct(min(`{m}`) AS low, max(`{m}`) AS high, count(`{m}`) AS n, count(`{m}`) AS most) AS `{m}`") for m in metrics)))
+    while _widest(brackets, metrics) > short:
+        steps = "array(" + ", ".join(f"{i / _GRID}D" for i in range(_GRID + 1)) + ")"
+        counted = _counted(rows, brackets, keys, metrics, f"struct(count(inside) AS n, percentile_approx(inside, {steps}, {_SKETCH_SIZE}) AS grid)")
+        brackets = checkpointed(_each(counted, keys, metrics, _narrowed, "{}"))
+    ordered = _counted(rows, brackets, keys, metrics, "array_sort(collect_list(inside))")
+    return _each(ordered, keys, metrics, _middle, "median_{}")
+
+
+def _widest(brackets: DataFrame, metrics: Sequence[str]) -> int:
+    most = brackets.agg(*(F.max(f"{m}.most") for m in metrics)).first()
+    return max((n for n in most if n is not None), default=0)
+
+
+def _counted(rows: DataFrame, brackets: DataFrame, keys: Sequence[str], metrics: Sequence[str], inner: str) -> DataFrame:
+    """Each metric's bracket with the rows below it, at its ends, and ``inner`` of those ``inside``."""
+    near = join_groups(rows, brackets.withColumnsRenamed({m: f"_b_{m}" for m in metrics}), keys)
+
+    def part(m: str) -> Column:
+        v, low, high = f"`{m}`", f"`_b_{m}`.low", f"`_b_{m}`.high"
+        between = inner.replace("inside", f"CASE WHEN {v} > {low} AND {v} < {high} THEN {v} END")
+        return F.expr(f"""struct(any_value({low}) AS low, any_value({high}) AS high, any_value(`_b_{m}`.n) AS n,
+            count_if({v} < {low}) AS below, count_if({v} = {low}) AS at_low,
+            count_if({v} = {high} AND {low} < {high}) AS at_high, {between} AS inner) AS `{m}`""")
+
+    return near.groupBy(*keys).agg(*map(part, metrics))
+
+
+def _each(counted: DataFrame, keys: Sequence[str], metrics: Sequence[str], body: Callable[[Column], Column], name: str) -> DataFrame:
+    """``body`` of every metric's struct; written as one lambda, so the plan does not grow with the metrics."""
+    done = counted.select(*keys, F.transform(F.array(*metrics), body).alias("_m"))
+    return done.select(*keys, *(F.get("_m", F.lit(i)).alias(name.format(m)) for i, m in enumerate(metrics)))
+
+
+def _ranks(b: Column) -> tuple[Column, Column]:
+    """Ranks of the two middle rows among those above the lower end."""
+    return tuple(F.floor(r) - b["below"] - b["at_low"] for r in ((b["n"] + 1) / 2, b["n"] / 2 + 1))
+
+
+def _narrowed(b: Column) -> Column:
+    """The steps of the grid on either side of the middle; an end that holds the middle stays."""
+    inner, (first, second) = b["inner"]["n"], _ranks(b)
+    lower = F.greatest(F.floor(first * _GRID / inner) - 1, F.lit(0))
+    upper = F.least(F.ceil(second * _GRID / inner) + 1, F.lit(_GRID))
+    value = lambda step: F.get(b["inner"]["grid"], step.cast("int"))
+    low = F.when(first <= 0, b["low"]).when(first <= inner, value(lower)).otherwise(b["high"])
+    high = F.when(second <= 0, b["low"]).when(second <= inner, value(upper)).otherwise(b["high"])
+    from_step, to_step = F.when(first <= 0, 0).otherwise(lower), F.when(second > inner, _GRID).otherwise(upper)
+    most = F.when((inner == 0) | (second <= 0) | (first > inner), 0).otherwise(
+        F.ceil(inner * ((to_step - from_step) / _GRID + 3 / _SKETCH_SIZE)) + 1)  # steps, and the error of both ends
+    return F.struct(low.alias("low"), high.alias("high"), b["n"].alias("n"), most.alias("most"))
+
+
+def _middle(b: Column) -> Column:
+    # The sketch's error bound is a tenth of a step, so this cannot happen; it must not pass unseen.
+    missed = F.raise_error(F.lit("the median lies outside its bracket")).cast("double")
+
+    def value(rank: Column) -> Column:
+        size = F.size(b["inner"])
+        return F.when(rank + b["at_low"] <= 0, missed).when(rank <= 0, b["low"]) \
+            .when(rank <= size, F.get(b["inner"], (rank - 1).cast("int"))) \
+            .when(rank <= size + b["at_high"], b["high"]).otherwise(missed)
+
+    first, second = _ranks(b)
+    return F.when(b["n"] > 0, (value(first) + value(second)) / 2)
 
 
 def runs_beside_median(runs: DataFrame, keys: Sequence[str], seconds: str = "seconds") -> DataFrame:

@@ -137,6 +137,28 @@ def test_exact_medians_with_a_hot_group(spark):
                        statistics.median(b for g, _, b in rows if g == k and b is not None)) for k in keys}
 
 
+@pytest.mark.parametrize("short", [3, 40])
+def test_medians_by_narrowed_brackets(spark, short):
+    rng = random.Random(2)
+    drawn = {
+        "spread": [rng.gauss(0, 1) for _ in range(30_001)], "even": [float(i) for i in range(20_000)],
+        "two": [1.0] * 500 + [2.0] * 500, "ties": [float(rng.randint(0, 6)) for _ in range(9_000)],
+        "edge": [0.0] * 4_999 + [rng.random() for _ in range(5_000)] + [9.0], "one": [7.5], "pair": [1.0, 4.0], "none": [None] * 5,
+    }
+    rows = [(k, x, None if x is None else -x) for k, xs in drawn.items() for x in rng.sample(xs, len(xs))]
+    got = {r.k: (r.median_a, r.median_b) for r in runs.medians(
+        spark.createDataFrame(rows, "k string, a double, b double"), ["k"], ["a", "b"], short=short).collect()}
+    assert got.pop("none") == (None, None)
+    assert got == {k: (statistics.median(xs), -statistics.median(xs)) for k, xs in drawn.items() if k != "none"}
+    assert runs.medians(spark.createDataFrame([], "k string, a double"), ["k"], ["a"]).count() == 0
+
+
+def test_median_of_one_group_with_ten_million_distinct_values(spark):
+    n = 10_000_000
+    rows = spark.range(0, n, 1, 8).select(F.lit("all").alias("k"), ((F.col("id") * 7_654_321) % n).alias("a"))
+    assert runs.medians(rows, ["k"], ["a"], short=10_000).first().median_a == (n - 1) / 2
+
+
 def run_rows(spark):
     rows = [(1, 8, 15.904), (2, 8, 14.26), (3, 8, 31.056), (1, 1, 107.316), (1, 10, 9.0), (2, 10, 10.0)]
     df = spark.createDataFrame(rows, "run_id int, workers int, seconds double")
