@@ -93,6 +93,47 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
         cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
+def prompt_pieces(rows: DataFrame, prompt: str, answer: str, path: str | None = None, limits: tuple[int, int, int] = (LENGTH, SEGMENTS, LOSS)) -> DataFrame:
+    """Token pieces of instruction examples: all columns of ``rows``, then start, length, ids_crc32,
+    doc_tokens, segments and loss_tokens.
+
+    An example is the ids of its prompt, those of its answer and the closing id; answer and closing
+    id bear loss. It is cut where a piece would exceed the tokens or the loss-bearing tokens of a
+    sequence, and nowhere else; each id lies in one piece, and each piece is a segment. A null prompt
+    or answer is empty; repeated rows and nulls in other columns are rows like any other. Columns of
+    ``rows`` that are named like one of the six are replaced.
+    """
+    path = path or public_path("byte_bpe_50k.tiktoken")
+    length, _, loss = limits
+    if length < 1 or loss < 1:
+        raise ValueError("a sequence must have room for one loss-bearing token")
+
+    @F.pandas_udf("array<struct<start:long,length:long,ids_crc32:long,doc_tokens:long,segments:long,loss_tokens:long>>")
+    def cut(prompts: pd.Series, answers: pd.Series) -> pd.Series:
+        out = []
+        for asked, told in zip(prompts, answers):
+            head = token_ids(asked, path)[:-1]
+            ids, parts, s = np.append(head, token_ids(told, path)).astype("<u4"), [], 0
+            while s < len(ids):
+                e = min(s + length, len(ids), max(s, len(head)) + loss)
+                parts.append({"start": s, "length": e - s, "ids_crc32": zlib.crc32(ids[s:e].tobytes()), "doc_tokens": len(ids),
+                              "segments": 1, "loss_tokens": max(0, e - max(s, len(head)))})
+                s = e
+            out.append(parts)
+        return pd.Series(out)
+
+    names = ("start", "length", "ids_crc32", "doc_tokens", "segments", "loss_tokens")
+    texts = (F.col(c).cast("string") for c in (prompt, answer))
+    exploded = rows.select(F.struct("*").alias("__row"), F.explode(cut(*texts)).alias("__piece"))
+    return exploded.select(*(F.col("__row")[c].alias(c) for c in rows.columns if c not in names), *(F.col("__piece")[n].alias(n) for n in names))
+
+
+def pack_prompts(rows: DataFrame, prompt: str, answer: str, path: str | None = None, limits: tuple[int, int, int] = (LENGTH, SEGMENTS, LOSS)) -> DataFrame:
+    """``prompt_pieces`` with sequence_id and offset: no sequence has more tokens, segments or
+    loss-bearing tokens than ``limits``. An empty table stays empty."""
+    return pack(prompt_pieces(rows, prompt, answer, path, limits), "length", "segments", "loss_tokens", limits)
+
+
 def place(demands: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bin and order in it for each row of ``demands``; no bin exceeds ``limits`` in any column.
 
@@ -129,7 +170,8 @@ def pack(examples: DataFrame, tokens: str, segments: str, loss: str, limits: tup
 
     The three columns name an example's demands; null counts as 0. ``examples`` is written down
     first, so that its dealing is the same if a lost task runs again. Repeated rows are packed like
-    any other; an empty table stays empty.
+    any other; an empty table stays empty. Columns of ``examples`` named sequence_id or offset are
+    replaced, others may have any name.
     """
     spark = examples.sparkSession
     rows = stored(examples)
@@ -149,12 +191,13 @@ def pack(examples: DataFrame, tokens: str, segments: str, loss: str, limits: tup
         return pdf[["__row", "sequence_id", "offset"]]
 
     number = F.monotonically_increasing_id()
-    numbered = rows.withColumn("__row", number)
+    numbered = rows.select(F.struct("*").alias("__in"), number.alias("__row"))
     dealt = numbered.select("__row", F.pmod(F.xxhash64("__row"), F.lit(groups)).alias("__group"), *(
-        F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(n) for c, n in ((tokens, "__t"), (segments, "__s"), (loss, "__l"))))
+        F.coalesce(F.col("__in")[c].cast("long"), F.lit(0)).alias(n) for c, n in ((tokens, "__t"), (segments, "__s"), (loss, "__l"))))
     # a row of another group is never needed, so the number of groups in a task does not matter
     placed = dealt.repartition(n_partitions(spark, groups, 1), "__group").groupBy("__group").applyInPandas(packed, "__row long, sequence_id long, offset long")
-    return numbered.join(placed, "__row").drop("__row")
+    kept = (F.col("__in")[c].alias(c) for c in rows.columns if c not in ("sequence_id", "offset"))
+    return numbered.join(placed, "__row").select(*kept, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:

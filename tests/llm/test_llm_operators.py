@@ -13,6 +13,7 @@ import re
 import time
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -364,6 +365,44 @@ def test_of_two_writers_one_commits(spark):
     assert [tuple(r) for r in first.totals().collect()] == [("a", "en", "words-1", 2, 4)]
 
 
+@pytest.mark.parametrize("kind,limits", [("tokens", (256, 1000, 256)), ("segments", (2048, 8, 2048)), ("loss", (2048, 1000, 64))])
+def test_each_limit_of_a_sequence_binds_on_instruction_data(spark, kind, limits):
+    path = packing.public_path("byte_bpe_50k.tiktoken")
+    rng = random.Random(11)
+    asked, told = {"tokens": (90, 20), "segments": (6, 5), "loss": (20, 30)}[kind]
+    rows = [(i, prose(i, rng.randint(0, asked)), prose(-i - 1, rng.randint(0, told)), "x", i) for i in range(400)]
+    rows += [rows[3], rows[3], (None, None, None, None, None), (9_000, "", "an answer alone", "y", 0), (9_001, prose(5, 900), prose(6, 700), "z", 1)]
+    table = spark.createDataFrame(rows, "id long, asked string, told string, start string, __row long").withColumn("offset", F.lit("z"))
+    out = packing.pack_prompts(table, "asked", "told", path, limits).collect()
+
+    want = Counter()  # every id once, by plain Python
+    for i, a, b, *_ in rows:
+        head = packing.token_ids(a, path)[:-1].tolist()
+        ids, s = head + packing.token_ids(b, path).tolist(), 0
+        while s < len(ids):
+            e = s
+            while e < len(ids) and e - s < limits[0] and sum(p >= len(head) for p in range(s, e + 1)) <= limits[2]:
+                e += 1
+            want[i, s, e - s, zlib.crc32(np.array(ids[s:e], "<u4").tobytes()), len(ids), sum(p >= len(head) for p in range(s, e))] += 1
+            s = e
+    assert Counter((r.id, r.start, r.length, r.ids_crc32, r.doc_tokens, r.loss_tokens) for r in out) == want
+    assert {(r.id, r["__row"]) for r in out} == {(r[0], r[4]) for r in rows}
+    sequences = {}
+    for r in out:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    full = Counter()
+    for parts in sequences.values():
+        parts.sort(key=lambda r: r.offset)
+        assert [r.offset for r in parts] == [sum(p.length for p in parts[:k]) for k in range(len(parts))]
+        used = sum(r.length for r in parts), len(parts), sum(r.loss_tokens for r in parts)
+        assert all(u <= most for u, most in zip(used, limits))
+        for name, u, most in zip(("tokens", "segments", "loss"), used, limits):
+            full[name] += u >= 0.95 * most
+    assert full.most_common(1)[0][0] == kind and full[kind] > 0.7 * len(sequences)
+    assert packing.pack_prompts(table.limit(0), "asked", "told", path, limits).count() == 0
+
+
+
 # ------------------------------------------------------------- 6: mixing
 
 
