@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import json
+import math
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -16,6 +19,7 @@ from rolesieve.llm.oracles import ORACLES
 from rolesieve.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"  # where every status comes up, and the model finds words
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the shared test tables")
 
@@ -33,6 +37,75 @@ def test_query_runs(spark, name, columns):
     assert len(df.columns) == columns and df.count() > 0
 
 
+def test_op1_against_plain_python(spark):
+    """Statuses, places in the order and lines, from the turns alone."""
+    turns = [r for r in spark.read.parquet(f"{LARGER}/conversations.parquet").collect()]
+    assert all(None not in (r.conv_id, r.turn, r.role, r.text) for r in turns) and not any('"$ref:' in r.text for r in turns)
+    calls, answers, want = {}, {}, []
+    for r in turns:
+        if r.role == "assistant":
+            n = len(r.text)
+            other = r.turn + 2 if n % 5 == 0 else r.turn - 2 if r.turn >= 3 else None
+            arguments = {"text": r.text, "limit": n % 50, **({"after": f"$ref:{r.conv_id}-{other}"} if other is not None else {})}
+            tool = ("search", "fetch", "store")[n % 3]
+            wrong = (n < 20 or n % 50 > 45) if tool == "search" else tool == "store" and n % 50 < 3
+            key = r.conv_id, f"{r.conv_id}-{r.turn}"
+            assert key not in calls
+            calls[key] = r.turn, tool, arguments, wrong, None if other is None else (r.conv_id, f"{r.conv_id}-{other}")
+        elif r.role == "user":
+            answers.setdefault((r.conv_id, f"{r.conv_id}-{r.turn - 1}"), []).append((r.turn, r.text))
+
+    def label(key, above=()):
+        """(at, step) of a call; None in or behind a cycle."""
+        pos, *_, ref = calls[key]
+        if key in above:
+            return None
+        if ref not in calls:
+            return pos, 0
+        behind = label(ref, (*above, key))
+        return behind and max((pos, 0), (behind[0], behind[1] + 1))
+
+    for key, (pos, tool, arguments, wrong, ref) in calls.items():
+        place, answer = label(key), min(answers.get(key, [(None, None)]))
+        status = "invalid" if wrong else "missing_reference" if ref is not None and ref not in calls else "cycle" if place is None \
+            else "no_result" if key not in answers else "ok"
+        line = {"id": key[1], "name": tool, "arguments": arguments, "result": answer[1], "status": status}
+        want.append((*key, pos, answer[0], tool, status, *(place or (None, None)), json.dumps(line, sort_keys=True)))
+    for key, found in answers.items():
+        for turn, text in sorted(found)[key in calls:]:
+            status = "repeated_result" if key in calls else "orphan_result"
+            line = {"id": key[1], "name": None, "arguments": None, "result": text, "status": status}
+            want.append((*key, None, turn, None, status, None, None, json.dumps(line, sort_keys=True)))
+    got = [(r.conv_id, r.call_id, r.call_pos, r.result_pos, r.name, r.status, r.order_at, r.order_step, json.dumps(json.loads(r.json), sort_keys=True))
+           for r in QUERIES["op1_tool_calls"](spark, LARGER).collect()]
+    assert Counter(got) == Counter(want)
+    assert {"ok", "invalid", "cycle", "missing_reference", "no_result"} & {w[5] for w in want} >= {"ok", "invalid", "cycle"}
+
+
+def test_op8_scores_are_the_noisy_or_of_sentences(spark):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").collect()
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    model = toxicity.train(spark.read.parquet(f"{LARGER}/documents.parquet"), labels)
+    assert model.weights
+
+    def chance(sentence):
+        words = set(toxicity.WORDS.findall(sentence))
+        z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in toxicity.features(w))
+        return 1 / (1 + math.exp(-z))
+
+    got = {r.doc_id: r for r in QUERIES["op8_toxicity"](spark, LARGER).collect()}
+    assert set(got) == {d.doc_id for d in docs}
+    for d in docs:
+        sentences = [x for x in toxicity.SENTENCES.findall((d.text or "").lower()) if x.strip()]
+        score = 1 - math.prod(1 - chance(x) for x in sentences)
+        r = got[d.doc_id]
+        assert r.score == pytest.approx(score, abs=1e-9) and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0)
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    judged = [r for r in got.values() if r.held_out and r.doc_id in toxic]
+    assert judged and sum(r.predicted == toxic[r.doc_id] for r in judged) >= 0.9 * len(judged)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = [f for _, f in corpus_pipeline.STAGES]
