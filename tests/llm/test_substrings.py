@@ -89,3 +89,18 @@ def test_factors_against_brute_force(spark):
     assert Counter(sum(s.end - s.first for s in r.spans) for r in found.spans().collect()) == Counter(p[1] for p in plain(texts))
     assert substrings.Factors(docs).spans().select("__doc.*").columns == docs.columns
     assert substrings.Factors(docs.limit(0)).counts().count() == 0
+
+
+def test_copies_are_read_once(spark, monkeypatch):
+    """Windows looked at around a changed word do not grow with the copies of a text, let alone by their square."""
+    texts = []
+    for i in range(8):
+        words = prose(500 + i, 120)
+        texts += [" ".join(words)] * 40 + [" ".join(words[:60] + ["changed"] + words[61:])]
+    written, stored = [], substrings.stored
+    monkeypatch.setattr(substrings, "stored", lambda df: written.append(stored(df)) or written[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = substrings.Factors(docs, carry=F.struct("doc_id")).counts()
+    assert Counter((r["__doc"].doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()) == Counter((i, *p[:3]) for i, p in enumerate(plain(texts)))
+    looked = [df for df in written if "open" in df.columns]
+    assert len(looked) == 1 and 0 < looked[0].count() <= len(set(texts)) * (120 - 34)
