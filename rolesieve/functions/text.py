@@ -31,6 +31,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """``value`` as a column of a select, worked out once per row whatever filters follow.
+
+    A filter on a column that a select works out is moved below it with the column's whole expression
+    in place of each of its uses; it is not moved below the explosion of a list.
+    """
+    return F.explode(F.array(value))
+
+
 def strip(c) -> Column:
     """SC-1: drop white space of any kind at both ends (plain ``trim`` drops spaces only)."""
     return F.trim(col(c), F.lit(WHITESPACE))

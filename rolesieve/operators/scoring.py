@@ -19,7 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from rolesieve import fixed
 from rolesieve.functions.prompt import is_cut, user_prompt
-from rolesieve.functions.text import let, phrases_in
+from rolesieve.functions.text import let, once, phrases_in
 from rolesieve.functions.values import keep_known, keep_unknown
 from rolesieve.profile import Profile
 from rolesieve.schema import REPLY_SCHEMA, job_struct
@@ -112,7 +112,7 @@ def score(reqs: DataFrame, scorer: Callable, max_workers: int | None = None, led
 
 def offline_replies(jobs: DataFrame, profile: Profile) -> DataFrame:
     """SCO-8: replies without a model: the share of profile skills named in the description."""
-    return jobs.select("seq", offline_result(profile).alias("_r")).select(
+    return jobs.select("seq", once(offline_result(profile)).alias("_r")).select(
         "seq", F.to_json("_r").alias("reply_json"), F.lit(None).cast("string").alias("refusal"),
         F.lit(None).cast("string").alias("error_type"),
         F.lit(None).cast("string").alias("error_message"), F.lit(1).alias("attempts"),
@@ -135,7 +135,7 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     An error from the scorer comes first, then a refusal, then no reply, then a reply that does
     not have the required shape.
     """
-    parsed = replies.withColumn("_v", parse_whole("reply_json"))
+    parsed = replies.select("*", once(parse_whole("reply_json")).alias("_v"))
     score, rationale = Field("_v", "$.score"), Field("_v", "$.rationale")
     lists = {n: Field("_v", f"$.{n}") for n in ("matched_skills", "missing_skills")}
     number = F.try_variant_get("_v", "$.score", "double")

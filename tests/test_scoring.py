@@ -133,3 +133,14 @@ def test_bands(spark):
     df = spark.createDataFrame([(x,) for x in (100.0, 90.0, 89.9, 75.0, 60.0, 40.0, 39.9, 0.0)], "s double")
     assert [r.b.split()[0] for r in df.select(score_band("s").alias("b")).collect()] == [
         "exceptional", "exceptional", "strong", "strong", "reasonable", "weak", "poor", "poor"]
+
+
+def test_replies_are_worked_out_once(spark):
+    """The filter on errors is not moved below the reply, where each of its uses would search the text again."""
+    jobs = spark.createDataFrame([(1, "the cat"), (2, None)], "seq long, description string")
+    jobs = jobs.select("seq", *(F.lit("x").alias(n) for n in ("id", "title", "company", "location", "url", "source")), "description", F.lit(None).cast("date").alias("posted_date"))
+    profile = Profile(skills=("the", "of"))
+    out = scoring.matched(scoring.attach(jobs, scoring.parse_replies(scoring.offline_replies(jobs, profile))), profile)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(") == 1 and plan.count("parseJson(") == 1
+    assert [(r.seq, r.score, r.matched_skills) for r in out.orderBy("seq").collect()] == [(1, 50.0, ["the"]), (2, 0.0, [])]
