@@ -213,13 +213,12 @@ def read_pieces(pieces: DataFrame, source: str, strict: bool = True, written: bo
     The same rows as :func:`read_payloads` gives for the pieces put together. Strict, the first
     bad payload is an error at once.
     """
-    found = split(pieces, "jobs" if _PATH[source] == "$.jobs" else None, _WANTED[source])
+    names = pieces.groupBy("token", "board_ord").agg(F.first("company").alias("company"))
+    found = split(pieces, "jobs" if _PATH[source] == "$.jobs" else None, _WANTED[source], names)
     broken = found.boards.filter(F.col("payload_error").isNotNull())
     for board in broken.orderBy("board_ord", "token").take(1) if strict else ():
         raise RuntimeError(f"board '{board.token}' (number {board.board_ord + 1}): {board.payload_error}")
-    names = pieces.groupBy("token", "board_ord").agg(F.first("company").alias("company"))
-    records = found.records.join(names, ["token", "board_ord"])
-    parsed = parse_records(records, source)
+    parsed = parse_records(found.records, source)
     parsed = checkpointed(parsed) if written else parsed
     return Collected(good_records(parsed), bad_records(parsed), broken.select(F.lit(source).alias("source"), "token", "payload_error"))
 

@@ -26,6 +26,8 @@ from rolesieve.sources.variant import parse_whole
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+"?|[\[\]{},]', re.DOTALL)
 _REST_OF_TEXT = re.compile(r'(?:[^"\\]|\\.)*+"?', re.DOTALL)
 
+#: Elements of a list that joins bring together, as a power of two.
+_BLOCK_BITS = 8
 _PART = "token string, board_ord long, place long, sub long, inner boolean, opens long, starts long, kind string, text string"
 
 
@@ -106,12 +108,13 @@ class Split:
     boards: DataFrame
 
 
-def split(pieces: DataFrame, key: str | None, wanted: str) -> Split:
+def split(pieces: DataFrame, key: str | None, wanted: str, names: DataFrame | None = None) -> Split:
     """The elements of a list: the payload itself, or with ``key`` the list under that key.
 
     ``pieces`` has ``token, board_ord, place, text``; they may end anywhere but within an
     escape. A payload that is not JSON, or has no such list, gives no records but an error;
     of several lists under the key the last counts, as in a payload that is parsed whole.
+    Further columns of ``names``, a row per board, come with the records.
     """
     board, level = ["token", "board_ord"], 2 if key else 1
     plain = F.replace(F.replace("text", F.lit("\\\\")), F.lit('\\"'))
@@ -130,11 +133,15 @@ def split(pieces: DataFrame, key: str | None, wanted: str) -> Split:
     # what is left of a payload names its lists by their numbers, so that its parse finds the right one
     number = F.when(F.col("kind") == "[", F.col("holder").cast("string")).otherwise(F.concat(F.lit('"n":'), "holder"))
     shape = numbered.where("not inner or opens = 1").groupBy(*board).agg(joined(F.when(F.col("inner"), number).otherwise(F.col("text"))).alias("envelope"))
+    # a board may hold any number of elements, so joins go by its blocks of elements, never by the board alone
+    block = F.shiftright("element", _BLOCK_BITS).alias("block")
     kinds = numbered.where("opens = 1").select(*board, "holder", "kind")
-    elements = numbered.where("inner").groupBy(*board, "holder", "element").agg(joined(F.col("text")).alias("text")).join(kinds, [*board, "holder"])
+    lists = numbered.where("inner").groupBy(*board, "holder").agg(F.min("element").alias("first"), F.max("element").alias("last"))
+    blocks = checkpointed(lists.join(kinds, [*board, "holder"]).select(
+        "*", F.explode(F.sequence(F.shiftright("first", _BLOCK_BITS), F.shiftright("last", _BLOCK_BITS))).alias("block")))
+    elements = numbered.where("inner").groupBy(*board, "holder", "element").agg(joined(F.col("text")).alias("text")).select("*", block)
     blank = F.col("text").rlike(r"\A[ \t\r\n]*\z")
-    first = elements.groupBy(*board, "holder").agg(F.min("element").alias("first"), F.count("*").alias("n"))
-    elements = elements.join(first, [*board, "holder"]).where(~(blank & (F.col("n") == 1)))
+    elements = elements.join(blocks, [*board, "holder", "block"]).where(~(blank & (F.col("first") == F.col("last"))))
     value = F.when(F.col("kind") == "[", parse_whole("text")).when(~blank, parse_whole(F.concat(F.lit("{"), "text", F.lit("}"))))
     elements = checkpointed(elements.withColumn("record", value))
 
@@ -143,8 +150,10 @@ def split(pieces: DataFrame, key: str | None, wanted: str) -> Split:
     target = F.try_element_at(F.try_variant_get("_whole", "$." + key if key else "$", "array<long>"), F.lit(1))
     error = F.when(F.col("_whole").isNull() | F.col("open") | F.coalesce("broken", F.lit(False)), "invalid JSON").when(F.col("target").isNull(), wanted)
     boards = checkpointed(checked.withColumn("target", target).select(*board, "target", error.alias("payload_error")))
-    good = boards.where("payload_error is null").drop("payload_error")
-    records = elements.join(good, board).where("holder = target").select(
-        *board, (F.col("element") - F.col("first")).cast("int").alias("pos"), "record")
+    good = boards.where("payload_error is null").select(*board, F.col("target").alias("holder"))
+    good = good.join(names, board) if names is not None else good
+    wanted_blocks = blocks.select(*board, "holder", "block").join(good, [*board, "holder"])
+    records = elements.join(wanted_blocks, [*board, "holder", "block"]).select(
+        *board, *(names.drop(*board).columns if names is not None else ()), (F.col("element") - F.col("first")).cast("int").alias("pos"), "record")
     return Split(records, boards.drop("target"))
 

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rolesieve import Profile, fixed
 from rolesieve.sources import boards, config, pieces
@@ -85,3 +86,21 @@ def test_pieces_put_together_are_the_file(spark, tmp_path, text):
     (tmp_path / "b.json").write_text(text)
     rows = pieces.load_pieces(spark, str(tmp_path), above=-1).orderBy("place").collect()
     assert "".join(r.text for r in rows) == text
+
+
+def test_records_of_one_board_are_spread(spark):
+    """No join brings the records of a board together, in the split or where they are named and parsed."""
+    n, conf = 6000, {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        texts = ['{"jobs":['] + [("," if i else "") + json.dumps({"id": i, "title": f"t{i}", "absolute_url": "u"}) for i in range(n)] + ["]}"]
+        table = spark.createDataFrame([("all", "All", 0, i, t) for i, t in enumerate(texts)], "token string, company string, board_ord long, place long, text string")
+        jobs = boards.read_pieces(table, "greenhouse").jobs
+        assert sorted(int(r.id) for r in jobs.where("company = 'All'").collect()) == list(range(n))
+        sizes = [r["count"] for r in jobs.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n and max(sizes) <= n / 2
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
